@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import merkle, mixing, simhash, tokens, topk, warc
+from . import merkle, mixing, quality, simhash, tokens, topk, toxicity, warc
 from .common import shared_path, stored
 
 
@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(doc_id: str, n: int) -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=~held_out)
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arc, out = shared_path(spark, "arc"), shared_path(spark, "warc")
     warc.write_arc(table(spark, sf_dir, "pages"), arc)
@@ -38,6 +48,12 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 3) == 1
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held_out)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = stored(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")), "sized")
@@ -51,7 +67,7 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_tokens, op5_simhash, op6_topk, op9_mixing, op10_merkle)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_tokens, op5_simhash, op6_topk, op7_quality, op9_mixing, op10_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
