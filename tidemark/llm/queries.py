@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import merkle, mixing, quality, simhash, tokens, topk, toxicity, warc
+from . import merkle, mixing, pii, quality, simhash, tokens, topk, toxicity, warc
 from .common import shared_path, stored
 
 
@@ -40,6 +40,10 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_documents(spark, path, with_ids=False)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_tokens, op5_simhash, op6_topk, op7_quality, op9_mixing, op10_merkle)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_tokens, op4_pii, op5_simhash, op6_topk, op7_quality, op9_mixing, op10_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
