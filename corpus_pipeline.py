@@ -1,31 +1,76 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and reread by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and reread by the next.
+
+Toxic documents go, one document of each group of near copies stays, personal data is replaced by its kind, sources are
+mixed to their target weights, and what is left is encoded. Every stage works on all rows its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, simhash
-from tidemark.llm.common import shared_path
+from tidemark.llm import mixing, pieces, pii, simhash, toxicity
+from tidemark.llm.common import bound_batches, map_rows, shared_path
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the toxicity model predicts to be toxic; null and empty texts stay.
+
+    The model learns from all labelled documents, up to its documented bound. Scoring and filtering is one pass without a join.
+    """
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    bound_batches(spark)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*DOCUMENTS).schema)
+
+    def make(c: dict) -> dict:
+        keep = model.scores([t or "" for t in c["text"]]) < 0.5
+        return {n: [x for x, k in zip(v, keep, strict=True) if k] for n, v in c.items()}
+
+    return map_rows(docs.select(*DOCUMENTS), make, schema)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of near copies the document with the smallest doc_id; of repeated rows of that id, one."""
-    groups = simhash.near_duplicates(docs).select("doc_id", "component_id").distinct()
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"]).select(*DOCUMENTS)
+    """Keep of each group of near copies the document with the smallest doc_id; of repeated rows of that id, one.
+
+    Rows without an id are kept, as nothing tells them apart from their group's representative.
+    """
+    groups = simhash.near_duplicates(docs.filter("doc_id is not null")).select(F.col("doc_id").alias("kept_id"), "component_id")
+    kept = groups.filter("kept_id = component_id").select("kept_id").distinct()
+    own = docs.select(*DOCUMENTS).join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    return own.dropDuplicates(["doc_id"]).unionByName(docs.select(*DOCUMENTS).filter("doc_id is null"))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every span of personal data in the text by its kind; n_chars follows the new text."""
+    clean = pii.redact(docs, DOCUMENTS)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))).select(*DOCUMENTS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each document as often as the mix does: 0, 1 or 2 rows of it. Documents without words, which no mix measures, stay once."""
+    size = mixing.n_words(F.col("text"))
+    taken = mixing.mix(docs, F.array("source"), size, keep=DOCUMENTS[1:])
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies"))
+    return taken.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*DOCUMENTS)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every document as piece ids, with their scores and the check that they decode to the text."""
+    import public_tokenizers
+
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+STAGES = [("toxicity", reject_toxic), ("simhash_near_dedup", near_dedup), ("pii", redact_pii), ("mixing", mix_sources), ("sentencepiece", encode_pieces)]
 
-#: Hashing and language-model stages have no SQL; tests hold them against brute force.
+#: Finite-state scoring, fingerprints and sampled segmentations have no SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over documents."""
+    """All stages in order over documents; the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = shared_path(spark, name)

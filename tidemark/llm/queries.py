@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import merkle, mixing, pii, quality, simhash, tokens, topk, toxicity, warc
+from . import merkle, mixing, pieces, pii, quality, simhash, tokens, topk, toxicity, warc
 from .common import shared_path, stored
 
 
@@ -58,6 +58,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = stored(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")), "sized")
@@ -71,7 +77,7 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_tokens, op4_pii, op5_simhash, op6_topk, op7_quality, op9_mixing, op10_merkle)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_tokens, op4_pii, op5_simhash, op6_topk, op7_quality, op8_sentencepiece, op9_mixing, op10_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
