@@ -23,7 +23,7 @@ from .common import arrow_schema, bound_batches, texts
 BLOCK_IDS, END_ID = 1 << 16, 0
 BLOCK = "part int, block int, bits int, n_ids long, part_start long, packed binary, doc_ids array<long>, doc_starts array<long>, doc_lens array<long>"
 #: Units of text whose ids a worker remembers; the memory is dropped when full.
-MEMORY = 200_000
+MEMORY = 400_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -57,9 +57,11 @@ def unpack(data: bytes, bits: int, start: int = 0, count: int | None = None) ->
 class Encoder:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library.
 
-    Byte-level pre-tokenisation never crosses from a visible character to white space, so a text is encoded unit by unit
-    (white space and the run behind it) and a worker encodes a unit once. Where the tokenizer's settings or a text's
-    control characters leave that in doubt, the whole text is encoded.
+    Byte-level pre-tokenisation never crosses from a visible character to white space, nor from a run of letters to
+    anything else, so a text is encoded unit by unit (white space with the letters or the other run behind it) and a
+    worker encodes a unit once. Many new units are encoded in one go, a special token between them, which splits the text
+    before anything else looks at it. Where the tokenizer's settings or a text's control characters leave any of this in
+    doubt, whole texts are encoded.
     """
 
     def __init__(self, path: str) -> None:
@@ -73,40 +75,52 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
-        pre = told.get("pre_tokenizer") or {}
-        spaced = any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in told.get("added_tokens", []))
-        self.by_unit = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not told.get("normalizer") and not told["model"].get("dropout") and not spaced
+        pre, added = told.get("pre_tokenizer") or {}, told.get("added_tokens", [])
+        plain = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) and not re.search(r"\s|\w+$", t["content"]) for t in added)
+        self.by_unit = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not told.get("normalizer") and not told["model"].get("dropout") and plain
+        self.marks = [t["content"] for t in added]
+        self.mark = next(((t["content"], t["id"]) for t in added if t.get("special")), None)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.units, self.odd = re.compile(r"\s*\S+|\s+"), re.compile("[\x1c-\x1f]")
+        self.units, self.odd = re.compile(r"\s*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?!\w)|\s*\S+|\s+"), re.compile("[\x1c-\x1f]" + "".join("|" + re.escape(m) for m in self.marks))
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.begin, self.size = [], [], []
+        self.total = 0
+        self.flat, self.begin, self.size = ([np.zeros(0, t)] for t in (np.uint32, np.int64, np.int64))
 
     def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 4096):
-            for u, e in zip(new[at : at + 4096], self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False), strict=True):
-                self.known[u] = len(self.begin)
-                self.begin.append(len(self.flat))
-                self.size.append(len(e.ids))
-                self.flat.extend(e.ids)
+        from itertools import chain
+
+        for at in range(0, len(new), 1024):
+            own = new[at : at + 1024]
+            if self.mark:
+                ids = np.array(self.tokenizer.encode_batch_fast([self.mark[0].join(own)], add_special_tokens=False)[0].ids, np.uint32)
+                cut = np.flatnonzero(ids == self.mark[1])
+                sizes = np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1
+                ids = np.delete(ids, cut)
+            else:
+                each = [e.ids for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+                sizes, ids = np.fromiter(map(len, each), np.int64, len(each)), np.fromiter(chain.from_iterable(each), np.uint32)
+            self.known.update(zip(own, range(len(self.known), len(self.known) + len(own)), strict=True))
+            self.begin.append(self.total + np.cumsum(sizes) - sizes)
+            self.size.append(sizes)
+            self.flat.append(ids)
+            self.total += len(ids)
 
     def __call__(self, batch: list[str]) -> list[np.ndarray]:
         if not self.by_unit:
             return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(batch, add_special_tokens=False)]
         if len(self.known) > MEMORY:
-            from array import array
-
-            self.known, self.flat, self.begin, self.size = {}, array("I"), array("q"), array("i")
-        elif not self.known:
-            from array import array
-
-            self.flat, self.begin, self.size = array("I"), array("q"), array("i")
+            self._forget()
         whole = [bool(self.odd.search(t)) for t in batch]
         cut = [[] if w else self.units.findall(t) for t, w in zip(batch, whole, strict=True)]
         new: dict[str, None] = {}
         for units in cut:
             new.update(dict.fromkeys(u for u in units if u not in self.known))
         self._learn(list(new))
-        flat, begin, size = np.array(self.flat, np.uint32), np.array(self.begin, np.int64), np.array(self.size, np.int64)
+        self.flat, self.begin, self.size = ([np.concatenate(x)] for x in (self.flat, self.begin, self.size))
+        flat, begin, size = self.flat[0], self.begin[0], self.size[0]
         out = []
         for t, w, units in zip(batch, whole, cut, strict=True):
             if w:
