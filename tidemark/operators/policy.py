@@ -80,7 +80,7 @@ def admx_values(docs: DataFrame, by: Sequence[str], variant: str) -> DataFrame:
 
 def assignments(docs: DataFrame, by: Sequence[str], variant: str) -> DataFrame:
     """Assignments with the key kind|group|filter|mode; unknown target types keep their name."""
-    each = docs.lateralJoin(docs.sparkSession.tvf.variant_explode(get(variant, "$.assignments", "variant")).select(F.col("value").alias("_v")))
+    each = docs.lateralJoin(docs.sparkSession.tvf.variant_explode(get(variant, "$.assignments", "variant").outer()).select(F.col("value").alias("_v")))
     short = F.element_at(F.split(F.coalesce(get("_v", "$.target['@odata.type']"), F.lit("unknown")), r"\."), -1)
     kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TARGETS.items() for x in kv]), short), short)
     group, rule, mode = (F.coalesce(get("_v", f"$.target.{p}"), F.lit("")) for p in ("groupId", "deviceAndAppManagementAssignmentFilterId", "deviceAndAppManagementAssignmentFilterType"))

@@ -13,6 +13,9 @@ from ..functions import cells
 FAMILY_ALIASES = {"Intune_Android_Devices_Report": "Intune_Android_Devices", "Intune_iOS_Devices_Report": "Intune_iOS_Devices", "Entra_Users_AuthenticationMethods_Hybrid": "Entra_Users_AuthenticationMethods"}
 #: Bytes at the head of a file that tell its encoding and delimiter.
 HEAD = 8192
+#: The code points of ISO-8859-1 that windows-1252 gives other characters; Spark reads the former alone.
+WINDOWS = tuple(zip(*((chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)), strict=True))
+WINDOWS = "".join(WINDOWS[0]), "".join(WINDOWS[1])
 CHANGE_COLUMNS = ("Change", "Identity", "Property", "Before", "After")
 
 
@@ -38,10 +41,10 @@ def dialects(spark: SparkSession, folder: str) -> DataFrame:
 
     The delimiter is the most frequent of `;`, `,` and tab in the header line.
     """
-    head = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path", F.substring("content", 1, HEAD).alias("head"))
-    # a cut may split a character: up to three last bytes do not count
-    utf8 = F.is_valid_utf8(F.col("head").cast("string")) | F.is_valid_utf8(F.expr("substring(head, 1, greatest(1, length(head) - 3))").cast("string")) | F.is_valid_utf8(F.expr("substring(head, 1, greatest(1, length(head) - 2))").cast("string")) | F.is_valid_utf8(F.expr("substring(head, 1, greatest(1, length(head) - 1))").cast("string"))
-    line = F.regexp_replace(F.split(F.when(utf8, F.make_valid_utf8(F.col("head").cast("string"))).otherwise(F.decode("head", F.lit("ISO-8859-1"))), r"\r?\n").getItem(0), "^﻿", "")
+    head = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path", F.substring("content", 1, HEAD).alias("head"), (F.col("length") > HEAD).alias("is_cut"))
+    valid = lambda n: F.is_valid_utf8(F.expr(f"substring(head, 1, greatest(0, length(head) - {n}))").cast("string"))
+    utf8 = valid(0) | (F.col("is_cut") & (valid(1) | valid(2) | valid(3)))  # a cut may split a character
+    line = F.regexp_replace(F.split(F.when(utf8, F.make_valid_utf8(F.col("head").cast("string"))).otherwise(F.decode("head", "ISO-8859-1")), r"\r?\n").getItem(0), "^﻿", "")
     n = lambda d: F.length(line) - F.length(F.replace(line, F.lit(d), F.lit("")))
     best = F.when((n("\t") > n(";")) & (n("\t") > n(",")), "\t").when(n(";") >= n(","), F.when(n(";") > 0, ";").otherwise(",")).otherwise(",")
     return head.select("path", F.when(utf8, "UTF-8").otherwise("windows-1252").alias("encoding"), best.alias("delimiter"), line.alias("header"))
@@ -59,8 +62,9 @@ def read_family(spark: SparkSession, folder: str, family: str) -> DataFrame:
     for c in classes:
         names = [h.strip().strip('"').strip() or f"column{i}" for i, h in enumerate(c.header.split(c.delimiter))]
         schema = ", ".join(f"`{n}` string" for n in names)
-        rows = spark.read.schema(schema).option("header", True).option("sep", c.delimiter).option("encoding", c.encoding).option("multiLine", True).option("escape", '"').option("enforceSchema", True).csv(c.paths)
-        rows = rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("row_ix"), *(F.coalesce(F.trim(F.col(f"`{n}`")), F.lit("")).alias(n) for n in names))
+        rows = spark.read.schema(schema).option("header", True).option("sep", c.delimiter).option("encoding", "UTF-8" if c.encoding == "UTF-8" else "ISO-8859-1").option("multiLine", True).option("escape", '"').option("enforceSchema", True).csv(c.paths)
+        fix = (lambda x: x) if c.encoding == "UTF-8" else lambda x: F.translate(x, *WINDOWS)
+        rows = rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("row_ix"), *(F.coalesce(F.trim(fix(F.col(f"`{n}`"))), F.lit("")).alias(n) for n in names))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     if out is None:
         raise ValueError(f"{folder} has no file of {family}")
