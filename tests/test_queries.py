@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.plans import more_queries  # noqa: F401
 from tidemark.plans import queries as Q
 
 
