@@ -29,7 +29,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arc, out = shared_path(spark, "arc"), shared_path(spark, "warc")
     warc.write_arc(table(spark, sf_dir, "pages"), arc)
     warc.convert(spark, arc, out)
-    return warc.page_records(spark, out)
+    return warc.page_records(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = stored(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")), "sized")
     goal = mixing.source_targets(sized, F.col("source"), F.col("size"))
     taken = mixing.mix(sized, F.array("source"), F.col("size"), keep=["source"])
-    return taken.join(F.broadcast(goal), taken["source"].eqNullSafe(goal["source"])).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return taken.join(F.broadcast(goal), taken["source"].eqNullSafe(goal["source"])).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2, "op6_topk": OP6}
+    return {"op2_warc": OP2, "op6_topk": OP6, "op9_mixing": OP9}
 
 
 OP2 = """
@@ -111,3 +111,26 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+OP9 = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, '')) AS mark FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][1 + ((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3)::INT]::DOUBLE AS w FROM d GROUP BY source
+), o AS (
+  SELECT *, coalesce(sum(2 * source_size) OVER before, 0)::DOUBLE AS full_before, sum(w) OVER behind AS w_left, 1.5 * sum(source_size) OVER () AS goal FROM s
+  WINDOW before AS (ORDER BY source_size / w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         behind AS (ORDER BY source_size / w, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), f AS (
+  SELECT *, (goal - full_before) * w / w_left > 2 * source_size AS is_full FROM o
+), r AS (
+  SELECT *, max(goal) OVER () - coalesce(sum(2 * source_size) FILTER (is_full) OVER (), 0)::DOUBLE AS rest, sum(w) FILTER (NOT is_full) OVER () AS w_rest FROM f
+), t AS (
+  SELECT source, source_size, CASE WHEN is_full THEN (2 * source_size)::DOUBLE ELSE rest * w / w_rest END AS target FROM r
+), a AS (
+  SELECT d.*, source_size, target, least(round_even(target, 0), 2 * source_size) AS give,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY mark, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, (size * ((size > 0 AND at + size / 2 < give)::INT + (size > 0 AND source_size + at + size / 2 < give)::INT))::BIGINT AS taken FROM a
+"""
