@@ -129,8 +129,8 @@ WITH d AS (
   SELECT source, source_size, CASE WHEN is_full THEN (2 * source_size)::DOUBLE ELSE rest * w / w_rest END AS target FROM r
 ), a AS (
   SELECT d.*, source_size, target, least(round_even(target, 0), 2 * source_size) AS give,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY mark, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY mark, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, target, (size * ((size > 0 AND at + size / 2 < give)::INT + (size > 0 AND source_size + at + size / 2 < give)::INT))::BIGINT AS taken FROM a
+SELECT doc_id, size, source_size, target, (size * ((size > 0 AND ahead + size / 2 < give)::INT + (size > 0 AND source_size + ahead + size / 2 < give)::INT))::BIGINT AS taken FROM a
 """
