@@ -81,4 +81,4 @@ def test_run_health_of_late_runs(spark):
 def test_baseline_at_cutoff(spark):
     df = spark.createDataFrame([("f", datetime(2026, 7, 1)), ("f", datetime(2026, 7, 8))], "family string, captured_at timestamp")
     r = {x.period: x for x in periods.period_pairs(df, F.lit("2026-07-08 00:00:00").cast("timestamp")).collect()}
-    assert r["7d"].baseline == datetime(2026, 7, 1) and r["7d"].reason == "ok" and r["14d"].reason == "no_baseline"
+    assert r["7 days"].baseline == datetime(2026, 7, 1) and r["7 days"].reason == "ok" and r["15 days"].reason == "no_baseline"

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, diff, identity, links, metrics, policy, resolve
-from tidemark.plans import cards
+from tidemark.plans import cards, families
 from tidemark.streaming import incremental
 
 D = datetime
@@ -27,11 +27,9 @@ def test_last_row_wins_and_blank_keys_drop(spark):
 
 def test_unknown_manager_status_is_no_removal(spark):
     schema = "row_ix int, id string, manager string, status string"
-    d = diff.pair_diff(spark.createDataFrame([(0, "u", "boss", "200")], schema), spark.createDataFrame([(0, "u", "", "500")], schema), F.col("id"), "row_ix", exclude=["status"])
-    assert d.first().change == "Changed"
-    keep = "row_ix int, id string, manager string, status string"
-    d = diff.pair_diff(spark.createDataFrame([(0, "u", "boss", "200")], keep), spark.createDataFrame([(0, "u", "", "500")], keep), F.col("id"), "row_ix", guards={"manager": diff.unknown_status("status"), "status": F.lit(True)})
-    assert d.first().change == "Stable"
+    before, after = spark.createDataFrame([(0, "u", "boss", "200")], schema), spark.createDataFrame([(0, "u", "", "500")], schema)
+    assert diff.pair_diff(before, after, F.col("id"), "row_ix", exclude=["status"]).first().change == "Changed"
+    assert diff.pair_diff(before, after, F.col("id"), "row_ix", exclude=["status"], guards={"manager": diff.unknown_status("status")}).first().change == "Stable"
 
 
 def test_alias_ties_and_owner_changes(spark):
@@ -172,3 +170,29 @@ def test_incremental(spark):
     occ = spark.createDataFrame([("c", "e1"), ("b", "e2"), ("d", "e3")], "path string, entity string")
     assert {r.entity for r in incremental.affected(occ, c).collect()} == {"e1", "e3"}
     assert incremental.fingerprint(identity.ADAPTERS[0]) != incremental.fingerprint(identity.ADAPTERS[1])
+
+
+def rows(spark, *dicts):
+    names = sorted({k for d in dicts for k in d})
+    return spark.createDataFrame([(i, *(d.get(n, "") for n in names)) for i, d in enumerate(dicts)], ", ".join(["row_ix int", *(f"`{n}` string" for n in names)]))
+
+
+def test_family_rules(spark):
+    legacy = {"UserPrincipalName": "u", "RoleName": "r", "RoleState": "Active", "AssignmentSource": "Direct", "SourceGroup": ""}
+    stable = legacy | {"AssignmentScheduleId": "s", "UserId": "i"}
+    change = lambda f, b, a: sorted(r.change for r in families.compare(rows(spark, *b), rows(spark, *a), f).collect())
+    assert change("Entra_Role_Assignments", [legacy], [stable]) == ["Stable"]
+    assert change("Entra_Role_Assignments", [legacy], [legacy | {"RoleState": "Eligible"}]) == ["Added", "Removed"]
+    assert change("Entra_Role_Assignments", [stable], [stable | {"RoleState": "Eligible"}]) == ["Changed"]
+    box = {"ExternalDirectoryObjectId": "m", "FullAccessDelegates": "A;b", "SendAsDelegates": "x", "HasForwarding": "no"}
+    assert change("Exchange_SharedMailboxes", [box], [box | {"FullAccessDelegates": "B; a", "SendAsDelegates": "ERROR: no", "HasForwarding": "yes"}]) == ["Stable"]
+    device = {"ManagedDeviceId": "d", "UserId": "u", "UserDisplayName": "Old", "LastSyncDateTime": "1"}
+    assert change("Intune_ManagedDevices_Compliance", [device], [device | {"UserDisplayName": "New", "LastSyncDateTime": "2"}]) == ["Stable"]
+    assert change("Intune_ManagedDevices_Compliance", [device | {"UserId": ""}], [device | {"UserId": "", "UserDisplayName": "New"}]) == ["Changed"]
+    pack = {"AccessPackageId": "p", "PolicyId": ""}
+    assert change("Entra_Access_Packages", [pack], [pack, pack | {"PolicyId": "q"}]) == ["Added", "Stable"]
+    ios = {"EntraDeviceId": "", "UDID": "z", "FreeStorageGB": "1"}
+    assert change("Intune_iOS_Devices_Report", [ios], [ios | {"FreeStorageGB": "2"}]) == ["Stable"]
+    assert families.key_name("Unknown", ["X", "upn"]) == "upn" and families.key_name("Unknown", ["X"]) == "X"
+    d = families.labelled(families.compare(rows(spark, {"GroupId": "g", "UserId": "u", "UserDisplayName": "Ann", "GroupName": "Ops"}), rows(spark, {"GroupId": "h", "UserId": "u", "UserDisplayName": "Ann", "GroupName": ""}), "Entra_Group_User_Memberships"), "Entra_Group_User_Memberships")
+    assert {r.change: r.identity for r in d.collect()} == {"Removed": "Ann → Ops", "Added": "Ann → h"}

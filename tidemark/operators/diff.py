@@ -28,12 +28,12 @@ def last_row_wins(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     return own.select(*by, "_row.*")
 
 
-def changed_columns(columns: Sequence[str], before: str, after: str, guards: dict[str, Column] | None = None, token_columns: Sequence[str] = ()) -> Column:
-    """Array of (column, before, after) for columns that differ; token columns compare as sets; a guard that holds suppresses its column."""
+def changed_columns(columns: Sequence[str], before: str, after: str, guards: dict[str, Column] | None = None, token_columns: Sequence[str] = (), folded: Sequence[str] = ()) -> Column:
+    """Array of (column, before, after) for columns that differ; token columns compare as sets, folded ones without case; a guard that holds suppresses its column."""
     out = []
     for c in columns:
         a, b = F.col(f"{before}.`{c}`"), F.col(f"{after}.`{c}`")
-        differs = ~cells.same_tokens(a, b) if c in token_columns else cells.text(a) != cells.text(b)
+        differs = ~cells.same_tokens(a, b, fold=c in folded) if c in (*token_columns, *folded) else cells.text(a) != cells.text(b)
         if guards and c in guards:
             differs = differs & ~F.coalesce(guards[c], F.lit(False))
         out.append(F.when(differs, F.struct(F.lit(c).alias("column"), cells.text(a).alias("before"), cells.text(b).alias("after"))))
@@ -51,16 +51,17 @@ def unknown_status(status: str, missing_is_known: bool = False, before: str = "b
     return ~(cells.status_known(F.col(f"{before}.`{status}`"), missing_is_known) & cells.status_known(F.col(f"{after}.`{status}`"), missing_is_known))
 
 
-def pair_diff(before: DataFrame, after: DataFrame, key: Column, order: str, exclude: Sequence[str] = (), guards: dict[str, Column] | None = None, token_columns: Sequence[str] = ()) -> DataFrame:
+def pair_diff(before: DataFrame, after: DataFrame, key: Column, order: str, exclude: Sequence[str] = (), guards: dict[str, Column] | None = None, token_columns: Sequence[str] = (), folded: Sequence[str] = ()) -> DataFrame:
     """key, change (Added, Removed, Changed, Stable), changes: one full outer join of two snapshots by key.
 
-    Only columns in both tables are compared. Blank keys drop out on both sides; of equal keys the last row wins.
+    Only columns in both tables are compared, and of these none that `exclude` names; guards may read any column in both.
+    Blank keys drop out on both sides; of equal keys the last row wins.
     """
-    drop = {x.lower() for x in (*exclude, order)}
-    common = [c for c in after.columns if c in before.columns and c.lower() not in drop]
-    sides = [last_row_wins(d.withColumn("_key", key), ["_key"], order).select("_key", F.struct(*common, F.lit(1).alias("_here")).alias(s)) for d, s in ((before, "b"), (after, "a"))]
+    held = [c for c in after.columns if c in before.columns and c.lower() != order.lower()]
+    common = [c for c in held if c.lower() not in {x.lower() for x in exclude}]
+    sides = [last_row_wins(d.withColumn("_key", key), ["_key"], order).select("_key", F.struct(*held, F.lit(1).alias("_here")).alias(s)) for d, s in ((before, "b"), (after, "a"))]
     both = sides[0].join(sides[1], "_key", "full_outer")
-    changes = F.when(F.col("a._here").isNotNull() & F.col("b._here").isNotNull(), changed_columns(common, "b", "a", guards, token_columns))
+    changes = F.when(F.col("a._here").isNotNull() & F.col("b._here").isNotNull(), changed_columns(common, "b", "a", guards, token_columns, folded))
     change = F.when(F.col("b._here").isNull(), "Added").when(F.col("a._here").isNull(), "Removed").when(F.size("changes") > 0, "Changed").otherwise("Stable")
     return both.withColumn("changes", changes).withColumn("change", change).select(F.col("_key").alias("key"), "change", "changes", "b", "a")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Look-back periods in hours.
-PERIODS = {"24h": 24, "3d": 72, "7d": 168, "14d": 336, "21d": 504, "30d": 720}
+PERIODS = {"24 hours": 24, "48 hours": 48, "3 days": 72, "7 days": 168, "15 days": 360, "30 days": 720}
 
 
 def adjacent_pairs(snapshots: DataFrame, family: str = "family", at: str = "captured_at") -> DataFrame:

@@ -127,7 +127,7 @@ def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy(F.col("event_type").alias("family"), "captured_at", F.col("user_id").cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n_events"))
 
 
-_RECENT = f"""WITH {_FD}, p AS (SELECT * FROM (VALUES ('24h', 24), ('3d', 72), ('7d', 168), ('14d', 336), ('21d', 504), ('30d', 720)) v(period, hours)),
+_RECENT = f"""WITH {_FD}, p AS (SELECT * FROM (VALUES ('24 hours', 24), ('48 hours', 48), ('3 days', 72), ('7 days', 168), ('15 days', 360), ('30 days', 720)) v(period, hours)),
 sn AS (SELECT DISTINCT family, captured_at FROM fd),
 pp AS (SELECT family, period, max(captured_at) AS latest, max(captured_at) FILTER (captured_at <= TIMESTAMP '{REFERENCE}' - hours * INTERVAL 1 HOUR) AS base, count(*) AS n,
          any_value(TIMESTAMP '{REFERENCE}' - hours * INTERVAL 1 HOUR) AS cut FROM sn, p GROUP BY 1, 2),
