@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, diff, identity, links, metrics, policy, resolve
+from tidemark.operators import point_in_time as pit
 from tidemark.plans import cards, families
 from tidemark.streaming import incremental
 
@@ -196,3 +197,37 @@ def test_family_rules(spark):
     assert families.key_name("Unknown", ["X", "upn"]) == "upn" and families.key_name("Unknown", ["X"]) == "X"
     d = families.labelled(families.compare(rows(spark, {"GroupId": "g", "UserId": "u", "UserDisplayName": "Ann", "GroupName": "Ops"}), rows(spark, {"GroupId": "h", "UserId": "u", "UserDisplayName": "Ann", "GroupName": ""}), "Entra_Group_User_Memberships"), "Entra_Group_User_Memberships")
     assert {r.change: r.identity for r in d.collect()} == {"Removed": "Ann → Ops", "Added": "Ann → h"}
+
+
+def test_point_in_time(spark):
+    h = spark.createDataFrame([("users", D(2026, 1, 1), "a", "x"), ("users", D(2026, 1, 3), "a", "y"), ("users", D(2026, 1, 3), "b", ""), ("act", D(2026, 1, 2), "a", "z")], "family string, captured_at timestamp, entity string, p string")
+    asked = spark.createDataFrame([(e, f) for e in "ab" for f in ("users", "act")], "entity string, family string")
+    states = pit.reconstruct(h, asof.for_every_family(h, ["2026-01-02 12:00:00", "2026-01-04 00:00:00"]), asked, ["p"], ["users"])
+    got = {(r.entity, r.target.day): r for r in states.collect()}
+    assert got["b", 2].presence == "absent" and got["b", 2].properties is None and [c.status for c in got["b", 2].coverage] == ["entity_absent", "entity_absent"]
+    assert got["a", 4].coverage[1].gap_seconds == 86400 and [p.value for p in got["a", 4].properties] == ["z", "y"]
+    day = lambda d: states.filter(F.dayofmonth("target") == d)
+    assert [(r.entity, r.name, r.change) for r in pit.changes_between(day(2), day(4)).collect()] == [("a", "p", "modified")]
+    pairs = spark.createDataFrame([("users", "p", D(2026, 1, 3), D(2026, 1, 1), "ok"), ("act", "p", D(2026, 1, 2), None, "single")], "family string, period string, latest timestamp, baseline timestamp, reason string")
+    events, notes = pit.period_events(h, pairs, ["p"])
+    assert {(r.entity, r.change) for r in events.collect()} == {("a", "modified"), ("b", "added")} and notes.first().note == "single"
+    dev = spark.createDataFrame([("a", D(2026, 1, 4), ["d"], "populated")], "user_id string, captured_at timestamp, devices array<string>, coverage string")
+    assert {(r.entity, r.target.day): r.device_coverage for r in pit.with_devices(states, dev).collect()}[("a", 4)] == "populated"
+
+
+def test_policy_reports(spark):
+    pol = spark.createDataFrame([("p", "P", "win", "s", "h"), ("q", "Q", "mac", "s", "")], "policy_key string, name string, platform string, source string, hash string").withColumn("snapshot", F.lit(1))
+    assigned = spark.createDataFrame([("p", 1), ("p", 1)], "policy_key string, snapshot int")
+    settings = spark.createDataFrame([(1, "d1", "choice", 0), (1, "d2", "simple", 2)], "snapshot int, definition_id string, kind string, depth int")
+    m = policy.snapshot_metrics(pol, settings, assigned, ["snapshot"]).first()
+    assert (m.policies, m.eligible, m.settings, m.assignments) == (2, 1, 2, 2)
+    i = policy.inspection(settings, spark.createDataFrame([("d1",)], "definition_id string"), ["snapshot"]).first()
+    assert (i.nodes, i.max_depth, i.definition_coverage, i.missing_definitions) == (2, 2, 50.0, 1)
+    inv = policy.inventory(pol, spark.createDataFrame([("p", "modified")], "policy_key string, state string"), assigned)
+    assert {r.policy_key: (r.state, r.assignments) for r in inv.collect()} == {"p": ("modified", 2), "q": ("unchanged", 0)}
+    assert policy.filter_inventory(inv, platform="win", needle="P").count() == 1 and policy.inventory(pol, None, assigned).first().state == "no_baseline"
+    ev = spark.createDataFrame([("p", "removed"), ("p", "changed")], "policy_key string, event string")
+    named = policy.event_rows(ev, spark.createDataFrame([("p", "Old")], "policy_key string, name string"), spark.createDataFrame([("p", "New")], "policy_key string, name string"))
+    assert {r.event: r.policy for r in named.collect()} == {"removed": "Old", "changed": "New"}
+    d = spark.createDataFrame([("Added", "k1"), ("Removed", "k2")], "change string, key string")
+    assert policy.filter_details(d, "Added", "K1").count() == 1 and policy.filter_details(d, "All", "k").count() == 2

@@ -213,3 +213,43 @@ def names_asof(assigned: DataFrame, groups: DataFrame, at: str = "captured_at")
     used = asks.unionByName(lines).withColumn("used", F.last(F.when(~F.col("_ask"), F.col(at)), ignorenulls=True).over(w)).filter("_ask").select(at, "used")
     names = groups.select("group_id", F.col(at).alias("used"), "display")
     return assigned.join(used, at, "left").join(names, ["used", "group_id"], "left").withColumn("name", F.coalesce(cells.filled("display"), F.col("group_id"))).drop("display", "used")
+
+
+def snapshot_metrics(policies: DataFrame, settings: DataFrame, assigned: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per snapshot: policies, hash-eligible ones, settings, assignments; three aggregates joined on the snapshot."""
+    p = policies.groupBy(*by).agg(F.count(F.lit(1)).alias("policies"), F.count_if(F.col("hash") != "").alias("eligible"))
+    n = lambda df, name: df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    return p.join(n(settings, "settings"), list(by), "left").join(n(assigned, "assignments"), list(by), "left").fillna(0, ["settings", "assignments"])
+
+
+def inspection(settings: DataFrame, definitions: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per bundle: nodes, greatest depth, kinds, and the share of settings whose definition is there, with the number missing."""
+    known = settings.join(definitions.select("definition_id").distinct().withColumn("_d", F.lit(1)), "definition_id", "left")
+    out = known.groupBy(*by).agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("max_depth"), F.count_distinct("kind").alias("kinds"), F.count("_d").alias("_known"), F.count_distinct(F.when(F.col("_d").isNull(), F.col("definition_id"))).alias("missing_definitions"))
+    return out.withColumn("definition_coverage", F.round(100.0 * F.col("_known") / F.col("nodes"), 1)).drop("_known")
+
+
+def inventory(policies: DataFrame, diffs: DataFrame | None, assigned: DataFrame, key: str = "policy_key") -> DataFrame:
+    """Policies with change state (no_baseline without a comparison, unchanged where none was found), assignments, search text."""
+    n = assigned.groupBy(key).agg(F.count(F.lit(1)).alias("assignments"))
+    rows = policies.join(n, key, "left").fillna(0, ["assignments"])
+    rows = rows.join(diffs.select(key, "state"), key, "left").withColumn("state", F.coalesce("state", F.lit("unchanged"))) if diffs is not None else rows.withColumn("state", F.lit("no_baseline"))
+    return rows.withColumn("search", F.lower(F.concat_ws(" ", "name", "platform", "source", key)))
+
+
+def filter_inventory(rows: DataFrame, platform: str = "", source: str = "", state: str = "", needle: str = "") -> DataFrame:
+    for c, v in (("platform", platform), ("source", source), ("state", state)):
+        rows = rows.filter(F.col(c) == v) if v else rows
+    return rows.filter(F.col("search").contains(needle.lower())) if needle else rows
+
+
+def filter_details(details: DataFrame, change: str = "All", needle: str = "") -> DataFrame:
+    """Change details of one type with the needle in their joined text."""
+    rows = details if change == "All" else details.filter(F.col("change") == change)
+    return rows.filter(F.lower(F.concat_ws(" | ", *details.columns)).contains(needle.lower())) if needle else rows
+
+
+def event_rows(events: DataFrame, before: DataFrame, after: DataFrame, key: str = "policy_key") -> DataFrame:
+    """Events with the policy's display name: from before for removals, else from after."""
+    names = before.select(key, F.col("name").alias("_b")).join(after.select(key, F.col("name").alias("_a")), key, "full_outer")
+    return events.join(names, key, "left").withColumn("policy", F.when(F.col("event") == "removed", F.coalesce("_b", "_a")).otherwise(F.coalesce("_a", "_b"))).drop("_a", "_b")
