@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bound_batches, stored
 
 K, SCALE = 10, 1024
 #: Queries of a block on average, and candidates of a block: what bounds a task's dense array (8 bytes a cell).
@@ -74,6 +74,7 @@ def search(rows: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id"
     id but unlike vectors, the least vector (in array order) counts. An empty table gives no rows; an empty vector scores 0.
     """
     spark = rows.sparkSession
+    bound_batches(spark)
     small = rows.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("is_query")).filter("vec_id is not null and v is not null")
     small = stored(small.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("is_query").alias("is_query")), "quantised")
     n = small.filter("is_query").count()
