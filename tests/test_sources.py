@@ -25,6 +25,11 @@ def test_csv_folder(spark, tmp_path):
     assert n["Rep_20260103-010000.csv"] == 0
 
 
+def test_entity_histories_merge(spark):
+    snaps = spark.createDataFrame([("Entra_Users_AuthenticationMethods", datetime(2026, 1, 1), "a", 1), ("Entra_Users_AuthenticationMethods_Hybrid", datetime(2026, 1, 2), "b", 1), ("Intune_iOS_Devices_Report", datetime(2026, 1, 1), "c", 1)], "family string, captured_at timestamp, path string, seq int")
+    assert {r.path: (r.family, r.seq) for r in snapshots.merged_histories(snaps).collect()} == {"a": ("Entra_Users_AuthenticationMethods", 1), "b": ("Entra_Users_AuthenticationMethods", 2), "c": ("Intune_iOS_Devices_Report", 1)}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", None)], "x string, y string")
     snapshots.write_inventory(df, ["Y", "x", "z"], f"{tmp_path}/inv")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells
 
-# Fixed value: two spellings of a device report are one family for keys and exclusions.
-FAMILY_ALIASES = {"Intune_Android_Devices_Report": "Intune_Android_Devices", "Intune_iOS_Devices_Report": "Intune_iOS_Devices", "Entra_Users_AuthenticationMethods_Hybrid": "Entra_Users_AuthenticationMethods"}
+# Fixed value: families whose histories are one for entities. Comparison folds other ones, for their rules alone, in plans.families.
+ENTITY_FAMILIES = {"Entra_Users_AuthenticationMethods_Hybrid": "Entra_Users_AuthenticationMethods"}
 #: Bytes at the head of a file that tell its encoding and delimiter.
 HEAD = 8192
 #: The code points of ISO-8859-1 that windows-1252 gives other characters; Spark reads the former alone.
@@ -27,13 +27,17 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """path, family, captured_at, size, modified, seq of every stamped CSV file; no content is read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     named = files.select("path", cells.family_of(stem("path")).alias("family"), cells.stamp_of(stem("path")).alias("captured_at"), "size", "modified").filter("captured_at is not null")
-    from pyspark.sql import Window
-
     return named.withColumn("seq", F.row_number().over(Window.partitionBy("family").orderBy("captured_at", "path")))
 
 
 def canonical_family(family: Column | str) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FAMILY_ALIASES.items() for x in kv]), cells.col(family)), cells.col(family))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ENTITY_FAMILIES.items() for x in kv]), cells.col(family)), cells.col(family))
+
+
+def merged_histories(snapshots: DataFrame) -> DataFrame:
+    """Snapshots under their entity family, numbered anew by capture time."""
+    own = snapshots.withColumn("family", canonical_family("family"))
+    return own.withColumn("seq", F.row_number().over(Window.partitionBy("family").orderBy("captured_at", "path")))
 
 
 def dialects(spark: SparkSession, folder: str) -> DataFrame:
