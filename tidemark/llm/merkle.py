@@ -5,7 +5,7 @@ and the share of phrases that two trees have in common, by length, is their like
 
 A text is cut without loss: sections end after a blank line, before a heading line, or after a paragraph whose hash is
 divisible by 8 (so long texts without blank lines have local sections too); a paragraph is a line with its line end; a
-phrase ends after a white-space run that follows a word whose last character's code is divisible by 8, or after 16 words.
+phrase ends after a white-space run that follows a word whose last character's code is divisible by 4, or after 8 words.
 All cuts depend on nearby text only, so an edit changes the branches around it and leaves the others.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, bound_batches, map_rows, texts
 
-SECTION_MOD, PHRASE_WORDS = 8, 16
+SECTION_MOD, PHRASE_MOD, PHRASE_WORDS, LEAF_BYTES = 8, 4, 8, 3
 
 
 def _h(data: bytes, size: int = 8) -> bytes:
@@ -34,7 +34,7 @@ def phrases(paragraph: str) -> list[str]:
     out, held = [], []
     for w in re.findall(r"\s*\S+\s*", paragraph) or ([paragraph] if paragraph else []):
         held.append(w)
-        if ord(w.rstrip()[-1:] or " ") % 8 == 0 or len(held) == PHRASE_WORDS:
+        if ord(w.rstrip()[-1:] or " ") % PHRASE_MOD == 0 or len(held) == PHRASE_WORDS:
             out.append("".join(held))
             held = []
     return [*out, "".join(held)] if held else out
@@ -47,7 +47,7 @@ def tree(text: str) -> list[list[tuple[bytes, list[tuple[bytes, int]]]]]:
         if own and line.startswith("#"):
             sections.append(own)
             own = []
-        leaves = [(_h(p.encode("utf-8", "replace"), 4), len(p)) for p in phrases(line)]
+        leaves = [(_h(p.encode("utf-8", "replace"), LEAF_BYTES), len(p)) for p in phrases(line)]
         mark = _h(b"p" + b"".join(h + n.to_bytes(4, "little") for h, n in leaves))
         own.append((mark, leaves))
         if not line.strip() or mark[0] % SECTION_MOD == 0:
@@ -58,7 +58,7 @@ def tree(text: str) -> list[list[tuple[bytes, list[tuple[bytes, int]]]]]:
 
 def encode(text: str) -> str:
     """The tree as text: root/section/section..., a section being hash:paragraph,paragraph..., a paragraph its phrases as
-    4-byte hash and length in hex, joined by '.'. The root covers the whole text by its own hash too."""
+    3-byte hash and length in hex, joined by '.'. The root covers the whole text by its own hash too."""
     parts, marks = [], []
     for section in tree(text):
         mark = _h(b"s" + b"".join(p for p, _ in section))
@@ -73,7 +73,7 @@ def leaves(fingerprint: str) -> Counter:
     out: Counter = Counter()
     for section in fingerprint.split("/")[1:]:
         for leaf in re.split("[,.]", section.partition(":")[2]):
-            out[leaf] += int(leaf[8:], 16)
+            out[leaf] += int(leaf[2 * LEAF_BYTES :], 16)
     return out
 
 
