@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bound_batches, map_rows
+from .common import arrow_schema, bound_batches
 
 # Fixed values of the ARC and WARC formats.
 V1_FIELDS = "URL IP-address Archive-date Content-type Archive-length"
@@ -149,6 +149,12 @@ def parse_warc(data: bytes, name: str) -> Iterator[dict]:
         at = end + 4 + int(h["content-length"]) + 4
 
 
+def gunzipped(data: bytes) -> bytes:
+    import gzip
+
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def _read(spark: SparkSession, path: str, parse, schema: str, columns: list[str] | None) -> DataFrame:
     """Rows of all archives below path; a task holds one archive at a time and hands on some records at a time."""
     schema = ", ".join(c for c in schema.split(", ") if columns is None or c.split(" ")[0] in columns)
@@ -156,8 +162,6 @@ def _read(spark: SparkSession, path: str, parse, schema: str, columns: list[str]
     bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-
         def batch(held: list[dict]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in held], f.type) for f in out], schema=out)
 
@@ -165,7 +169,7 @@ def _read(spark: SparkSession, path: str, parse, schema: str, columns: list[str]
             for i in range(b.num_rows):
                 name, data = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 held, size = [], 0
-                for r in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, name.rsplit("/", 1)[-1]):
+                for r in parse(gunzipped(data), name.rsplit("/", 1)[-1]):
                     held.append(r)
                     size += r["payload_bytes"]
                     if size > 4 << 20:
@@ -209,29 +213,44 @@ def warc_text(r: dict) -> str:
 
 
 def roles(records: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """record_id and, for revisits, refers_to_id, refers_to_uri, refers_to_date of the record with the equal payload and the
-    smallest page_id (null ids last; equal ids by record identifier). Narrow rows: payloads stay where they are."""
+    """arc_file, offset, record_id of revisits, with refers_to_id, refers_to_uri, refers_to_date of the record with the equal
+    payload and the smallest page_id (null ids last; equal ids by record identifier). Narrow rows: payloads stay where they are."""
     own = records.filter(F.col("payload_bytes") >= min_bytes)
     order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "record_id", "url", "date")
     first = own.groupBy("payload_digest", "payload_bytes").agg(F.min(order).alias("first"))
-    found = own.select("record_id", "payload_digest", "payload_bytes").join(first, ["payload_digest", "payload_bytes"]).filter(F.col("record_id") != F.col("first.record_id"))
-    return found.select("record_id", F.col("first.record_id").alias("refers_to_id"), F.col("first.url").alias("refers_to_uri"), F.col("first.date").alias("refers_to_date"))
+    found = own.select("arc_file", "offset", "record_id", "payload_digest", "payload_bytes").join(first, ["payload_digest", "payload_bytes"]).filter(F.col("record_id") != F.col("first.record_id"))
+    return found.select("arc_file", "offset", "record_id", F.col("first.record_id").alias("refers_to_id"), F.col("first.url").alias("refers_to_uri"), F.col("first.date").alias("refers_to_date"))
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
     """Convert all ARC files below arc_path to gzip WARC files below warc_path.
 
-    Identifiers of revisits are found on narrow rows first; payloads are dealt by record identifier, so that thousands of
-    equal payloads spread evenly. Payload text must be UTF-8 (other bytes are replaced on writing).
+    Identifiers of revisits are found on narrow rows first and gathered for each ARC file (no more than it has records);
+    they meet the files as these are, compressed, so thousands of equal payloads skew nothing. Payload text must be UTF-8
+    (other bytes are replaced on writing).
     """
-    of = roles(read_arc(spark, arc_path, ["record_id", "page_id", "url", "date", "payload_bytes", "payload_digest"]), min_bytes)
-    rows = read_arc(spark, arc_path).join(of.withColumnRenamed("record_id", "rid").hint("shuffle_hash"), F.col("record_id") == F.col("rid"), "left")
-    names = ["record_id", "url", "ip", "date", "mime", "http", "payload", "payload_bytes", "payload_digest", "refers_to_id", "refers_to_uri", "refers_to_date"]
+    bound_batches(spark)
+    of = roles(read_arc(spark, arc_path, ["arc_file", "offset", "record_id", "page_id", "url", "date", "payload_bytes", "payload_digest"]), min_bytes)
+    of_file = of.groupBy("arc_file").agg(F.collect_list(F.struct("offset", "refers_to_id", "refers_to_uri", "refers_to_date")).alias("revisits"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(arc_path).select(F.element_at(F.split("path", "/"), -1).alias("arc_file"), "content")
+    names = ("refers_to_id", "refers_to_uri", "refers_to_date")
 
-    def make(c: dict) -> dict:
-        return {"value": [warc_text(dict(zip(names, r, strict=True))) for r in zip(*(c[n] for n in names), strict=True)]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                name, data, revisits = (b.column(k)[i].as_py() for k in range(3))
+                told, held, size = {r["offset"]: r for r in revisits or ()}, [], 0
+                for r in parse_arc(gunzipped(data), name):
+                    held.append(warc_text(r | {n: told[r["offset"]][n] if r["offset"] in told else None for n in names}))
+                    size += len(held[-1])
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
 
-    map_rows(rows.select(*names), make, "value string").write.option("maxRecordsPerFile", ROWS_PER_FILE).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", WARC_END).text(warc_path)
+    rows = files.join(of_file.hint("shuffle_hash"), "arc_file", "left").select("arc_file", "content", "revisits")
+    rows.mapInArrow(run, "value string").write.option("maxRecordsPerFile", ROWS_PER_FILE).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", WARC_END).text(warc_path)
 
 
 def page_records(spark: SparkSession, warc_path: str) -> DataFrame:
