@@ -1,0 +1,121 @@
+"""Near copies by real similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Candidates are texts that agree on a band of MinHash values; of each candidate pair the whole hashed sets are compared, so no
+pair is linked below the threshold. A pair of similarity s meets in a band with probability 1 - (1 - s^ROWS)^BANDS, which is
+0.99997 at 0.8 and more above it.
+
+Two passes keep large groups linear. First all members of a band are compared with its smallest member. Then, for those
+bands whose members do not hang together yet, all pairs of members from unlike components are compared. Pairs inside a
+component need no comparison, as they can't change the closure. Only sizes that rule the threshold out are left out before.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import bound_batches, map_rows, stored, texts
+from .simhash import SEED, components
+
+SHINGLE, BANDS, ROWS = 5, 20, 4
+#: Similarity of 0.8 or more in whole numbers: shared / (a + b - shared) >= 4 / 5.
+ENOUGH = "9L * {shared} >= 4L * ({a} + {b})"
+_DRAWN = np.random.default_rng(SEED).integers(0, 2**63, (3, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted XXH64 hashes of the distinct word shingles. ASCII letters are lower-cased; fewer words than a shingle are one; no word: none."""
+    import xxhash
+
+    words = text.encode("utf-8", "replace").lower().split()  # both for ASCII alone
+    if not words:
+        return np.zeros(0, np.uint64)
+    one, n = xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1)
+    return np.unique(np.fromiter((one(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def bands_of(hashes: np.ndarray) -> np.ndarray:
+    """One value a band, equal where the band's MinHash values are."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):  # a very long text takes no more memory than this many shingles
+        least = np.minimum(least, _mixed(hashes[at : at + (1 << 12), None] * _DRAWN[0] + _DRAWN[1]).min(0))
+    return _mixed((_mixed(least) * _DRAWN[2]).reshape(BANDS, ROWS).sum(1, dtype=np.uint64))
+
+
+def _node(hashes: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, node (hash of the whole set, 0 if empty), n (size of the set) and bands (none if empty)."""
+    bound_batches(docs.sparkSession)
+
+    def make(c: dict) -> dict:
+        sets = [shingle_set(t) for t in c["text"]]
+        node = np.array([_node(s) for s in sets], np.uint64)
+        return {"doc_id": c["doc_id"], "node": node.view(np.int64), "n": [len(s) for s in sets], "bands": [(bands_of(s) if len(s) else s).view(np.int64) for s in sets]}
+
+    return map_rows(texts(docs, id_col, text_col), make, "doc_id long, node long, n int, bands array<long>")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, made: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node and hashes of the given nodes, made anew from one text of each: few texts have candidates, so sets of all are not moved."""
+    ids = made.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+
+    def make(c: dict) -> dict:
+        sets = [shingle_set(t) for t in c["text"]]
+        return {"node": np.array([_node(s) for s in sets], np.uint64).view(np.int64), "hashes": [s.view(np.int64) for s in sets]}
+
+    own = texts(docs, id_col, text_col).join(ids, "doc_id", "left_semi")
+    return map_rows(own, make, "node long, hashes array<long>").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"of_{x}"))
+    both = stored(pairs.distinct(), "pairs").join(side("a"), "a").join(side("b"), "b")
+    return both.filter(ENOUGH.format(shared="size(array_intersect(of_a, of_b))", a="size(of_a)", b="size(of_b)")).select("a", "b")
+
+
+def _sizes_fit(a: str, b: str) -> str:
+    return f"5L * least({a}, {b}) >= 4L * greatest({a}, {b})"
+
+
+def similar_links(docs: DataFrame, made: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Verified links (a, b) between unlike nodes of the docs' sketches, whose closure joins all nodes that meet in a band and are similar enough."""
+    rows = made.select("node", "n", F.explode("bands").alias("band")).distinct()
+    heads = rows.groupBy("band").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("band", "lead")
+    met = stored(rows.join(heads, "band"), "bands")
+    sets = stored(_sets(docs, met.select("node").distinct(), made, id_col, text_col), "sets")
+    stars = met.filter(f"node <> lead.node and {_sizes_fit('n', 'lead.n')}").select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+    first = stored(_verified(stars, sets), "similar")
+    of = components(first)
+    met = met.join(of, "node", "left").select("band", "node", "n", F.col("lead.node").alias("lead"), F.coalesce("root", "node").alias("root"))
+    apart = met.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+    met = stored(met.join(apart, "band", "left_semi").filter("node <> lead"), "apart")  # the lead has met all
+    other = met.select("band", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "root")))
+    rest = met.join(other, (met.band == other.band) & F.expr(f"root < other_root and {_sizes_fit('n', 'other_n')}"))
+    rest = rest.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
+    return first.unionAll(_verified(rest, sets))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, component_id (the smallest doc_id of its group of near copies).
+
+    Links are closed, so a group may hold texts that are similar over others only. Null and empty texts form one group.
+    Repeated rows share their id and hence their group. Ids are not null. Empty input gives no rows.
+    """
+    made = stored(sketches(docs, id_col, text_col), "sketches")
+    of = components(similar_links(docs, made, id_col, text_col))
+    owned = made.groupBy("node").agg(F.min("doc_id").alias("least")).join(of, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    owned = stored(owned, "owned")
+    best = owned.groupBy("root").agg(F.min("least").alias("component_id"))
+    return made.select("doc_id", "node").join(owned.join(best, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
