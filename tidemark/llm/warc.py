@@ -86,8 +86,10 @@ def write_arc(pages: DataFrame, path: str, version: Column | None = None, id_col
     rows.mapInArrow(run, "value string").write.option("maxRecordsPerFile", ROWS_PER_FILE).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").text(path)
 
 
-def parse_arc(data: bytes, name: str) -> Iterator[dict]:
-    """Records of one uncompressed ARC file, by the header line of its version and the declared length."""
+def parse_arc(data: bytes, name: str, blocks: bool = False) -> Iterator[dict]:
+    """Records of one uncompressed ARC file, by the header line of its version and the declared length; version blocks, as `block`, on demand.
+
+    Whatever follows the field line of a version block, such as the XML metadata of ARC 1.1, belongs to the block."""
     at, version = 0, 1
     while at < len(data):
         end = data.find(b"\n", at)
@@ -106,8 +108,11 @@ def parse_arc(data: bytes, name: str) -> Iterator[dict]:
         if line.startswith("filedesc://"):
             first, _, rest = body.decode("ascii", "replace").partition("\n")
             version = int(first.split(" ")[0])
-            if rest.strip() != (V2_FIELDS if version == 2 else V1_FIELDS):
+            if rest.lstrip().partition("\n")[0].strip() != (V2_FIELDS if version == 2 else V1_FIELDS):
                 raise ValueError(f"{name}: unknown fields for version {version}")
+            if blocks:
+                date = fields[2 - (10 if version == 2 else 5)]
+                yield {"offset": at, "record_id": f"<urn:uuid:{uuid.uuid5(SPACE, f'{name}@{at}')}>", "date": date, "block": body}
         else:
             wanted = 10 if version == 2 else 5
             url, (ip, date, mime, *more) = " ".join(fields[: len(fields) - wanted + 1]), fields[len(fields) - wanted + 1 :]
@@ -178,7 +183,7 @@ def _read(spark: SparkSession, path: str, parse, schema: str, columns: list[str]
                 if held:
                     yield batch(held)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, schema)
 
 
@@ -212,6 +217,14 @@ def warc_text(r: dict) -> str:
     return "\r\n".join(lines) + "\r\n\r\n" + block
 
 
+def warcinfo_text(r: dict) -> str:
+    """The warcinfo record of an ARC version block, which it keeps whole, without the two line ends that close it."""
+    block = r["block"].decode("utf-8", "replace")
+    raw = block.encode("utf-8", "replace")
+    lines = [WARC_VERSION, "WARC-Type: warcinfo", f"WARC-Record-ID: {r['record_id']}", f"WARC-Date: {iso_date(r['date'])}", f"WARC-Block-Digest: sha1:{digest(raw)}", "Content-Type: text/plain", f"Content-Length: {len(raw)}"]
+    return "\r\n".join(lines) + "\r\n\r\n" + block
+
+
 def roles(records: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """arc_file, offset, record_id of revisits, with refers_to_id, refers_to_uri, refers_to_date of the record with the equal
     payload and the smallest page_id (null ids last; equal ids by record identifier). Narrow rows: payloads stay where they are."""
@@ -223,7 +236,7 @@ def roles(records: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
-    """Convert all ARC files below arc_path to gzip WARC files below warc_path.
+    """Convert all ARC files in arc_path, whatever their names (hidden ones left out), to gzip WARC files in warc_path. Each version block becomes a warcinfo record.
 
     Identifiers of revisits are found on narrow rows first and gathered for each ARC file (no more than it has records);
     they meet the files as these are, compressed, so thousands of equal payloads skew nothing. Payload text must be UTF-8
@@ -232,7 +245,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
     bound_batches(spark)
     of = roles(read_arc(spark, arc_path, ["arc_file", "offset", "record_id", "page_id", "url", "date", "payload_bytes", "payload_digest"]), min_bytes)
     of_file = of.groupBy("arc_file").agg(F.collect_list(F.struct("offset", "refers_to_id", "refers_to_uri", "refers_to_date")).alias("revisits"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(arc_path).select(F.element_at(F.split("path", "/"), -1).alias("arc_file"), "content")
+    files = spark.read.format("binaryFile").load(arc_path).select(F.element_at(F.split("path", "/"), -1).alias("arc_file"), "content")
     names = ("refers_to_id", "refers_to_uri", "refers_to_date")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,8 +253,8 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
             for i in range(b.num_rows):
                 name, data, revisits = (b.column(k)[i].as_py() for k in range(3))
                 told, held, size = {r["offset"]: r for r in revisits or ()}, [], 0
-                for r in parse_arc(gunzipped(data), name):
-                    held.append(warc_text(r | {n: told[r["offset"]][n] if r["offset"] in told else None for n in names}))
+                for r in parse_arc(gunzipped(data), name, blocks=True):
+                    held.append(warcinfo_text(r) if "block" in r else warc_text(r | {n: told[r["offset"]][n] if r["offset"] in told else None for n in names}))
                     size += len(held[-1])
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
