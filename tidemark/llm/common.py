@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,3 +79,68 @@ def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
+
+
+class Numbered:
+    """Numbers of byte strings, in the order in which they are first seen; all strings of a batch are looked up together.
+
+    A string of up to 24 bytes is three words, which are compared as a whole with those of the last string of its slot, so
+    equal numbers mean equal bytes; longer ones, and those whose slot another string took, go through a dict.
+    """
+
+    WORDS, SLOT_BITS = 3, 21
+    _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+    _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.slots = np.full(1 << self.SLOT_BITS, -1, np.int32)
+        self.words = np.zeros((self.WORDS + 1, 1), np.uint64)  # of each number, and its size
+        self.held = 0
+
+    def __len__(self) -> int:
+        return len(self.known)
+
+    def numbers(self, data: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """(number of each string data[start : start + size], the new ones in order of their numbers). Sizes are above 0."""
+        view = np.ndarray(len(data) + 1, "<u8", data + bytes(8 * self.WORDS + 8), strides=(1,))
+        own = [view[np.minimum(start + 8 * k, len(data))] & self._MASKS[np.clip(size - 8 * k, 0, 8)] for k in range(self.WORDS)] + [size.astype(np.uint64)]
+        slot = own[0] * self._ODD[0]
+        for k in range(1, self.WORDS):
+            slot = (slot ^ (slot >> np.uint64(29)) ^ own[k]) * self._ODD[k]
+        slot = ((slot ^ (slot >> np.uint64(32))) * self._ODD[0] >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+        number = self.slots[slot].astype(np.int64)
+        seen = (number >= 0) & (size <= 8 * self.WORDS)
+        for k in range(self.WORDS + 1):
+            seen &= self.words[k][number] == own[k]
+        missed = np.flatnonzero(~seen)
+        known, first = self.known, len(self.known)
+        new: list[bytes] = []
+        fresh, found = [], []
+        for i, a, n in zip(missed.tolist(), start[missed].tolist(), size[missed].tolist(), strict=True):
+            u = data[a : a + n]
+            x = known.get(u)
+            if x is None:
+                x = known[u] = first + len(new)
+                new.append(u)
+                fresh.append(i)
+            found.append(x)
+        if new:
+            end = first + len(new)
+            if end > self.words.shape[1]:
+                self.words = np.concatenate([self.words, np.zeros((self.WORDS + 1, max(end, 2 * self.words.shape[1]) - self.words.shape[1]), np.uint64)], axis=1)
+            for k in range(self.WORDS + 1):
+                self.words[k, first:end] = own[k][fresh]
+            self.held += sum(map(len, new))
+        number[missed] = found
+        self.slots[slot[missed]] = number[missed]
+        return number, new
+
+
+def longer(x: np.ndarray, size: int) -> np.ndarray:
+    """x if it has room for `size`, else a copy with half as much again."""
+    if size <= len(x):
+        return x
+    out = np.empty(size + size // 2, x.dtype)
+    out[: len(x)] = x
+    return out

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bound_batches, texts
+from .common import Numbered, arrow_schema, bound_batches, longer, texts
 
 BLOCK_IDS, END_ID = 1 << 16, 0
 BLOCK = "part int, block int, bits int, n_ids long, part_start long, packed binary, doc_ids array<long>, doc_starts array<long>, doc_lens array<long>"
-#: Units of text whose ids a worker remembers; the memory is dropped when full.
-MEMORY = 400_000
+#: Units of text whose ids a worker remembers, and their bytes; the memory is dropped when either is full.
+MEMORY, MEMORY_BYTES = 600_000, 32 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -54,14 +54,50 @@ def unpack(data: bytes, bits: int, start: int = 0, count: int | None = None) ->
     return np.packbits(out, axis=1, bitorder="little").view("<u4").ravel()
 
 
+# Classes of bytes for cutting: white, letter, digit, other ASCII, apostrophe, unknown, white beyond ASCII.
+_WHITE, _LETTER, _DIGIT, _SIGN, _APOSTROPHE, _UNKNOWN, _WIDE_WHITE = range(7)
+_CLASS = np.array([_WHITE if b in b"\t\n\v\f\r " else _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _APOSTROPHE if b == 39 else _SIGN for b in range(128)] + [_UNKNOWN] * 128, np.uint8)
+#: UTF-8 of white-space characters beyond ASCII.
+_WIDE = [c.encode() for c in "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+#: Whether a unit ends between two classes (first * 8 + second).
+_ENDS = np.zeros(64, bool)
+for _a in (_LETTER, _DIGIT, _SIGN, _APOSTROPHE, _UNKNOWN):
+    _ENDS[_a * 8 + _WHITE] = True
+for _a, _b in ((_LETTER, _DIGIT), (_LETTER, _SIGN), (_LETTER, _APOSTROPHE), (_DIGIT, _LETTER), (_DIGIT, _SIGN), (_DIGIT, _APOSTROPHE), (_SIGN, _LETTER), (_SIGN, _DIGIT)):
+    _ENDS[_a * 8 + _b] = True
+
+
+def cut(data: np.ndarray) -> np.ndarray:
+    """Where units begin in UTF-8 bytes, as a mask: places that byte-level pre-tokenisation never crosses.
+
+    It never goes from a visible character to white space, and never joins letters, digits and other signs, but for
+    contractions behind an apostrophe. Latin letters beyond ASCII are letters; what is beyond them ends at white space only.
+    """
+    kind = _CLASS[data]
+    if len(data) and data.max() >= 0x80:
+        lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))
+        sign = (data[lead] == 0xC3) & ((data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7))
+        lead = lead[~sign]
+        kind[lead] = kind[lead + 1] = _LETTER
+        for w in _WIDE:
+            at = np.flatnonzero(data == w[-1])
+            at = at[at >= len(w) - 1]
+            for k, c in enumerate(reversed(w)):
+                at = at[data[at - k] == c]
+            kind[at] = _WIDE_WHITE
+    out = np.ones(len(data), bool)
+    out[1:] = _ENDS[kind[:-1] * 8 + kind[1:]]
+    return out
+
+
 class Encoder:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library.
 
-    Byte-level pre-tokenisation never crosses from a visible character to white space, nor from a run of letters to
-    anything else, so a text is encoded unit by unit (white space with the letters or the other run behind it) and a
-    worker encodes a unit once. Many new units are encoded in one go, a special token between them, which splits the text
-    before anything else looks at it. Where the tokenizer's settings or a text's control characters leave any of this in
-    doubt, whole texts are encoded.
+    A text is cut into units where byte-level pre-tokenisation never crosses, and a worker encodes a unit once. All units of
+    a batch are found and looked up together, in numpy. New units that are one pre-token (letters, a space in front or not)
+    go straight to the library's BPE model; others are encoded in bulk with a special token between them, which splits the
+    text before anything else looks at it. Where the tokenizer's settings or a text's control characters leave any of
+    this in doubt, whole texts are encoded.
     """
 
     def __init__(self, path: str) -> None:
@@ -71,6 +107,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -78,60 +115,67 @@ class Encoder:
         pre, added = told.get("pre_tokenizer") or {}, told.get("added_tokens", [])
         plain = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) and not re.search(r"\s|\w+$", t["content"]) for t in added)
         self.by_unit = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not told.get("normalizer") and not told["model"].get("dropout") and plain
-        self.marks = [t["content"] for t in added]
         self.mark = next(((t["content"], t["id"]) for t in added if t.get("special")), None)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.units, self.odd = re.compile(r"\s*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?!\w)|\s*\S+|\s+"), re.compile("[\x1c-\x1f]" + "".join("|" + re.escape(m) for m in self.marks))
+        self.odd = re.compile(b"[\x1c-\x1f]" + b"".join(b"|" + re.escape(t["content"].encode()) for t in added))
+        self.one_token = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u027f]+")
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.shown = {ord(c): "".join(t for t, _ in as_bytes(c)) for c in map(chr, (*range(128), *range(0xC0, 0x280)))}  # how the model takes bytes
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.total = 0
-        self.flat, self.begin, self.size = ([np.zeros(0, t)] for t in (np.uint32, np.int64, np.int64))
-
-    def _learn(self, new: list[str]) -> None:
-        from itertools import chain
-
-        for at in range(0, len(new), 1024):
-            own = new[at : at + 1024]
+        self.known = Numbered()
+        self.size, self.begin, self.flat, self.total = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
+
+    def _add(self, new: list[bytes], first: int) -> None:
+        """Encode new units, numbered from `first`."""
+        texts = [u.decode("utf-8", "replace") for u in new]
+        alone = [bool(self.one_token.fullmatch(t)) for t in texts]
+        bpe, shown = self.tokenizer.model.tokenize, self.shown
+        made = [[t.id for t in bpe(x.translate(shown))] if a else None for x, a in zip(texts, alone, strict=True)]
+        rest = [i for i, a in enumerate(alone) if not a]
+        for at in range(0, len(rest), 256):
+            own = rest[at : at + 256]
             if self.mark:
-                ids = np.array(self.tokenizer.encode_batch_fast([self.mark[0].join(own)], add_special_tokens=False)[0].ids, np.uint32)
-                cut = np.flatnonzero(ids == self.mark[1])
-                sizes = np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1
-                ids = np.delete(ids, cut)
+                ids = np.array(self.tokenizer.encode_batch_fast([self.mark[0].join([texts[i] for i in own])], add_special_tokens=False)[0].ids, np.uint32)
+                each = np.split(ids, np.flatnonzero(ids == self.mark[1]))
+                for i, e in zip(own, [each[0], *(e[1:] for e in each[1:])], strict=True):
+                    made[i] = e.tolist()
             else:
-                each = [e.ids for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
-                sizes, ids = np.fromiter(map(len, each), np.int64, len(each)), np.fromiter(chain.from_iterable(each), np.uint32)
-            self.known.update(zip(own, range(len(self.known), len(self.known) + len(own)), strict=True))
-            self.begin.append(self.total + np.cumsum(sizes) - sizes)
-            self.size.append(sizes)
-            self.flat.append(ids)
-            self.total += len(ids)
+                for i, e in zip(own, self.tokenizer.encode_batch_fast([texts[i] for i in own], add_special_tokens=False), strict=True):
+                    made[i] = e.ids
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        end, total = first + len(new), self.total + int(sizes.sum())
+        self.size, self.begin, self.flat = longer(self.size, end), longer(self.begin, end), longer(self.flat, total)
+        self.size[first:end], self.begin[first:end] = sizes, self.total + np.cumsum(sizes) - sizes
+        self.flat[self.total : total] = np.fromiter((i for ids in made for i in ids), np.uint32, total - self.total)
+        self.total = total
 
     def __call__(self, batch: list[str]) -> list[np.ndarray]:
         if not self.by_unit:
             return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(batch, add_special_tokens=False)]
-        if len(self.known) > MEMORY:
+        if len(self.known) > MEMORY or self.known.held > MEMORY_BYTES:
             self._forget()
-        whole = [bool(self.odd.search(t)) for t in batch]
-        cut = [[] if w else self.units.findall(t) for t, w in zip(batch, whole, strict=True)]
-        new: dict[str, None] = {}
-        for units in cut:
-            new.update(dict.fromkeys(u for u in units if u not in self.known))
-        self._learn(list(new))
-        self.flat, self.begin, self.size = ([np.concatenate(x)] for x in (self.flat, self.begin, self.size))
-        flat, begin, size = self.flat[0], self.begin[0], self.size[0]
-        out = []
-        for t, w, units in zip(batch, whole, cut, strict=True):
-            if w:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
-                continue
-            at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
-            n = size[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(flat[np.repeat(begin[at] - ends + n, n) + np.arange(total)])
-        return out
+        raw = [t.encode("utf-8", "replace") for t in batch]
+        odd = {i for i, r in enumerate(raw) if self.odd.search(r)} if self.odd.search(b"".join(raw)) else ()
+        data = b"".join(r for i, r in enumerate(raw) if i not in odd)
+        lens = np.array([0 if i in odd else len(r) for i, r in enumerate(raw)], np.int64)
+        ends = np.cumsum(lens)
+        if data:
+            begins = cut(np.frombuffer(data, np.uint8))
+            begins[(ends - lens)[lens > 0]] = True
+            start = np.flatnonzero(begins)
+            first = len(self.known)
+            number, new = self.known.numbers(data, start, np.diff(np.append(start, len(data))))
+            if new:
+                self._add(new, first)
+            n = self.size[number]
+            upto = np.cumsum(n)
+            ids = self.flat[np.repeat(self.begin[number] - upto + n, n) + np.arange(int(upto[-1]))]
+            at = np.concatenate(([0], upto))[np.searchsorted(start, np.append(ends - lens, len(data)))]
+        else:
+            ids, at = np.zeros(0, np.uint32), np.zeros(len(batch) + 1, np.int64)
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if i in odd else ids[at[i] : at[i + 1]] for i, t in enumerate(batch)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
