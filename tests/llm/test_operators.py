@@ -167,8 +167,8 @@ def test_tokens_awkward(spark, docs, empty, tmp_path):
     assert tokens.read_documents(spark, f"{tmp_path}/1").count() == 0
 
 
-@given(st.lists(st.sampled_from(["a", "é", "α", "²", "5", "'s", " ", "  ", "\n", "\t", "!", "_", "क", "़", "<|endoftext|>", "\x1c", "\xa0", "中", "."]), max_size=30))
-@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "é", "α", "²", "5", "'s", " ", "  ", "\n", "\t", "!", "_", "क", "़", "<|endoftext|>", "\x1c", "\xa0", "中", ".", "×", "ÿ", "ɏ", "ʼ", "\u0301", "“", "\u2003", "\u3000", "\x85", "'", "٣", "Ⅳ", "I'll", "abcdefghijklmnopqrstuvwxyz", "\0", "7z"]), max_size=30))
+@settings(max_examples=600, deadline=None)
 def test_units_encode_as_whole(parts):
     e = tokens.encoder(P.path("byte_bpe_50k.json"))
     text = "".join(parts)
@@ -432,6 +432,49 @@ def test_small_lattices_are_exhausted(vocab):
         assert len(own) == len(all_segmentations(text, vocab)) == len({tuple(s.edges.tolist()) for s in own}) and all(s.inclusion == 1 for s in own)
 
 
+def test_pieces_query_against_enumeration(spark, vocab, tmp_path):
+    """The query on short texts: every sample is one of all segmentations, by its ids' checksum, with that one's probability."""
+    texts = ["the", "in er", "☃a", "ab\ncd", "", None, "1.5 x", "don't", "naïve", "  a"]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.defaultdict(list)
+    for r in queries.op8_sentencepiece(spark, str(tmp_path)).collect():
+        got[r.doc_id].append(r)
+    for i, t in enumerate(texts):
+        law = {}
+        for seg, p in all_segmentations(vocab.normalised(t or ""), vocab).items():
+            ids = [x for s in seg for x in ([s] if s >= 0 else [vocab.byte_ids[b] for b in chr(-1 - s).encode()])]
+            law[zlib.crc32(np.array(ids, "<u4").tobytes())] = (p, len(ids))
+        own = sorted(got[i], key=lambda r: r.sample)
+        assert len(own) == min(2, len(law)) and len({r.ids_crc32 for r in own}) == len(own) and all(r.round_trip for r in own)
+        assert all(math.exp(r.log_prob) == pytest.approx(law[r.ids_crc32][0]) and r.n_pieces == law[r.ids_crc32][1] for r in own)
+        assert all(a.value >= b.value for a, b in zip(own, own[1:], strict=False)) and (len(law) > 2 or all(r.inclusion == 1 for r in own))
+
+
+def test_units_never_cut_a_piece(vocab):
+    for t, k in zip(vocab.text, vocab.kind, strict=True):
+        if k == "piece":
+            x = vocab.letter[[ord(c) for c in t]]
+            assert vocab.joined[x[:-1], x[1:]].all()
+
+
+def test_lattices_kept_between_texts_change_nothing(vocab, monkeypatch):
+    """Samples do not depend on what the worker has seen, nor on when it forgets."""
+    texts = [vocab.normalised(" ".join(f"wo{i * j % 17}rd, x{j}" for j in range(12))) for i in range(40)]
+    keys = [pieces._row_key(i, 9) for i in range(40)]
+
+    def told(batches, held):
+        out = []
+        for a, b in batches:
+            la, found = pieces.sample_batch(texts[a:b], keys[a:b], vocab, 3, held)
+            out += [[(la.piece[s.edges].tolist(), s.log_prob, s.value, s.inclusion) for s in own] for own in found]
+        return out
+
+    want = told([(0, 40)], None)
+    monkeypatch.setattr(pieces, "HELD_EDGES", 500)
+    assert told([(i, i + 5) for i in range(0, 40, 5)], pieces.Held(vocab)) == want
+
+
 def test_pieces_awkward(spark, docs, empty, vocab):
     import sentencepiece
 
