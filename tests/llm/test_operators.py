@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -555,7 +556,7 @@ def test_mixing_overlap_and_awkward(spark, docs, empty):
 @settings(max_examples=200, deadline=None)
 def test_phrases_lose_nothing(text):
     assert "".join(merkle.phrases(text)) == text
-    assert sum(merkle.leaves(merkle.encode(text)).values()) == len(text)
+    assert merkle.encode(text) == plain_merkle(text)[0]
     assert merkle.likeness(merkle.encode(text), merkle.encode(text)) == 1.0
 
 
@@ -568,6 +569,42 @@ def test_edits_are_located():
     assert merkle.likeness(a, merkle.encode("nothing in common")) == 0.0
 
 
+def plain_merkle(text):
+    """(fingerprint, phrases' marks with repeats), word by word and without the operator's code."""
+    hashed = lambda data, size=8: hashlib.blake2b(data, digest_size=size).digest()
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+_"
+    sections, marks, fresh = [], [], True
+    for line in text.splitlines(keepends=True):
+        bits = re.split(r"(\s+)", line)  # words at even places
+        own, words, found = "", 0, []
+        for i, bit in enumerate(bits):
+            if i % 2 == 0 and bit:
+                if words and (bits[i - 2][-1] in "dhlptxDHLPTX048,;" or words == 8):
+                    found.append(own)
+                    own, words = "", 0
+                words += 1
+            own += bit
+        found += [own] if own else []
+        full = [xxhash.xxh3_64(x.encode()).intdigest() for x in found]
+        shown = ["".join(alphabet[h >> s & 63] for s in (0, 6, 12, 18)) for h in full]
+        mark = hashed(b"p" + b"".join(h.to_bytes(8, "little") for h in full))
+        if fresh or line[0] == "#":
+            sections.append([])
+        sections[-1].append((mark, shown))
+        marks += shown
+        fresh = line.isspace() or mark[0] % 8 == 0
+    tops = [hashed(b"s" + b"".join(m for m, _ in sec)) for sec in sections]
+    root = hashed(b"r" + b"".join(tops) + hashed(text.encode(), 16), 16).hex()
+    return "/".join([root] + [t.hex() + ":" + ",".join("".join(x) for _, x in sec) for t, sec in zip(tops, sections, strict=True)]), collections.Counter(marks)
+
+
+def plain_likeness(a, b):
+    if a[0][:32] == b[0][:32]:
+        return 1.0
+    total = sum(a[1].values()) + sum(b[1].values())
+    return 2 * sum((a[1] & b[1]).values()) / total if total else 0.0
+
+
 def brute_merkle(rows):
     rows = sorted(rows, key=lambda r: -r[0])
     out = {}
@@ -575,11 +612,32 @@ def brute_merkle(rows):
         t, nxt = t or "", rows[(k + 1) % len(rows)][1] or ""
         cut = len(t) // 3
         edited = t[: len(t) - cut] + nxt[:cut]
-        f, g = merkle.encode(t), merkle.encode(edited)
-        out[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), f, g, merkle.likeness(f, g), merkle.likeness(f, merkle.encode(nxt)))
+        f, g = plain_merkle(t), plain_merkle(edited)
+        out[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), f[0], g[0], plain_likeness(f, g), plain_likeness(f, plain_merkle(nxt)))
     return out
 
 
+def test_merkle_long_white_space():
+    began = time.process_time()
+    for text in (" " * 1_000_000, "\t \n" * 300_000, "a" * 1_000_000, "a " * 400_000 + " " * 200_000):
+        assert merkle.likeness(merkle.encode(text), merkle.encode(text + "x")) <= 1
+    assert time.process_time() - began < 20
+
+
+def test_merkle_parts_split_repeated_and_null_ids(spark):
+    """Whatever the parts, neighbours are those of the documented order."""
+    rows = [(7 if i % 3 else None, f"text {i * 37 % 200} of many " * 3) for i in range(300)] + [(i, f"own {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    by = df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = sorted(by, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), -r.h))
+    want = collections.Counter()
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        cut = len(a.text) // 3
+        want[a.doc_id, hashlib.sha256((a.text[: len(a.text) - cut] + b.text[:cut]).encode()).hexdigest()] += 1
+    for n in (1, 5):
+        assert collections.Counter((r.doc_id, r.edited_sha256) for r in merkle.against_edits(df, partitions=n).collect()) == want
+
+
 def test_merkle_brute_force(spark, sf):
     want = brute_merkle(pairs(table(spark, sf, "documents")))
     got = {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in queries.op10_merkle(spark, sf).collect()}

@@ -5,24 +5,32 @@ and the share of phrases that two trees have in common, by length, is their like
 
 A text is cut without loss: sections end after a blank line, before a heading line, or after a paragraph whose hash is
 divisible by 8 (so long texts without blank lines have local sections too); a paragraph is a line with its line end; a
-phrase ends after a white-space run that follows a word whose last character's code is divisible by 4, or after 8 words.
-All cuts depend on nearby text only, so an edit changes the branches around it and leaves the others.
+phrase ends after a word (with the white space behind it) whose last character is one of ENDINGS, or after 8 words. All
+cuts depend on nearby text only, so an edit changes the branches around it and leaves the others.
+
+A fingerprint takes four characters a phrase, that is about a fifth of the text: hashes of 64 bits and more build the
+tree, of which 24 bits a phrase are written down, and 64 a section and 128 of the root.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, bound_batches, map_rows, texts
 
-SECTION_MOD, PHRASE_MOD, PHRASE_WORDS, LEAF_BYTES = 8, 4, 8, 3
+SECTION_MOD, PHRASE_WORDS, ENDINGS, LEAF_CHARS = 8, 8, "dhlptxDHLPTX048,;", 4
+#: Seven words at most that do not end a phrase, then any word; possessive, so linear in any text.
+_PHRASE = re.compile(rf"\s*+(?:\S++(?<![{ENDINGS}])\s*+){{0,{PHRASE_WORDS - 1}}}+(?:\S++\s*+)?")
+_DIGITS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+_", np.uint8)
+#: Ranges of the text hash that rows of one repeated id, or without an id, are split into.
+ID_PARTS = 64
 
 
 def _h(data: bytes, size: int = 8) -> bytes:
@@ -31,68 +39,61 @@ def _h(data: bytes, size: int = 8) -> bytes:
 
 def phrases(paragraph: str) -> list[str]:
     """The paragraph, cut into phrases that join to it again."""
-    out, held = [], []
-    for w in re.findall(r"\s*\S+\s*", paragraph) or ([paragraph] if paragraph else []):
-        held.append(w)
-        if ord(w.rstrip()[-1:] or " ") % PHRASE_MOD == 0 or len(held) == PHRASE_WORDS:
-            out.append("".join(held))
-            held = []
-    return [*out, "".join(held)] if held else out
-
-
-def tree(text: str) -> list[list[tuple[bytes, list[tuple[bytes, int]]]]]:
-    """Sections of paragraphs of phrases: [[(paragraph hash, [(phrase hash, code points)])]]."""
-    sections, own = [], []
-    for line in text.splitlines(keepends=True):
-        if own and line.startswith("#"):
-            sections.append(own)
-            own = []
-        leaves = [(_h(p.encode("utf-8", "replace"), LEAF_BYTES), len(p)) for p in phrases(line)]
-        mark = _h(b"p" + b"".join(h + n.to_bytes(4, "little") for h, n in leaves))
-        own.append((mark, leaves))
-        if not line.strip() or mark[0] % SECTION_MOD == 0:
-            sections.append(own)
-            own = []
-    return [*sections, own] if own else sections
+    return [p for p in _PHRASE.findall(paragraph) if p]
+
+
+def _paragraphs(text: str) -> tuple[str, list[int], list[bytes], list[bool]]:
+    """(all phrases as LEAF_CHARS characters each; of each paragraph its end among the phrases, hash, and whether a section begins with it)."""
+    import xxhash
+
+    lines, found, ends = text.splitlines(keepends=True), [], []
+    for line in lines:
+        found += phrases(line)
+        ends.append(len(found))
+    one = xxhash.xxh3_64_intdigest
+    full = np.fromiter((one(p.encode("utf-8", "replace")) for p in found), np.uint64, len(found))
+    raw, at, marks, begins, end = full.astype("<u8").tobytes(), 0, [], [], True
+    for line, stop in zip(lines, ends, strict=True):
+        marks.append(_h(b"p" + raw[8 * at : 8 * stop]))
+        begins.append(end or line[0] == "#")
+        end, at = not line.strip() or marks[-1][0] % SECTION_MOD == 0, stop
+    shown = _DIGITS[(full[:, None] >> np.array([0, 6, 12, 18], np.uint64)) & np.uint64(63)]
+    return shown.tobytes().decode(), ends, marks, begins
 
 
 def encode(text: str) -> str:
-    """The tree as text: root/section/section..., a section being hash:paragraph,paragraph..., a paragraph its phrases as
-    3-byte hash and length in hex, joined by '.'. The root covers the whole text by its own hash too."""
-    parts, marks = [], []
-    for section in tree(text):
-        mark = _h(b"s" + b"".join(p for p, _ in section))
-        marks.append(mark)
-        parts.append(mark.hex() + ":" + ",".join(".".join(f"{h.hex()}{n:x}" for h, n in leaves) for _, leaves in section))
-    root = _h(b"r" + b"".join(marks) + _h(text.encode("utf-8", "replace"), 16), 16)
-    return "/".join([root.hex(), *parts])
-
-
-def leaves(fingerprint: str) -> Counter:
-    """Code points of each phrase hash, repeats added up."""
-    out: Counter = Counter()
-    for section in fingerprint.split("/")[1:]:
-        for leaf in re.split("[,.]", section.partition(":")[2]):
-            out[leaf] += int(leaf[2 * LEAF_BYTES :], 16)
-    return out
-
-
-def likeness(a: str, b: str, of_a: Counter | None = None, of_b: Counter | None = None) -> float:
-    """0 to 1: code points in shared phrases against those in all of both; 1 for equal roots."""
+    """The tree as text: root/section/section..., a section being hash:paragraph,paragraph..., a paragraph its phrases of
+    LEAF_CHARS characters each. The root covers the whole text by its own hash too."""
+    shown, ends, marks, begins = _paragraphs(text)
+    paragraphs = [shown[LEAF_CHARS * a : LEAF_CHARS * b] for a, b in zip([0, *ends], ends, strict=False)]
+    cuts = [i for i, b in enumerate(begins) if b] + [len(marks)]
+    sections = [_h(b"s" + b"".join(marks[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+    root = _h(b"r" + b"".join(sections) + _h(text.encode("utf-8", "replace"), 16), 16)
+    return "/".join([root.hex(), *(f"{mark.hex()}:{','.join(paragraphs[a:b])}" for mark, a, b in zip(sections, cuts, cuts[1:], strict=False))])
+
+
+def leaves(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct phrase marks, times of each)."""
+    own = "".join(s.partition(":")[2] for s in fingerprint.split("/")[1:]).replace(",", "")
+    return np.unique(np.frombuffer(own.encode(), "<u4"), return_counts=True)
+
+
+def likeness(a: str, b: str, of_a: tuple | None = None, of_b: tuple | None = None) -> float:
+    """0 to 1: phrases that both have, repeats counted, against all phrases of both; 1 for equal roots."""
     if a.partition("/")[0] == b.partition("/")[0]:
         return 1.0
-    x, y = of_a if of_a is not None else leaves(a), of_b if of_b is not None else leaves(b)
-    both = x & y if len(x) <= len(y) else y & x
-    shared, total = sum(both.values()), sum(x.values()) + sum(y.values())
-    return 2.0 * shared / total if total else 0.0
+    (x, n), (y, m) = of_a or leaves(a), of_b or leaves(b)
+    total = int(n.sum() + m.sum())
+    if not (len(x) and len(y)):
+        return 0.0
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return 2.0 * float(np.minimum(n, m[at])[y[at] == x].sum()) / total
 
 
 def edits(a: str, b: str) -> list[tuple[int, int]]:
     """(section, paragraph) positions in b whose branch a has nowhere: whole equal sections are skipped by their hash."""
-    old, have = a.split("/")[1:], Counter()
-    known = {s.partition(":")[0] for s in old}
-    for s in old:
-        have.update(s.partition(":")[2].split(","))
+    old = a.split("/")[1:]
+    known, have = {s.partition(":")[0] for s in old}, {p for s in old for p in s.partition(":")[2].split(",")}
     return [(i, j) for i, s in enumerate(b.split("/")[1:]) if s.partition(":")[0] not in known for j, p in enumerate(s.partition(":")[2].split(",")) if p not in have]
 
 
@@ -105,14 +106,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_paragraphs long"
 
 
-def _row(doc_id, text: str, own: tuple[str, Counter], nxt: str, of_next: tuple[str, Counter]) -> tuple:
+def _row(doc_id, text: str, own: tuple[str, tuple], nxt: str, of_next: tuple[str, tuple]) -> tuple:
     cut = len(text) // 3
     edited = (text[: len(text) - cut] if cut else text) + nxt[:cut]
     mark = encode(edited)
     return doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), own[0], mark, likeness(own[0], mark, own[1]), likeness(own[0], of_next[0], own[1], of_next[1]), len(edits(own[0], mark))
 
 
-def _marked(text: str) -> tuple[str, Counter]:
+def _marked(text: str) -> tuple[str, tuple]:
     mark = encode(text)
     return mark, leaves(mark)
 
@@ -122,9 +123,10 @@ def against_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Documents are ordered by descending doc_id (null ids last; repeated ids by descending text hash, then text). The
     edit replaces the last third of a text by the beginning of the next document's; the last is followed by the first.
-    Quantiles of the ids cut the order into parts. The head of each part is found by a partial maximum and put behind the
-    part before it, so that one shuffle of the texts suffices and each task compares neighbours as they stream by. A
-    single document is its own next one; empty texts have n_chars 0 and stay empty; empty input gives no rows.
+    Quantiles of the ids cut the order into parts; an id that takes up more than a part, and rows without an id, are cut
+    further by ranges of the text hash. The head of each part is found by a partial maximum and put behind the part before
+    it, so that one shuffle of the texts suffices and each task compares neighbours as they stream by. A single document
+    is its own next one; empty texts have n_chars 0 and stay empty; empty input gives no rows.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -132,8 +134,12 @@ def against_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = 4 * n  # several to a task, so that hashing deals them evenly
     rows = texts(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20_000)).first()[0] or []
-    bounds = F.array(*map(F.lit, sorted(set(cuts)))).cast("array<bigint>")
-    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(parts)).otherwise(F.size(F.filter(bounds, lambda b: b > F.col("doc_id")))))
+    ids = lambda x: F.array(*map(F.lit, sorted(x))).cast("array<bigint>")
+    above = F.size(F.filter(ids(set(cuts)), lambda b: b > F.col("doc_id")))
+    repeated = F.coalesce(F.array_contains(ids({x for x, y in zip(cuts, cuts[1:], strict=False) if x == y}), F.col("doc_id")), F.lit(True))
+    sub = F.when(repeated, ID_PARTS // 2 - 1 - F.shiftright("hash", 64 - ID_PARTS.bit_length() + 1)).otherwise(0)
+    place = F.when(F.col("doc_id").isNull(), F.lit(2 * parts + 2)).otherwise(2 * above + repeated.cast("int"))
+    rows = rows.withColumn("part", (place * ID_PARTS + sub).cast("int"))
 
     heads = rows.groupBy("part").agg(F.max(F.struct("doc_id", "hash", "text")).alias("head"))
     every = Window.orderBy("part")  # a row for each part
