@@ -206,6 +206,68 @@ def test_pii_query_brute_force(spark, sf):
         assert collections.Counter(said) <= collections.Counter(r.spans.split(","))
 
 
+def planted_pii(n=900, seed=11):
+    """(texts, spans that no base pattern finds, decoys): numbers beside numbers, invalid first parts, numbers that fail the check."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+
+    def card(valid):
+        while True:
+            d = "4" + "".join(map(str, rng.integers(0, 10, 15)))
+            if pii.luhn(d) == valid:
+                return d
+
+    phone = lambda: f"+1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}"
+    quad = lambda: ".".join(map(str, rng.integers(1, 256, 4)))
+    texts, hidden, decoys = [], [], []
+    for i in range(n):
+        made, own, bad = [(word(), None)], [], []
+        kind = i % 6
+        if kind == 0:
+            made += [(phone(), "phone"), (str(rng.integers(10**6, 10**7)), None)]
+        elif kind == 1:
+            made += [(card(True), "card"), (card(True), "card")]
+        elif kind == 2:
+            made += [(card(False), "bad")]
+        elif kind == 3:
+            made += [("version", None), (f"{rng.integers(300, 999)}.{quad()}", "ip")]
+        else:
+            made += [(phone(), None), (word(), None), (card(True), None), (word(), None), (quad(), None), (word(), None), (f"{word()}@{word()}.com", None)]
+        made.append((word(), None))
+        text = ""
+        for x, k in made:
+            begin = len(text) + (x.index(".") + 1 if k == "ip" else 0)
+            if k:
+                (bad if k == "bad" else own).append((i, "card" if k == "bad" else k, begin, len(text) + len(x)))
+            text += x + " "
+        texts.append(text)
+        hidden += own
+        decoys += bad
+    return texts, set(hidden), set(decoys)
+
+
+def test_added_spans_on_planted_documents(spark):
+    texts, hidden, decoys = planted_pii()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, s.kind, s.begin, s.end): s.base for r in pii.find(docs).collect() for s in r.spans}
+    added = {k for k, base in got.items() if not base}
+    assert {k for k, base in got.items() if base} == {(i, *s) for i, t in enumerate(texts) for s in plain_spans(t)}
+    assert len(added & hidden) / len(added) > 0.95 and len(added & hidden) / len(hidden) > 0.9 and not added & decoys
+    model = pii.train(pii.pattern_counts(pii.candidates(docs)))
+    right = {name: yes[2] - no[2] for name, no, yes in zip(pii.LABELERS, *model.reliability["card"], strict=True)}
+    assert right["check"] > 0.9 > right["layout"] and right["check"] > right["cue"] + 0.5
+
+
+@given(st.text(alphabet="ab1.2@3+ -()9%4_/\n", max_size=120))
+@settings(max_examples=400, deadline=None)
+def test_candidates_overlap_nowhere(text):
+    by = collections.defaultdict(list)
+    for k, b, e, base, v in pii.candidates_of(text):
+        by[k].append((b, e))
+        assert 0 <= b < e <= len(text) and len(v) == len(pii.LABELERS)
+    assert all(x[1] <= y[0] for own in by.values() for x, y in zip(own, own[1:], strict=False))
+
+
 def test_em_learns_reliabilities():
     rng = np.random.default_rng(3)
     truth = rng.random(20_000) < 0.4
