@@ -15,6 +15,8 @@ tree, of which 24 bits a phrase are written down, and 64 a section and 128 of th
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -131,12 +133,17 @@ def against_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     bound_batches(spark)
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = 4 * n  # several to a task, so that hashing deals them evenly
+    parts = 16 * n  # many to a task, so that hashing deals them evenly
     rows = texts(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20_000)).first()[0] or []
-    ids = lambda x: F.array(*map(F.lit, sorted(x))).cast("array<bigint>")
-    above = F.size(F.filter(ids(set(cuts)), lambda b: b > F.col("doc_id")))
-    repeated = F.coalesce(F.array_contains(ids({x for x, y in zip(cuts, cuts[1:], strict=False) if x == y}), F.col("doc_id")), F.lit(True))
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(20_000, 4 * parts))).first()[0] or []
+    known, doubled = sorted(set(cuts)), sorted({x for x, y in zip(cuts, cuts[1:], strict=False) if x == y})
+    step = max(1, math.isqrt(len(known)))  # two short looks instead of one along all cuts
+    told = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+    upto = lambda x: F.size(F.filter(x, lambda b: b <= F.col("doc_id")))
+    chunk = upto(told(known[::step], "array<bigint>"))
+    within = F.element_at(told([known[i : i + step] for i in range(0, len(known), step)] or [[0]], "array<array<bigint>>"), F.greatest(chunk, F.lit(1)))
+    above = len(known) - F.when(chunk == 0, 0).otherwise((chunk - 1) * step + upto(within))
+    repeated = F.coalesce(F.array_contains(told(doubled, "array<bigint>"), F.col("doc_id")), F.lit(True))
     sub = F.when(repeated, ID_PARTS // 2 - 1 - F.shiftright("hash", 64 - ID_PARTS.bit_length() + 1)).otherwise(0)
     place = F.when(F.col("doc_id").isNull(), F.lit(2 * parts + 2)).otherwise(2 * above + repeated.cast("int"))
     rows = rows.withColumn("part", (place * ID_PARTS + sub).cast("int"))
