@@ -55,13 +55,32 @@ def pairs(df):
 
 
 def test_grammar_weighs_clauses_not_words():
-    s = toxicity.Scorer({})
+    s = toxicity.Scorer({"blorg": 1.0})
     value = lambda t: sum(m[2] for m in s.matches(t))
     assert value("you are an idiot") > value("an idiot came") > value("he said you are an idiot") > 0
     assert value("you are not an idiot") < value("an idiot came") / 2
     assert value("nothing here") == 0 and value("idiotically") == 0
+    for alone in ("idiot", "kill", "blorgish", "Idiot!", "fine idiot yesterday", "kill yesterday", "idiot.\nmoron."):
+        assert value(alone) == 0, alone
+    assert value("kill the bug") == 0 < value("kill you") == value("I will kill you") and value("do not kill them") < value("kill them") / 2
+    assert value("idiot, you") == value("you idiot") > value("the idiot") > value("idiot of mine") > 0
+    assert value("moron idiot") > 0 and value("the blorgish") == value("the idiot")
     assert value("not at all of this is near the idiot") == pytest.approx(value("the idiot"))
-    assert len(list(s.matches("idiot. fine. moron, loser\nclown"))) == 3
+    assert len(list(s.matches("the idiot. fine. a moron, loser\nyou clown"))) == 3
+    assert value("IDIOT!! OF!! ALL!!") > 0
+
+
+def test_composed_machine_equals_its_parts():
+    """Reading a clause with the composed machine is reading it with one transducer after the other."""
+    scope, forwards, _ = toxicity.grammar()
+    both, rng = toxicity.compose(scope, forwards, toxicity.SYMBOLS), np.random.default_rng(0)
+    for _ in range(300):
+        p, q, r = both.start, scope.start, forwards.start
+        for symbol in rng.choice(list(toxicity.SYMBOLS), 12):
+            out, f, p = both.step(p, symbol)
+            mid, g, q = scope.step(q, symbol)
+            last, h, r = forwards.step(r, mid)
+            assert out == last and f == pytest.approx(g * h)
 
 
 def test_toxicity_finds_held_out_labels(spark, sf):
@@ -70,9 +89,9 @@ def test_toxicity_finds_held_out_labels(spark, sf):
     assert len(got) == docs.count()
     for i, r in got.items():
         assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
-    right = [got[r.doc_id].predicted == r.toxic for r in own if r.doc_id in got]
-    assert sum(right) / len(right) > 0.9
-    assert not any(got[r.doc_id].predicted and not r.toxic for r in own)
+    held = [(got[r.doc_id].predicted, r.toxic) for r in own if r.doc_id in got and got[r.doc_id].held_out and r.toxic is not None]
+    assert sum(p == t for p, t in held) / len(held) > 0.9
+    assert not any(p and not t for p, t in held)
 
 
 def test_toxicity_awkward(spark, docs, empty, labels):

@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols by lexicon transducers (insult, threat, target, negation, reported speech); transducers for scope and
-direction are composed with them into one machine that reads a clause and weighs what it matches: an insult or threat
-counts fully, more if a target stands in the clause before it, and little under negation or in reported speech. Isolated
-words have no score of their own: a document's statistics are those of its matched clauses, and a logistic model turns
+Two lexicon transducers, of insults and of threats, read words letter by letter and write a symbol with a weight. What they
+write is read by transducers of target, frame, negation and reported speech that are composed into one machine for each
+direction: a clause is read forwards and backwards (a bimachine), so a target counts on either side of the word. An insult
+matches if its clause aims at someone, has a frame (articles, copulas, prepositions and conjunctions, which tie it to what
+else is said) or another insult; a threat matches only if it is aimed; both count little under negation or in reported
+speech. A word by itself, or among words that nothing ties it to, matches nothing and scores nothing. A document's statistics are those of its matched clauses, and a logistic model turns
 them into a score. Besides a fixed lexicon, the insult transducer has stems learned from labelled documents: prefixes and
-words whose document counts differ significantly between the classes.
+words whose document counts differ significantly between the classes; they too count only inside a match.
 """
 
 from __future__ import annotations
@@ -27,14 +29,18 @@ INSULT = "idiot idiots idiotic moron morons moronic stupid dumb scum trash loser
 THREAT = "kill murder hurt destroy shoot stab strangle töten umbringen verletzen vernichten tuer frapper détruire égorger matar golpear destruir apuñalar".split()
 TARGET = "you your yours yourself he she him her they them their these those people everyone du dich dir dein ihr euch er sie ihn ihnen alle tu te toi ton vous votre il elle ils elles eux leur tú usted ustedes vosotros él ella ellos ellas".split()
 NEGATION = "not no never none nor neither without don't doesn't didn't isn't aren't wasn't won't can't cannot nicht nie kein keine keinen niemals ohne ne pas jamais aucun sans ni nunca ningún sin".split()
+FRAME = "a an the is are was were be been being this that such what so as and or but of in to for with on at by from der die das den dem des ein eine einen einem einer ist sind war waren wird dieser diese dieses und oder aber von zu mit in auf für le la les un une des du est sont était ce cet cette quel quelle et ou mais de en dans que qui au aux par pour avec el los las una es son era este esta qué y o pero por para con del al".split()
 REPORT = "said says say saying told tells called calls quoted quote reported alleged claimed writes wrote sagte sagt nannte nennt schrieb behauptet dit disait appelé appelle écrit prétend dijo dice llamó llama escribió afirma".split()
 
 #: Labelled rows of each class that lexicon and model are learned from at most, by md5 of the id; weights restore the classes' shares.
 MOST_PER_CLASS = 4000
-#: Stems that the lexicon learns at most, their lengths, and the least likelihood ratio and documents of a stem.
+#: Stems that the lexicon learns at most (the best by likelihood ratio: a bound of the model that every task holds, not of
+#: rows), their lengths, and the least likelihood ratio and documents of a stem.
 MOST_STEMS, STEM_LENGTHS, LEAST_G2, LEAST_DOCS = 2000, (4, 5, 6, 7), 16.0, 3
 #: Words that a negation reaches.
 NEGATION_SCOPE = 3
+#: Words up to which sentences of a line are read as one clause if the first has one word only.
+READ_ON = 6
 _CLAUSE = re.compile(r"[.!?;\n]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
@@ -67,24 +73,68 @@ def compose(first: Transducer, second: Transducer, symbols: str) -> Transducer:
     return made
 
 
-#: Symbols: Insult, Threat (K), Target, Negation, Report, other; lower case once directed at a target.
-SYMBOLS = "IKTNRo"
-
-
-def grammar() -> Transducer:
-    """negation o report o target: scope machines that weigh insult and threat symbols by what precedes them in the clause."""
+class Lexicon:
+    """Transducer over letters: words and, ending in any letters, stems, each with a weight; what it writes at a word's end is its symbol."""
+
+    def __init__(self, symbol: str, words: dict[str, float], stems: dict[str, float]) -> None:
+        self.symbol, self.arcs, self.whole, self.begun = symbol, [{}], [0.0], [0.0]
+        for own, out in ((words, self.whole), (stems, self.begun)):
+            for word, weight in own.items():
+                at = self._state(word)
+                out[at] = max(out[at], weight)
+
+    def _state(self, word: str) -> int:
+        at = 0
+        for c in word:
+            if c not in self.arcs[at]:
+                self.arcs[at][c] = len(self.arcs)
+                self.arcs.append({})
+                self.whole.append(0.0)
+                self.begun.append(0.0)
+            at = self.arcs[at][c]
+        return at
+
+    def read(self, word: str) -> float:
+        """The word's weight; 0 if the transducer does not accept it."""
+        at, best = 0, 0.0
+        for c in word:
+            at = self.arcs[at].get(c, -1)
+            if at < 0:
+                return best
+            best = max(best, self.begun[at])
+        return max(best, self.whole[at])
+
+
+#: Symbols: Insult, threat (K), Target, Frame, Negation, Report, other; lower case once directed at a target.
+SYMBOLS = "IKTFNRo"
+#: What an insult counts if aimed, behind a frame, before one or beside another insult; a threat counts if aimed.
+AIMED, FRAMED, BESIDE, NEGATED, TOLD = 1.5, 1.0, 0.8, 0.15, 0.25
+
+
+def _direction(framed: float) -> Transducer:
+    """target: insults count by what was read before them in the clause, threats only behind a target."""
+    out = Transducer("open", {("open", "I"): ("I", 0.0, "beside"), ("open", "K"): ("K", 0.0, "open")})
+    for state, factor in (("beside", BESIDE), ("framed", framed)):
+        out.arcs |= {(state, "I"): ("I", factor, state), (state, "K"): ("K", 0.0, state)}
+    for state in ("open", "beside", "framed"):
+        out.arcs |= {(state, "T"): ("T", 1.0, "aimed"), (state, "F"): ("F", 1.0, "framed")}
+    return Transducer("open", out.arcs | {("aimed", s): (s.lower(), AIMED, "aimed") for s in "IK"})
+
+
+def grammar() -> tuple[Transducer, Transducer, Transducer]:
+    """(scope: negation o report, target read forwards, target read backwards); negation and report reach what follows them."""
     negation, n = Transducer(0), NEGATION_SCOPE
     for k in range(n + 1):
         negation.arcs[k, "N"] = ("N", 1.0, n)
         for s in "IK":
-            negation.arcs[k, s] = (s, 0.15 if k else 1.0, max(0, k - 1))
+            negation.arcs[k, s] = (s, NEGATED if k else 1.0, max(0, k - 1))
         negation.arcs[k, "*"] = ("*", 1.0, max(0, k - 1))
-    report = Transducer("own", {("own", "R"): ("R", 1.0, "told")} | {("told", s): (s, 0.25, "told") for s in "IK"})
-    target = Transducer("open", {("open", "T"): ("T", 1.0, "aimed")} | {("aimed", s): (s.lower(), 1.5, "aimed") for s in "IK"})
-    return compose(compose(negation, report, SYMBOLS), target, SYMBOLS)
+    report = Transducer("own", {("own", "R"): ("R", 1.0, "told")} | {("told", s): (s, TOLD, "told") for s in "IK"})
+    scope = compose(negation, report, SYMBOLS)
+    return scope, _direction(FRAMED), _direction(BESIDE)
 
 
-_CLASS = {w: s for s, ws in (("o", ()), ("R", REPORT), ("N", NEGATION), ("T", TARGET), ("K", THREAT), ("I", INSULT)) for w in ws}
+_CLASS = {w: s for s, ws in (("F", FRAME), ("R", REPORT), ("N", NEGATION), ("T", TARGET)) for w in ws}
 
 
 class Scorer:
@@ -93,29 +143,40 @@ class Scorer:
     def __init__(self, stems: dict[str, float]) -> None:
         import ahocorasick
 
-        self.stems, self.machine = stems, grammar()
-        self.lengths = sorted({len(s) for s in stems if not s.endswith("$")})
+        self.stems = stems
+        scope, forwards, backwards = grammar()
+        self.forwards, self.backwards, self.scope = compose(scope, forwards, SYMBOLS), backwards, scope
+        self.insult = Lexicon("I", dict.fromkeys(INSULT, 1.0) | {s[:-1]: w for s, w in stems.items() if s.endswith("$") and s[:-1] not in INSULT}, {s: w for s, w in stems.items() if not s.endswith("$")})
+        self.threat = Lexicon("K", dict.fromkeys(THREAT, 1.0), {})
         self.finder = ahocorasick.Automaton()
         for w in {*INSULT, *THREAT, *(s.rstrip("$") for s in stems)}:
             self.finder.add_word(w, len(w))
         self.finder.make_automaton()
 
-    def weight(self, word: str) -> tuple[str, float]:
-        """The word's symbol and weight by the lexicon transducers."""
-        best = max([self.stems.get(word[:n], 0.0) for n in self.lengths if n <= len(word)] + [self.stems.get(word + "$", 0.0)], default=0.0)
-        symbol = _CLASS.get(word, "o")
-        if symbol in "IK":
-            return symbol, max(1.0, best)
-        return ("I", best) if best > 0 else (symbol, 1.0)
+    def symbol(self, word: str) -> tuple[str, float]:
+        """What the lexicon transducers write for a word, and its weight."""
+        if weight := self.threat.read(word):
+            return "K", weight
+        if word in _CLASS:
+            return _CLASS[word], 1.0
+        weight = self.insult.read(word)
+        return ("I", weight) if weight else ("o", 1.0)
 
     def clause(self, words: list[str]) -> tuple[float, float, float]:
         """What the grammar matches in a clause: score, matches, matches with a target."""
-        state, score, n, aimed = self.machine.start, 0.0, 0, 0
-        for w in words:
-            symbol, weight = self.weight(w)
-            out, factor, state = self.machine.step(state, symbol)
+        read = [self.symbol(w) for w in words]
+        state, back = self.backwards.start, [0.0] * len(read)
+        aimed_back = [False] * len(read)
+        for i in range(len(read) - 1, -1, -1):
+            out, back[i], state = self.backwards.step(state, read[i][0])
+            aimed_back[i] = out.islower()
+        state, scope, score, n, aimed = self.forwards.start, self.scope.start, 0.0, 0, 0
+        for i, (symbol, weight) in enumerate(read):
+            out, factor, state = self.forwards.step(state, symbol)
+            _, reach, scope = self.scope.step(scope, symbol)
             if symbol in "IK":
-                score, n, aimed = score + weight * factor, n + 1, aimed + out.islower()
+                value = weight * max(factor, reach * back[i])
+                score, n, aimed = score + value, n + (value > 0), aimed + (value > 0 and (out.islower() or aimed_back[i]))
         return score, n, aimed
 
     def matches(self, text: str) -> Iterator[tuple[int, int, float, int, int]]:
@@ -128,7 +189,13 @@ class Scorer:
             cut = _CLAUSE.search(low, end + 1)
             after = cut.start() if cut else len(low)
             before = max(done, 0, *(low.rfind(c, max(done, 0), begin) + 1 for c in ".!?;\n"))
-            score, n, aimed = self.clause(_WORD.findall(low, before, after))
+            words = _WORD.findall(low, before, after)
+            shouted = len(words) < 2  # one word is no clause: read on
+            while shouted and len(words) < READ_ON and cut and "\n" not in cut.group():
+                cut = _CLAUSE.search(low, cut.end())
+                after = cut.start() if cut else len(low)
+                words = _WORD.findall(low, before, after)
+            score, n, aimed = self.clause(words)
             done = after
             if n:
                 yield before, after, score, n, aimed
@@ -206,7 +273,7 @@ def learn_stems(rows: DataFrame, most: int = MOST_STEMS) -> dict[str, float]:
         counts = Counter(), Counter()
         for text, y in zip(c["text"], c["y"], strict=True):
             words = set(_WORD.findall(text.lower()))
-            counts[y].update({w[:n] for w in words for n in STEM_LENGTHS if len(w) >= n} | {w + "$" for w in words if len(w) < 30})
+            counts[y].update({w[:n] for w in words for n in STEM_LENGTHS if len(w) >= n} | {w + "$" for w in words})
         terms = list(counts[0].keys() | counts[1].keys())
         return {"term": terms, "a": [counts[1][t] for t in terms], "b": [counts[0][t] for t in terms]}
 
@@ -247,7 +314,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label_c
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, predicted of every row; a null or empty text has the score of a text without a match."""
+    """doc_id, score, predicted of every row; a null or empty text has the score of a text without a match.
+
+    Repeated rows have equal scores; texts are read whole, however long; an empty table gives no rows. Other columns are ignored.
+    """
     bound_batches(docs.sparkSession)
 
     def make(c: dict) -> dict:
