@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
 from . import cells
 
 
@@ -56,8 +57,21 @@ def age_rule(c: Column | str, kind: str, days: int, now: Column) -> Column:
 
 def first_of_each(df: DataFrame, c: str, order: str) -> DataFrame:
     """First row, by `order`, of each distinct filled value."""
-    w = Window.partitionBy(cells.text(c)).orderBy(order)
-    return df.filter(cells.text(c) != "").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return df.filter(cells.text(c) != "").groupBy(cells.text(c).alias("_value")).agg(F.min_by(F.struct(*df.columns), order).alias("_row")).select("_row.*")
+
+
+def ranked(df: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """df with the place of each row in a global order, from 1: ranges are sorted apart, and their sizes are added up.
+
+    The sorted ranges are stored once, as their sizes must be those of the rows that are numbered; ties should be broken
+    by `order`. No task has more than its range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    own = stored(own.withColumns({"_range": F.shiftright("_id", 33), "_nth": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id"), "ranked")
+    sizes = own.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return own.join(sizes.select("_range", before.alias("_before")), "_range").withColumn(name, F.col("_before") + F.col("_nth") + 1).drop("_range", "_nth", "_before")
 
 
 def mixed_order(c: Column | str) -> list[Column]:

@@ -65,17 +65,20 @@ def alias_asof(observations: DataFrame, probes: DataFrame, alias: Sequence[str]
     """probes with owners (sorted array), status (bound, ambiguous, unbound), bound (the owner where there is one).
 
     The newest observation time not later than the probe decides; several owners at that time are ambiguous, not a choice.
-    Observations collapse to one row for each alias and time, then both sides meet in one ordered pass for each alias.
+    Only distinct times of an alias, asked and observed ones, meet in its ordered pass; probes and owners are joined to
+    what it finds by alias and time, so an alias with many owners or probes is no large group anywhere.
     """
-    seen = observations.filter(F.col(owner).isNotNull()).groupBy(*alias, F.col(at).alias("_t")).agg(F.array_sort(F.collect_set(owner)).alias("_o"))
-    ask = probes.withColumn("_probe", F.struct(*(F.col(f"`{c}`") for c in probes.columns)))
-    lines = seen.select(*alias, "_t", "_o", F.lit(None).cast(ask.schema["_probe"].dataType).alias("_probe"))
-    asks = ask.select(*alias, F.col(asof).alias("_t"), F.lit(None).cast(seen.schema["_o"].dataType).alias("_o"), "_probe")
-    w = Window.partitionBy(*alias).orderBy("_t", F.col("_probe").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.unionByName(asks).withColumn("owners", F.last("_o", ignorenulls=True).over(w)).filter(F.col("_probe").isNotNull())
+    seen = observations.filter(F.col(owner).isNotNull()).groupBy(*alias, F.col(at).alias("_t")).agg(F.array_sort(F.collect_set(owner)).alias("owners"))
+    times = seen.select(*alias, "_t", F.col("_t").alias("_seen")).unionByName(probes.select(*alias, F.col(asof).alias("_t"), F.lit(None).cast(seen.schema["_t"].dataType).alias("_seen")))
+    times = times.groupBy(*alias, "_t").agg(F.max("_seen").alias("_seen"))
+    w = Window.partitionBy(*alias).orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    found = times.withColumn("_seen", F.last("_seen", ignorenulls=True).over(w)).filter("_seen is not null")
+    found = found.join(seen.withColumnRenamed("_t", "_seen"), [*alias, "_seen"]).select(*alias, F.col("_t").alias(asof), "owners")
+    rows = probes.join(found, [*alias, asof], "left")
     n = F.coalesce(F.size("owners"), F.lit(0))
     status = F.when(F.col("owners").isNull() | (n == 0), "unbound").when(n == 1, "bound").otherwise("ambiguous")
-    return rows.withColumn("status", status).select("_probe.*", F.coalesce("owners", F.array().cast(seen.schema["_o"].dataType)).alias("owners"), "status", F.when(F.col("status") == "bound", F.col("owners")[0]).alias("bound"))
+    none = F.array().cast(seen.schema["owners"].dataType)
+    return rows.withColumn("status", status).select(*(F.col(f"`{c}`") for c in probes.columns), F.coalesce("owners", none).alias("owners"), "status", F.when(F.col("status") == "bound", F.col("owners")[0]).alias("bound"))
 
 
 def bind_rows(rows: DataFrame, observations: DataFrame, identity: Column, alias_value: Column, kind: str = "upn", at: str = "captured_at") -> DataFrame:

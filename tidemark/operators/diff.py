@@ -82,19 +82,43 @@ def details(diff: DataFrame, most: int | None = None) -> DataFrame:
     return capped.withColumn("more", F.count(F.lit(1)).over(Window.partitionBy()) > most).limit(most)  # most + 1 rows
 
 
-def movement(history: DataFrame, columns: Sequence[str], family: str = "family", key: str = "key", last: int | None = None) -> DataFrame:
+def evidence(columns: Sequence[str], headers: Column | None = None, sets: Sequence[str] = (), folded: Sequence[str] = (), unknown: dict[str, Column] | None = None) -> Column:
+    """What a row says of each column, as an array of hashes; null where it says nothing.
+
+    It says nothing of a column that its snapshot does not have (headers: array of names, without case) and where `unknown`
+    holds. Token columns count as sets, folded ones without case.
+    """
+    out, has = [], lambda c: F.exists(headers, lambda x: F.lower(x) == c.lower())
+    for c in columns:
+        value = F.array_join(cells.tokens(f"`{c}`", c in folded), ";") if c in (*sets, *folded) else cells.text(f"`{c}`")
+        h = F.xxhash64(value)
+        if headers is not None:
+            h = F.when(has(c), h)
+        if unknown and c in unknown:
+            h = F.when(~F.coalesce(unknown[c], F.lit(False)), h)
+        out.append(h)
+    return F.array(*out).cast("array<bigint>")
+
+
+def differs(a: Column | str, b: Column | str) -> Column:
+    """Whether two rows' evidence differs in a column that both speak of."""
+    return F.exists(F.zip_with(cells.col(a), cells.col(b), lambda x, y: F.coalesce(x != y, F.lit(False))), lambda d: d)
+
+
+def movement(history: DataFrame, columns: Sequence[str] = (), family: str = "family", key: str = "key", last: int | None = None, says: Column | None = None) -> DataFrame:
     """family, seq, added, removed, changed, stable of every adjacent snapshot pair, in one pass over all rows.
 
-    history has one row for each (family, seq, key). A row was added if its key was not in the snapshot before, and its
-    key is removed in the next snapshot if it is not there. One shuffle by (family, key); counts are partial aggregates.
+    history has one row for each (family, seq, key); says: its evidence, by default of all `columns`. A row was added if its
+    key was not in the snapshot before, and its key is removed in the next snapshot if it is not there. One shuffle by
+    (family, key); counts are partial aggregates.
     """
     w = Window.partitionBy(family, key).orderBy("seq")
-    h = F.xxhash64(*(cells.text(c) for c in columns)) if columns else F.lit(0)
+    h = evidence(columns) if says is None else says
     newest = history.groupBy(family).agg(F.max("seq").alias("_newest"))
     rows = history.select(family, key, "seq", h.alias("_h")).withColumn("_p", F.lag("seq").over(w)).withColumn("_ph", F.lag("_h").over(w)).withColumn("_n", F.lead("seq").over(w))
     here = F.col("_p") == F.col("seq") - 1
     event = F.array(
-        F.struct(F.col("seq"), F.when(~F.coalesce(here, F.lit(False)), "added").when(F.col("_h") != F.col("_ph"), "changed").otherwise("stable").alias("what")),
+        F.struct(F.col("seq"), F.when(~F.coalesce(here, F.lit(False)), "added").when(differs("_h", "_ph"), "changed").otherwise("stable").alias("what")),
         F.when(F.coalesce(F.col("_n") != F.col("seq") + 1, F.lit(True)), F.struct((F.col("seq") + 1).alias("seq"), F.lit("removed").alias("what"))),
     )
     events = rows.select(family, F.explode(F.filter(event, lambda e: e.isNotNull())).alias("e")).groupBy(family, F.col("e.seq").alias("seq"))
@@ -116,7 +140,9 @@ def map_diff(before: DataFrame, after: DataFrame, by: Sequence[str], value: str
 
     Compares the union of both sides' properties; a property that one side lacks counts as blank.
     """
-    both = before.select(*by, F.col(value).alias("_b")).join(after.select(*by, F.col(value).alias("_a")), list(by), "full_outer")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    side = lambda df, s: df.select(*by, F.coalesce(F.col(value), none).alias(s))  # noqa: E731  a null map has no property, but its row is there
+    both = side(before, "_b").join(side(after, "_a"), list(by), "full_outer")
     names = F.array_sort(F.array_union(F.map_keys("_b"), F.map_keys("_a")))
     get = lambda m, k: F.trim(F.coalesce(F.try_element_at(F.col(m), k), F.lit("")))
     diff = F.filter(F.transform(names, lambda k: F.struct(k.alias("name"), get("_b", k).alias("before"), get("_a", k).alias("after"))), lambda x: x.before != x.after)

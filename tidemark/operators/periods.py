@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import diff
+
 # Look-back periods in hours.
 PERIODS = {"24 hours": 24, "48 hours": 48, "3 days": 72, "7 days": 168, "15 days": 360, "30 days": 720}
 
@@ -36,19 +38,26 @@ def period_pairs(snapshots: DataFrame, reference: Column, periods: dict[str, int
     return out.withColumn("reason", reason).select(family, "period", "latest", F.when(F.col("reason") == "ok", F.col("baseline")).alias("baseline"), "reason")
 
 
-def period_changes(history: DataFrame, pairs: DataFrame, columns: Sequence[str], family: str = "family", at: str = "captured_at", key: str = "key") -> DataFrame:
-    """family, period, status (changed, unchanged, no_data), added, removed, changed: all families and periods in one job.
+def period_changes(history: DataFrame, pairs: DataFrame, columns: Sequence[str] = (), family: str = "family", at: str = "captured_at", key: str = "key", says: Column | None = None, partial: DataFrame | None = None) -> DataFrame:
+    """family, period, status (changed, partial, unchanged, no_data), added, removed, changed: all families and periods in one job.
 
     Rows of the two snapshots of each pair are picked by a join with the small pair table and meet in one aggregate by key.
+    says: a row's evidence, by default of all `columns`. partial: (family, captured_at) of snapshots that were not wholly
+    retrieved; a pair with one of them is partial, whatever its counts.
     """
-    h = F.xxhash64(*(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns))
+    h = diff.evidence(columns) if says is None else says
     ok = pairs.filter("reason = 'ok'").select(family, "period", F.explode(F.array(F.struct(F.col("latest").alias("t"), F.lit(1).alias("side")), F.struct(F.col("baseline").alias("t"), F.lit(0).alias("side")))).alias("s"))
     rows = history.select(family, at, key, h.alias("_h")).join(ok.select(family, "period", F.col("s.t").alias(at), "s.side"), [family, at])
     keys = rows.groupBy(family, "period", key).agg(F.max(F.when(F.col("side") == 1, F.col("_h"))).alias("_a"), F.max(F.when(F.col("side") == 0, F.col("_h"))).alias("_b"))
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    counted = keys.groupBy(family, "period").agg(n(F.col("_b").isNull()).alias("added"), n(F.col("_a").isNull()).alias("removed"), n(F.col("_a") != F.col("_b")).alias("changed"))
-    out = pairs.select(family, "period", "reason").join(counted, [family, "period"], "left").fillna(0, ["added", "removed", "changed"])
-    status = F.when(F.col("reason") != "ok", "no_data").when(F.col("added") + F.col("removed") + F.col("changed") > 0, "changed").otherwise("unchanged")
+    counted = keys.groupBy(family, "period").agg(n(F.col("_b").isNull()).alias("added"), n(F.col("_a").isNull()).alias("removed"), n(diff.differs("_a", "_b")).alias("changed"))
+    own = pairs
+    if partial is not None:
+        flags = partial.select(family, at).distinct()
+        latest, base = (flags.select(family, F.col(at).alias(c), F.lit(True).alias(f"_{c}")) for c in ("latest", "baseline"))
+        own = pairs.join(latest, [family, "latest"], "left").join(base, [family, "baseline"], "left").withColumn("_partial", F.coalesce("_latest", "_baseline", F.lit(False)))
+    out = own.select(family, "period", "reason", *(["_partial"] if partial is not None else [])).join(counted, [family, "period"], "left").fillna(0, ["added", "removed", "changed"])
+    status = F.when(F.col("reason") != "ok", "no_data").when(F.col("_partial") if partial is not None else F.lit(False), "partial").when(F.col("added") + F.col("removed") + F.col("changed") > 0, "changed").otherwise("unchanged")
     return out.withColumn("status", status).select(family, "period", "status", "reason", "added", "removed", "changed")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,15 +23,15 @@ def get(v: Column | str, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(cells.col(v), path, kind)
 
 
-def tree_nodes(docs: DataFrame, by: Sequence[str], variant: str, max_depth: int = 1000) -> DataFrame:
+def tree_nodes(docs: DataFrame, by: Sequence[str], variant: str) -> DataFrame:
     """Every node below a VARIANT: by, path, depth, name, type, value (the VARIANT), one row each.
 
-    Levels are expanded one after another, each from the stored containers of the level above, until none is left; a tree
-    may be as deep as max_depth. No recursion limit and no row limit applies, and a level is one map-only pass.
+    Levels are expanded one after another, each from the stored containers of the level above, until none is left, so
+    no limit applies to depth or rows, and a level is one map-only pass. A node's row holds its subtree.
     """
     level = docs.select(*by, F.lit("$").alias("path"), F.lit(0).alias("depth"), F.lit("$").alias("name"), F.col(variant).alias("value"))
     out = []
-    for depth in range(max_depth):
+    for depth in itertools.count():
         level = stored(level.filter("value is not null").withColumn("type", cells.json_type(F.col("value"))), "tree-level")
         out.append(level)
         inner = level.filter(F.col("type").isin("object", "array"))
@@ -39,8 +40,6 @@ def tree_nodes(docs: DataFrame, by: Sequence[str], variant: str, max_depth: int
         exploded = inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("value").outer()).select(F.col("pos"), F.col("key"), F.col("value").alias("_child")))
         name = F.coalesce("key", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
         level = exploded.select(*by, F.concat_ws("", "path", F.when(F.col("key").isNotNull(), F.lit(".")), name).alias("path"), F.lit(depth + 1).alias("depth"), name.alias("name"), F.col("_child").alias("value"))
-    else:
-        raise ValueError(f"a tree is deeper than {max_depth}")
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)
@@ -135,11 +134,14 @@ def policy_diff(before: DataFrame, after: DataFrame, before_status: DataFrame, a
     """key, source, state, suppression. Tables: key, source, hash ('' if not eligible). Statuses: source, status.
 
     A policy that one side lacks was added or removed only if that side's source was fully retrieved; else the difference is
-    indeterminate and its reason is kept. Two equal hashes are unchanged, two unlike ones modified.
+    indeterminate and its reason is kept. Two equal hashes are unchanged, two unlike ones modified. A null hash is none, as '':
+    the policy is there. A key that repeats with unlike hashes is there without one.
     """
-    b = before.select(key, F.col("source").alias("_bs"), F.col("hash").alias("_b"))
-    a = after.select(key, F.col("source").alias("_as"), F.col("hash").alias("_a"))
-    both = b.join(a, key, "full_outer").withColumn("source", F.coalesce("_as", "_bs"))
+    def side(df: DataFrame, s: str) -> DataFrame:
+        one = F.struct(F.col("source"), F.coalesce("hash", F.lit("")).alias("hash"))
+        return df.groupBy(key).agg(F.min(one).alias(s), F.count_distinct("hash").alias(f"{s}_n")).select(key, F.col(f"{s}.source").alias(f"{s}s"), F.when(F.col(f"{s}_n") > 1, "").otherwise(F.col(f"{s}.hash")).alias(s))
+
+    both = side(before, "_b").join(side(after, "_a"), key, "full_outer").withColumn("source", F.coalesce("_as", "_bs"))
     both = both.join(before_status.select("source", F.col("status").alias("_bok")), "source", "left").join(after_status.select("source", F.col("status").alias("_aok")), "source", "left")
     ok = lambda c: F.coalesce(F.col(c) == "success", F.lit(False))
     state = (

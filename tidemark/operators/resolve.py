@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells
@@ -30,8 +30,8 @@ def bind_fields(facts: DataFrame, bindings: DataFrame, exclusions: DataFrame) ->
 
 def dedupe_relationships(rows: DataFrame, by: Sequence[str], dedup: Column, order: str) -> DataFrame:
     """First row, by order, of each dedup key without case."""
-    w = Window.partitionBy(*by, F.lower(dedup)).orderBy(order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    best = rows.groupBy(*by, F.lower(dedup).alias("_key")).agg(F.min_by(F.struct(*rows.columns), order).alias("_row"))
+    return best.select("_row.*")
 
 
 def collection_coverage(n_rows: Column, status: Column, authoritative: Column, applies: Column) -> Column:

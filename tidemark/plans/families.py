@@ -50,6 +50,7 @@ FAMILIES = {
         folded=("FullAccessDelegates", "SendAsDelegates", "SendOnBehalfDelegates"), errors=("FullAccessDelegates", "SendAsDelegates"), label=("DisplayName", "PrimarySmtpAddress", "ExternalDirectoryObjectId"),
     ),
 }
+# Families compared as others, keys of unknown families, the legacy key of roles, families of documents.
 COMPARED_AS = {"Intune_Android_Devices_Report": "Intune_Android_Devices", "Intune_iOS_Devices_Report": "Intune_iOS_Devices"}
 GLOBAL_KEYS = ("UserPrincipalName", "UPN", "Id", "DeviceId", "AzureADDeviceId", "EntraDeviceId", "IntuneDeviceId", "SerialNumber", "PrimarySmtpAddress", "GroupId", "AccessPackageId")
 LEGACY_ROLE_KEY = ("UserPrincipalName", "RoleName", "RoleState", "AssignmentSource", "SourceGroup")
@@ -95,6 +96,54 @@ def guards(family: str, headers: Sequence[str]) -> dict[str, Column]:
     return out
 
 
+def unknown(family: str, headers: Sequence[str]) -> dict[str, Column]:
+    """Columns and when a row's value is no evidence: the guards of a pair, each side by itself. A missing status column is read as null."""
+    own, have = of(family), {h.lower() for h in headers}
+    out = {c: F.upper(cells.text(f"`{c}`")).startswith("ERROR:") for c in (own.errors if own else ()) if c.lower() in have}
+    if family == "Entra_Users_Properties":
+        for status, columns, missing_is_known in (("ManagerStatus", ("ManagerDisplayName", "ManagerUPN"), True), ("SponsorsStatus", ("Sponsors",), False)):
+            bad = ~cells.status_known(F.col(f"`{status}`"), missing_is_known) if status.lower() in have else F.lit(True)
+            out |= {c: bad for c in columns if c.lower() in have}
+    if family == "Intune_ManagedDevices_Compliance" and "userid" in have:
+        out |= {c: cells.text("UserId") != "" for c in ("UserPrincipalName", "UserDisplayName", "EmailAddress") if c.lower() in have}
+    return out
+
+
+def says(family: str, columns: Sequence[str], headers: Column | None = None) -> Column:
+    """A row's evidence under the family's rules: columns that do not count are left out, sets are sets, guards hold."""
+    own = of(family) or Family(())
+    skip = {c.lower() for c in own.exclude}
+    return diff.evidence([c for c in columns if c.lower() not in skip], headers, own.sets, own.folded, unknown(family, columns))
+
+
+def row_key(family: str, columns: Sequence[str], stable: bool = True) -> Column:
+    """The key of a row in a long history of the family; for roles the stable one or, with stable=False, the legacy one."""
+    without = [c for c in columns if c.lower() not in ("assignmentscheduleid", "userid")]
+    return key(family, columns, columns) if stable else key(family, without, without)
+
+
+def history_movement(history: DataFrame, family: str, columns: Sequence[str], headers: str = "headers", at: str = "captured_at", order: str = "row_ix", last: int | None = None) -> DataFrame:
+    """Movement of one family's whole history under its rules: seq, added, removed, changed, stable.
+
+    history: rows of all snapshots with the union of their columns, the array of each snapshot's headers, and file order.
+    Blank keys drop out, the last of equal keys wins, only columns that both snapshots have are compared. Roles are keyed by
+    their stable key between snapshots that both have it, else by the legacy one: both schemes are counted and each pair takes its own.
+    """
+    numbered = diff.number_snapshots(history.withColumn("family", F.lit(family)), at=at)
+
+    def counted(stable: bool) -> DataFrame:
+        rows = numbered.withColumn("_says", says(family, columns, F.col(headers))).withColumn("key", row_key(family, columns, stable)).select("family", "seq", "key", "_says", order)
+        return diff.movement(diff.last_row_wins(rows, ["family", "seq", "key"], order), last=last, says=F.col("_says"))
+
+    if family != "Entra_Role_Assignments":
+        return counted(True).drop("family")
+    has = lambda c: F.exists(headers, lambda h: F.lower(h) == c)
+    flags = numbered.groupBy("seq").agg(F.bool_and(has("assignmentscheduleid") & has("userid")).alias("_has"))
+    pair = flags.join(flags.select((F.col("seq") + 1).alias("seq"), F.col("_has").alias("_had")), "seq").select("seq", (F.col("_has") & F.col("_had")).alias("_stable"))
+    both = counted(True).withColumn("_by", F.lit(True)).unionByName(counted(False).withColumn("_by", F.lit(False)))
+    return both.join(pair, "seq").filter("_by = _stable").drop("family", "_by", "_stable")
+
+
 def compare(before: DataFrame, after: DataFrame, family: str, order: str = "row_ix") -> DataFrame:
     """pair_diff under the family's rules. Policy families have no row differences: their documents are compared."""
     if family in POLICY_FAMILIES:

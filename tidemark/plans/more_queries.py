@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cells, predicates
 from ..operators import asof, diff, identity, links, metrics, periods, policy, resolve
 from ..streaming import incremental
+from . import families
 from .queries import _FD, _RECENT, _UD, REFERENCE, _alias_obs, _families, _recent, _used, events, query, ref, table, user_day
 
 
@@ -124,9 +125,10 @@ def policy_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.assignments(docs, ["policy_key"], "doc").select("policy_key", "assignment_key")
 
 
-@query("""WITH b AS (SELECT l_orderkey AS policy_key, l_linenumber AS k, arg_max(l_quantity, l_partkey) AS v FROM lineitem WHERE l_orderkey % 3 = 0 AND l_linenumber < 5 GROUP BY 1, 2), a AS (SELECT l_orderkey AS policy_key, l_linenumber AS k, arg_max(CASE WHEN l_linenumber = 2 THEN l_quantity + 1 ELSE l_quantity END, l_partkey) AS v FROM lineitem WHERE l_orderkey % 3 = 0 AND l_linenumber > 1 GROUP BY 1, 2),
+@query("""WITH b AS (SELECT l_orderkey AS policy_key, l_linenumber AS k, arg_max(l_quantity, l_partkey) AS v FROM lineitem WHERE l_linenumber < 5 GROUP BY 1, 2), a AS (SELECT l_orderkey AS policy_key, l_linenumber AS k, arg_max(CASE WHEN l_linenumber = 2 THEN l_quantity + 1 ELSE l_quantity END, l_partkey) AS v FROM lineitem WHERE l_linenumber > 1 GROUP BY 1, 2),
+hb AS (SELECT policy_key, list_sort(list((k, v))) AS h FROM b GROUP BY 1), ha AS (SELECT policy_key, list_sort(list((k, v))) AS h FROM a GROUP BY 1), m AS (SELECT policy_key FROM hb JOIN ha USING (policy_key) WHERE hb.h <> ha.h),
 j AS (SELECT coalesce(a.policy_key, b.policy_key) AS policy_key, coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed' WHEN a.v <> b.v THEN 'changed' END AS event FROM a FULL JOIN b ON a.policy_key = b.policy_key AND a.k = b.k)
-SELECT policy_key, k::VARCHAR AS component_key, event FROM j WHERE event IS NOT NULL AND k <> 6""")
+SELECT policy_key, k::VARCHAR AS component_key, event FROM j SEMI JOIN m USING (policy_key) WHERE event IS NOT NULL AND k <> 6""")
 def component_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     kind = F.when(F.col("l_linenumber") == 6, "assignment").otherwise("setting")
@@ -134,8 +136,13 @@ def component_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     def side(rows: DataFrame, v) -> DataFrame:
         return rows.select(F.col("l_orderkey").alias("policy_key"), kind.alias("component_type"), F.col("l_linenumber").cast("string").alias("component_key"), v.cast("string").alias("value"), F.col("l_partkey").alias("position"), (F.col("l_linenumber") != 6).alias("trusted"))
 
-    modified = li.filter("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("policy_key")).distinct()
+    def hashed(rows: DataFrame) -> DataFrame:
+        one = rows.groupBy("policy_key", "component_key").agg(F.max_by("value", "position").alias("value"))
+        return one.groupBy("policy_key").agg(cells.semantic_hash(F.to_json(F.array_sort(F.collect_list(F.struct("component_key", "value"))))).alias("hash")).withColumn("source", F.lit("orders"))
+
     before, after = side(li.filter("l_linenumber < 5"), F.col("l_quantity")), side(li.filter("l_linenumber > 1"), F.col("l_quantity") + F.when(F.col("l_linenumber") == 2, 1).otherwise(0))
+    ok = spark.range(1).select(F.lit("orders").alias("source"), F.lit("success").alias("status"))
+    modified = policy.policy_diff(hashed(before), hashed(after), ok, ok).filter("state = 'modified'")
     return policy.component_events(before, after, modified).select("policy_key", "component_key", "event")
 
 
@@ -215,11 +222,11 @@ def asof_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("entity", F.date_format("target", "yyyy-MM-dd").alias("target"), F.size("properties").alias("n"), F.aggregate("properties", F.lit(0).cast("long"), lambda a, p: a + p.value.cast("long")).alias("total"))
 
 
-@query(f"""WITH {_UD}, p AS (SELECT seq, key, last_type AS hash FROM h WHERE key::BIGINT % 2 = 0), j AS (SELECT coalesce(a.seq, b.seq + 1) AS seq, a.key AS ak, b.key AS bk, a.hash AS ah, b.hash AS bh FROM p a FULL JOIN p b ON a.key = b.key AND a.seq = b.seq + 1)
+@query(f"""WITH {_UD}, p AS (SELECT seq, key, last_type AS hash FROM h), j AS (SELECT coalesce(a.seq, b.seq + 1) AS seq, a.key AS ak, b.key AS bk, a.hash AS ah, b.hash AS bh FROM p a FULL JOIN p b ON a.key = b.key AND a.seq = b.seq + 1)
 SELECT seq::INT AS seq, count(*) FILTER (bk IS NULL) AS added, count(*) FILTER (ak IS NULL) AS removed, count(*) FILTER (ah <> bh) AS changed, count(*) FILTER (ah = bh) AS stable FROM j WHERE seq BETWEEN 2 AND (SELECT max(seq) FROM sn) AND seq % 4 <> 0 GROUP BY 1""")
 def policy_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = diff.number_snapshots(user_day(spark, sf_dir).withColumn("family", F.lit("policies")))
-    own = h.filter("cast(key as long) % 2 = 0").select("family", "seq", "key", F.col("last_type").alias("hash"))
+    own = h.select("family", "seq", "key", F.col("last_type").alias("hash"))
     partial = h.select("seq").distinct().filter("seq % 4 = 0")
     return diff.movement(own, ["hash"]).join(partial, "seq", "left_anti").drop("family")
 
@@ -245,3 +252,44 @@ def snapshot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("family"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 9).cast("int")).alias("captured_at"), F.col("c_name").alias("AppName"), F.col("c_nationkey").cast("string").alias("other"))
     long = metrics.as_series(metrics.dashboard(rows, by=["family", "captured_at"]))
     return long.filter("metric = 'rows'").select("family", F.date_format("captured_at", "yyyy-MM-dd").alias("day"), "value")
+
+
+_FLAGS = f"""WITH {_UD}, f AS (SELECT h.*, sn.captured_at >= TIMESTAMP '2024-01-12' AS e, day(sn.captured_at) % 5 <> 0 AS l FROM h JOIN sn USING (seq))"""
+
+
+@query(_FLAGS + """, j AS (SELECT coalesce(a.seq, b.seq + 1) AS seq, a.key AS ak, b.key AS bk, a.n_events <> b.n_events OR (a.e AND b.e AND a.has_error <> b.has_error) OR (a.l AND b.l AND a.last_type <> b.last_type) AS differs FROM f a FULL JOIN f b ON a.key = b.key AND a.seq = b.seq + 1)
+SELECT seq::INT AS seq, count(*) FILTER (bk IS NULL) AS added, count(*) FILTER (ak IS NULL) AS removed, count(*) FILTER (differs) AS changed, count(*) FILTER (NOT differs) AS stable FROM j WHERE seq BETWEEN 2 AND (SELECT max(seq) FROM sn) GROUP BY 1""")
+def movement_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns come and go between snapshots: only those that both of a pair have are compared."""
+    keep = lambda c, when: F.when(when, F.lit(c))
+    headers = F.array_compact(F.array(F.lit("Key"), F.lit("N_Events"), keep("has_error", F.col("captured_at") >= F.lit("2024-01-12").cast("timestamp")), keep("Last_Type", F.dayofmonth("captured_at") % 5 != 0)))
+    h = user_day(spark, sf_dir).withColumns({"headers": headers, "row_ix": F.lit(0)})
+    return families.history_movement(h, "Drifting", ["key", "last_type", "n_events", "has_error"])
+
+
+@query(f"""WITH {_UD}, t AS (SELECT date_trunc('day', ts) + INTERVAL 1 DAY AS captured_at, user_id::VARCHAR AS key, list_sort(list_distinct(list(event_type))) AS s, count(*) AS n FROM events GROUP BY 1, 2), f AS (SELECT seq, key, s, n % 7 = 0 AS bad FROM t JOIN sn USING (captured_at)),
+j AS (SELECT coalesce(a.seq, b.seq + 1) AS seq, a.key AS ak, b.key AS bk, NOT a.bad AND NOT b.bad AND a.s <> b.s AS differs FROM f a FULL JOIN f b ON a.key = b.key AND a.seq = b.seq + 1)
+SELECT seq::INT AS seq, count(*) FILTER (bk IS NULL) AS added, count(*) FILTER (ak IS NULL) AS removed, count(*) FILTER (ak = bk AND differs) AS changed, count(*) FILTER (ak = bk AND NOT differs) AS stable FROM j WHERE seq BETWEEN 2 AND (SELECT max(seq) FROM sn) GROUP BY 1""")
+def movement_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history under its family's rules: delegates are a set without case, errors are no evidence, counts do not matter, the last row of a key wins."""
+    e = events(spark, sf_dir)
+    spelled = F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
+    t = e.groupBy("captured_at", F.col("user_id").cast("string").alias("ExternalDirectoryObjectId")).agg(F.array_join(F.collect_list(spelled), "; ").alias("list"), F.count(F.lit(1)).alias("FullAccessDelegatesCount"))
+    rows = t.select("captured_at", "ExternalDirectoryObjectId", F.when(F.col("FullAccessDelegatesCount") % 7 == 0, "Error: timeout").otherwise(F.col("list")).alias("FullAccessDelegates"), "FullAccessDelegatesCount", F.lit(1).alias("row_ix"))
+    earlier = rows.withColumns({"FullAccessDelegates": F.date_format("captured_at", "dd"), "row_ix": F.lit(0)})
+    columns = ["ExternalDirectoryObjectId", "FullAccessDelegates", "FullAccessDelegatesCount"]
+    return families.history_movement(rows.unionByName(earlier).withColumn("headers", F.array(*map(F.lit, columns))), "Exchange_SharedMailboxes", columns)
+
+
+@query(_RECENT.replace("count(*) AS n_events FROM events", "CASE event_type WHEN 'click' THEN array_to_string(list_sort(list_distinct(list(value::INT % 3))), ';') WHEN 'view' THEN (count(*) % 3)::VARCHAR ELSE count(*)::VARCHAR END AS n_events FROM events") + """,
+g AS (SELECT family, period, reason = 'ok' AND family = 'signup' AND (day(latest) % 4 = 0 OR day(base) % 4 = 0) AS partial FROM pr)
+SELECT family, period, CASE WHEN partial THEN 'partial' ELSE status END AS status, added, removed, changed FROM r JOIN g USING (family, period)""")
+def recent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Period changes of several families, each under its own rules; pairs with a partly retrieved snapshot are partial."""
+    n = F.count(F.lit(1))
+    h = events(spark, sf_dir).groupBy(F.col("event_type").alias("family"), "captured_at", F.col("user_id").cast("string").alias("key")).agg(
+        F.array_join(F.shuffle(F.collect_list((F.expr("round(value)").cast("int") % 3).cast("string")), F.lit(7)), ";").alias("SendOnBehalfDelegates"), (n % 3).alias("Model"), n.alias("FreeStorageGB"))
+    says = F.when(F.col("family") == "click", families.says("Exchange_SharedMailboxes", ["SendOnBehalfDelegates"])).when(F.col("family") == "view", families.says("Intune_iOS_Devices", ["Model", "FreeStorageGB"])).otherwise(families.says("", ["FreeStorageGB"]))
+    snaps = h.select("family", "captured_at").distinct()
+    found = periods.period_changes(h, periods.period_pairs(snaps, ref()), says=says, partial=snaps.filter("family = 'signup' and dayofmonth(captured_at) % 4 = 0"))
+    return found.select("family", "period", "status", "added", "removed", "changed")

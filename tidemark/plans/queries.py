@@ -337,14 +337,22 @@ def authority_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.pick(facts).select("entity", "value", "rank", F.size("conflicts").alias("n_conflicts"))
 
 
-@query("""WITH q AS (SELECT c_custkey AS q, 'customer#' || lpad((c_custkey // 100)::VARCHAR, 7, '0') AS n FROM customer WHERE c_custkey % 250 = 0),
-h AS (SELECT q.q, c.c_custkey::VARCHAR AS entity, lower(c_name) AS d, CASE WHEN lower(c_name) = n THEN 2 WHEN starts_with(lower(c_name), n) THEN 5 END AS rank FROM q JOIN customer c ON starts_with(lower(c_name), n)),
-r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rank, d, entity) AS place FROM h) SELECT q, entity, rank::INT AS rank, place::INT AS place FROM r WHERE place <= 20""")
+@query(r"""WITH e AS (SELECT c_custkey, c_custkey::VARCHAR AS entity, c_mktsegment || '.' || c_nationkey || '@' || c_custkey || '.example' AS alias, c_name || ' ref' || c_custkey AS display FROM customer),
+q AS (SELECT c_custkey AS q, lower(CASE (c_custkey // 50) % 7 WHEN 0 THEN entity WHEN 1 THEN alias WHEN 2 THEN display WHEN 3 THEN left(display, 17) WHEN 4 THEN split_part(alias, '@', 1) || '@' || left(entity, 1) WHEN 5 THEN '@' || entity || '.ex' ELSE 'ref' || entity END) AS n FROM e WHERE c_custkey % 50 = 0),
+r AS (SELECT q, entity, display, CASE WHEN entity = n THEN 0 WHEN lower(alias) = n THEN 1 WHEN lower(display) = n THEN 2 WHEN starts_with(entity, n) THEN 3 WHEN starts_with(lower(alias), n) THEN 4 WHEN starts_with(lower(display), n) THEN 5
+ WHEN len(list_filter(regexp_split_to_array(lower(alias) || ' ' || lower(display), '[@._\-\s]+'), lambda t: t <> '' AND starts_with(t, n))) > 0 THEN 6 WHEN contains(entity || ' ' || lower(alias) || ' ' || lower(display), n) THEN 7 END AS rank FROM q, e),
+p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rank, lower(display), entity) AS place FROM r WHERE rank IS NOT NULL) SELECT q, entity, rank::INT AS rank, place::INT AS place FROM p WHERE place <= 50""")
 def search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    names = c.select(F.col("c_custkey").cast("string").alias("entity"), F.col("c_name").alias("display"), F.lit("").alias("alias"), F.substring(F.lower("c_name"), 1, 16).alias("head"))
-    asks = c.filter("c_custkey % 250 = 0").select(F.col("c_custkey").alias("q"), F.concat(F.lit("customer#"), F.lpad(F.floor(F.col("c_custkey") / 100).cast("string"), 7, "0")).alias("head"))
-    return identity.search(names.join(asks, "head"), F.col("head"), 20, "q").select("q", "entity", "rank", "place")
+    entity = F.col("c_custkey").cast("string")
+    alias = F.concat("c_mktsegment", F.lit("."), F.col("c_nationkey").cast("string"), F.lit("@"), entity, F.lit(".example"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", entity.alias("entity"), alias.alias("alias"), F.concat("c_name", F.lit(" ref"), entity).alias("display"))
+    kind = F.floor(F.col("c_custkey") / 50) % 7
+    needles = [F.col("entity"), F.col("alias"), F.col("display"), F.substring("display", 1, 17), F.concat(F.split_part("alias", F.lit("@"), F.lit(1)), F.lit("@"), F.substring("entity", 1, 1)), F.concat(F.lit("@"), "entity", F.lit(".ex"))]
+    n = F.concat(F.lit("ref"), "entity")
+    for i, x in enumerate(needles):
+        n = F.when(kind == i, x).otherwise(n)
+    asks = c.filter("c_custkey % 50 = 0").select(F.col("c_custkey").alias("q"), n.alias("needle"))
+    return identity.search_many(c.drop("c_custkey"), asks, "q", "needle").select("q", "entity", "rank", "place")
 
 
 @query("""SELECT DISTINCT source AS value FROM documents WHERE starts_with(lower(source), 'src1')""")
@@ -377,15 +385,15 @@ def mixed_sort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     v = F.when(F.col("event_id") % 4 == 0, F.concat(F.upper("event_type"), (F.col("event_id") % 9).cast("string"))).otherwise(F.concat(k, F.when(F.col("event_id") % 3 == 0, ",000").otherwise("")))
     own = events(spark, sf_dir).select(v.alias("v")).distinct()
-    return own.withColumn("place", F.row_number().over(Window.orderBy(*predicates.mixed_order("v"), "v")))
+    return predicates.ranked(own, *predicates.mixed_order("v"), "v").select("v", F.col("place").cast("int").alias("place"))
 
 
-@query("""WITH s AS (SELECT date_trunc('day', ts) AS t, list_sort(list_distinct(list(event_type) FILTER (event_id % 5 < 3 OR user_id % 40 = 0))) AS h FROM events WHERE user_id % 10 = 0 GROUP BY 1),
+@query("""WITH s AS (SELECT date_trunc('day', ts) AS t, list_sort(list_distinct(list(event_type) FILTER ((length(event_type) * 7 + day(ts)) % 3 <> 0))) AS h FROM events GROUP BY 1),
 l AS (SELECT t, h, lag(h) OVER (ORDER BY t) AS o FROM s)
 SELECT strftime(t, '%Y-%m-%d') AS day, array_to_string(list_filter(h, lambda x: NOT list_contains(o, x)), ',') AS added, array_to_string(list_filter(o, lambda x: NOT list_contains(h, x)), ',') AS removed FROM l WHERE o IS NOT NULL AND h <> o""")
 def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).filter("user_id % 10 = 0")
-    s = e.groupBy(F.date_trunc("day", "ts").alias("captured_at")).agg(F.array_sort(F.collect_set(F.when((F.col("event_id") % 5 < 3) | (F.col("user_id") % 40 == 0), F.col("event_type")))).alias("headers")).withColumn("family", F.lit("events"))
+    shown = F.when((F.length("event_type") * 7 + F.dayofmonth("ts")) % 3 != 0, F.col("event_type"))
+    s = events(spark, sf_dir).groupBy(F.date_trunc("day", "ts").alias("captured_at")).agg(F.array_sort(F.collect_set(shown)).alias("headers")).withColumn("family", F.lit("events"))
     return diff.schema_changes(s).select(F.date_format("captured_at", "yyyy-MM-dd").alias("day"), F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
 
 
