@@ -1,10 +1,10 @@
 """Exact top-k inner-product search by exhaustive term-at-a-time accumulation.
 
-Each vector is a sparse row: components are terms, integer weights their postings. A task turns its candidates, block
-after block, into postings; for each term the queries that have it scatter their weight times the posting's weights into
-a dense array of scores (queries x candidates of the block); partition selection keeps each query's best k of the block
-and of the task so far, and one window merges the tasks' winners. Queries are worked off in blocks of bounded size, and
-only such a block is ever sent to the tasks.
+Each vector is a sparse row: components are terms, integer weights their postings. Candidates are dealt into parts of bounded
+size and every query is sent to every part, in one shuffle, sorted so that a part's candidates come first. The task turns
+them into postings and works its queries off in blocks as they stream by: for each term the queries that have it scatter
+their weight times the posting's weights into a dense array of scores (queries x candidates), and partition selection
+keeps each query's best k of the part. One window merges the parts' winners. Nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, stored
 
 K, SCALE = 10, 1024
-#: Queries of a block on average, and candidates of a block: what bounds a task's dense array (8 bytes a cell).
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 1024
+#: Queries of a block and candidates of a part on average: what bounds a task's dense array (8 bytes a cell).
+QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
@@ -30,13 +30,17 @@ def quantised(vector: Column, scale: int = SCALE) -> Column:
     return F.when(vector.isNotNull() & ~bad, F.transform(x, lambda v: F.floor(v * F.lit(float(scale))).cast("long")))
 
 
-def postings(ids: list[int], rows: list[list[int]]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """(ids, for each term (positions, weights) of the rows where its weight is not 0)."""
-    width = max(map(len, rows), default=0)
-    m = np.zeros((len(rows), width), np.int64)
-    for i, r in enumerate(rows):
-        m[i, : len(r)] = r
-    return np.array(ids, np.int64), [(np.flatnonzero(c), c[c != 0]) for c in np.ascontiguousarray(m.T)]
+def dense(rows: pa.ListArray) -> np.ndarray:
+    """Vectors as a matrix; shorter ones are filled with 0."""
+    size = np.diff(rows.offsets.to_numpy())
+    out = np.zeros((len(size), int(size.max(initial=0))), np.int64)
+    out[np.repeat(np.arange(len(size)), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)] = rows.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def postings(m: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each term (positions, weights) of the rows where its weight is not 0."""
+    return [(np.flatnonzero(c), c[c != 0]) for c in np.ascontiguousarray(m.T)]
 
 
 def accumulate(queries: list[tuple[np.ndarray, np.ndarray]], n_queries: int, docs: list[tuple[np.ndarray, np.ndarray]], n_docs: int) -> np.ndarray:
@@ -77,35 +81,51 @@ def search(rows: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id"
     bound_batches(spark)
     small = rows.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("is_query")).filter("vec_id is not null and v is not null")
     small = stored(small.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("is_query").alias("is_query")), "quantised")
-    n = small.filter("is_query").count()
-    blocks = -(-n // QUERY_BLOCK)
-    queries = stored(small.filter("is_query").select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))).cast("int").alias("block")), "queries")
-    best = None
-    for block in range(blocks):
-        own = queries.filter(F.col("block") == block).select("vec_id", "v").toArrow()  # about QUERY_BLOCK rows, ids being distinct
-        own_ids, own_terms = postings(own.column(0).to_pylist(), own.column(1).to_pylist())
-        held = spark.sparkContext.broadcast((own_ids, own_terms))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            own_ids, own_terms = held.value
-            top = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(own_ids)
-            for b in batches:
-                for at in range(0, b.num_rows, CANDIDATE_BLOCK):
-                    part = b.slice(at, CANDIDATE_BLOCK)
-                    ids, terms = postings(part.column(0).to_pylist(), part.column(1).to_pylist())
-                    new = select(accumulate(own_terms, len(own_ids), terms, len(ids)), ids, own_ids, k)
-                    merged = []
-                    for (i, s), (j, t) in zip(top, new, strict=True):
-                        i, s = np.concatenate([i, j]), np.concatenate([s, t])
-                        keep = np.lexsort((i, -s))[:k]
-                        merged.append((i[keep], s[keep]))
-                    top = merged
-            if any(len(i) for i, _ in top):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(i), q) for q, (i, _) in zip(own_ids, top, strict=True)])), pa.array(np.concatenate([i for i, _ in top])), pa.array(np.concatenate([s for _, s in top]))], names=["query_id", "vec_id", "score"])
-
-        made = small.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
-        best = made if best is None else best.unionAll(made)
-    if best is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    parts = max(1, -(-small.count() // CANDIDATE_BLOCK))
+    candidates = small.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("asks"), "vec_id", "v")
+    queries = small.filter("is_query").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("asks"), "vec_id", "v")
+    tasks = min(parts, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = candidates.unionAll(queries).repartition(tasks, "part").sortWithinPartitions("part", "asks", "vec_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, waiting = None, [], []  # (ids, vectors) of the part's candidates and of queries not worked off yet
+        terms, ids = None, None
+
+        def block() -> Iterator[pa.RecordBatch]:
+            nonlocal terms, ids
+            if waiting and held:
+                if terms is None:
+                    ids, terms = np.concatenate([i for i, _ in held]), postings(stack([m for _, m in held]))
+                own = np.concatenate([i for i, _ in waiting])
+                found = select(accumulate(postings(stack([m for _, m in waiting])), len(own), terms, len(ids)), ids, own, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, [len(i) for i, _ in found])), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]))], names=["query_id", "vec_id", "score"])
+            waiting.clear()
+
+        for b in batches:
+            key = b.column(0).to_numpy().astype(np.int64) * 2 + b.column(1).to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [b.num_rows]))
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if x == y:
+                    continue
+                if key[x] // 2 != part:
+                    yield from block()
+                    part, terms = int(key[x] // 2), None
+                    held.clear()
+                own = b.column(2)[x:y].to_numpy(), dense(b.column(3)[x:y])
+                (waiting if key[x] % 2 else held).append(own)
+                if sum(len(i) for i, _ in waiting) >= QUERY_BLOCK:
+                    yield from block()
+        yield from block()
+
+    best = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def stack(parts: list[np.ndarray]) -> np.ndarray:
+    """Matrices one below the other, filled with 0 to the widest."""
+    out, at = np.zeros((sum(map(len, parts)), max(m.shape[1] for m in parts)), np.int64), 0
+    for m in parts:
+        out[at : at + len(m), : m.shape[1]] = m
+        at += len(m)
+    return out
