@@ -594,6 +594,26 @@ def test_flow_repeats_only_where_it_must():
     assert sum(mixing.min_cost_flow({a: 10}, {"a": 18}).values()) == 18 and sum(mixing.min_cost_flow({a: 10}, {"a": 99}).values()) == 20
 
 
+def test_flow_against_linear_program():
+    """Most words first, then least cost, against all fillings of tiny mixes."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    for _ in range(25):
+        pats = list({frozenset(rng.choice(["a", "b", "c"], rng.integers(1, 3), replace=False).tolist()) for _ in range(3)})
+        cap, quota = {p: int(rng.integers(1, 3)) for p in pats}, {s: int(rng.integers(0, 4)) for s in "abc"}
+        ways = [(p, s) for p in pats for s in sorted(p)]
+        best = (0, 0)
+        for xs in itertools.product(range(4), repeat=len(ways)):
+            of = {p: sum(x for x, (q, _) in zip(xs, ways, strict=True) if q == p) for p in pats}
+            to = {s: sum(x for x, (_, t) in zip(xs, ways, strict=True) if t == s) for s in "abc"}
+            if all(of[p] <= 2 * cap[p] for p in pats) and all(to[s] <= quota[s] for s in "abc"):
+                best = max(best, (sum(xs), -sum(max(0, of[p] - cap[p]) for p in pats)))
+        flow = mixing.min_cost_flow(cap, quota)
+        of = {p: sum(x for (q, _), x in flow.items() if q == p) for p in pats}
+        assert (sum(flow.values()), -sum(max(0, of[p] - cap[p]) for p in pats)) == best
+
+
 def test_mixing_contract(spark, sf):
     got = queries.op9_mixing(spark, sf).collect()
     docs = table(spark, sf, "documents").collect()

@@ -8,7 +8,7 @@ is that of the mix's configuration and never grows with the documents. Then docu
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, deque
 from heapq import heappop, heappush
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,16 +51,26 @@ def targets(sizes: dict, weights: dict, share: float = SHARE, most: float = MOST
 def min_cost_flow(capacity: dict[frozenset, int], quota: dict, copies: int = MOST_COPIES) -> dict[tuple[frozenset, object], int]:
     """Words that each pattern gives each of its sources: most words first, then least cost.
 
-    Copy k of a pattern's documents costs k^2, so marginal costs rise. Successive shortest paths; potentials keep costs positive.
+    Copy k of a pattern's documents costs k^2, so marginal costs rise. A source that overlaps no other is filled straight
+    from its own pattern; the others go through the network. Shortest paths are found under potentials, which keep costs
+    positive, and all paths of one length are filled together by blocking flows.
     """
-    arcs: list[list] = []  # to, left, cost
+    given: dict[tuple[frozenset, object], int] = {}
+    shared = {s for p in capacity if len(p) > 1 for s in p}
+    for s in quota:
+        if s not in shared and (p := frozenset([s])) in capacity and (x := min(quota[s], copies * capacity[p])) > 0:
+            given[p, s] = x
+    capacity = {p: n for p, n in capacity.items() if p & shared}
+    quota = {s: n for s, n in quota.items() if s in shared}
+    to, left, cost = [], [], []
     out: dict[object, list[int]] = defaultdict(list)
 
-    def arc(a, b, cap: int, cost: int) -> None:
-        out[a].append(len(arcs))
-        arcs.append([b, cap, cost])
-        out[b].append(len(arcs))
-        arcs.append([a, 0, -cost])
+    def arc(a, b, cap: int, price: int) -> None:
+        for x, y, n, c in ((a, b, cap, price), (b, a, 0, -price)):
+            out[x].append(len(to))
+            to.append(y)
+            left.append(n)
+            cost.append(c)
 
     begin, end, ways = ("begin",), ("end",), {}
     for p in sorted(capacity, key=lambda x: sorted((y is None, y or "") for y in x)):
@@ -68,34 +78,71 @@ def min_cost_flow(capacity: dict[frozenset, int], quota: dict, copies: int = MOS
             arc(begin, ("pattern", p), capacity[p], k * k)
         for s in sorted(p, key=lambda y: (y is None, y or "")):
             if s in quota:
-                ways[p, s] = len(arcs)
+                ways[p, s] = len(to)
                 arc(("pattern", p), ("source", s), copies * capacity[p], 0)
     for s in quota:
         arc(("source", s), end, quota[s], 0)
     height: dict[object, int] = defaultdict(int)
-    while True:
-        far, by, heap, n = {begin: 0}, {}, [(0, 0, begin)], 0
+
+    def distances() -> dict:
+        far, heap, n = {begin: 0}, [(0, 0, begin)], 0
         while heap:
             d, _, a = heappop(heap)
             if d > far[a]:
                 continue
             for i in out[a]:
-                b, left, cost = arcs[i]
-                if left > 0 and (e := d + cost + height[a] - height[b]) < far.get(b, 1 << 62):
-                    far[b], by[b], n = e, i, n + 1
+                b = to[i]
+                if left[i] > 0 and (e := d + cost[i] + height[a] - height[b]) < far.get(b, 1 << 62):
+                    far[b], n = e, n + 1
                     heappush(heap, (e, n, b))
-        if end not in far:
-            return {k: arcs[i + 1][1] for k, i in ways.items() if arcs[i + 1][1]}
+        return far
+
+    def fill() -> bool:
+        """One blocking flow along arcs without reduced cost, by levels; whether there was any."""
+        level, waiting = {begin: 0}, deque([begin])
+        free = lambda i, a: left[i] > 0 and cost[i] + height[a] - height[to[i]] == 0
+        while waiting:
+            a = waiting.popleft()
+            for i in out[a]:
+                if to[i] not in level and free(i, a):
+                    level[to[i]] = level[a] + 1
+                    waiting.append(to[i])
+        if end not in level:
+            return False
+        at, path, a = dict.fromkeys(level, 0), [], begin
+        while True:
+            if a == end:
+                x = min(left[i] for i in path)
+                for i in path:
+                    left[i] -= x
+                    left[i ^ 1] += x
+                first = next(n for n, i in enumerate(path) if not left[i])
+                a, path = to[path[first] ^ 1], path[:first]
+            elif at[a] < len(out[a]):
+                i = out[a][at[a]]
+                if level.get(to[i]) == level[a] + 1 and free(i, a):
+                    path.append(i)
+                    a = to[i]
+                else:
+                    at[a] += 1
+            elif a == begin:
+                return True
+            else:
+                a = to[path.pop() ^ 1]
+                at[a] += 1
+
+    while end in (far := distances()):
         for a in out:
             height[a] += min(far.get(a, far[end]), far[end])
-        path, at = [], end
-        while at != begin:
-            path.append(by[at])
-            at = arcs[by[at] ^ 1][0]
-        x = min(arcs[i][1] for i in path)
-        for i in path:
-            arcs[i][1] -= x
-            arcs[i ^ 1][1] += x
+        while fill():
+            pass
+    return given | {k: left[i ^ 1] for k, i in ways.items() if left[i ^ 1]}
+
+
+def bounded(rows: dict, what: str) -> None:
+    """A mix beyond the bound is refused as a whole; no pattern or source is ever left out of one."""
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"a mix has {MOST_PATTERNS} {what} at most")
 
 
 def mix(docs: DataFrame, sources: Column, size: Column, id_col: str = "doc_id", weights: dict | None = None, share: float = SHARE, copies: int = MOST_COPIES, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
@@ -118,8 +165,7 @@ def mix(docs: DataFrame, sources: Column, size: Column, id_col: str = "doc_id",
     sums = stored(rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("words")), "mix-sums")
 
     of = {tuple(r.pattern): int(r.words) for r in sums.groupBy("pattern").agg(F.sum("words").alias("words")).limit(MOST_PATTERNS + 1).collect()}
-    if len(of) > MOST_PATTERNS:
-        raise ValueError(f"a mix has {MOST_PATTERNS} membership patterns at most")
+    bounded(of, "membership patterns")
     per_source: dict = defaultdict(int)
     for p, words in of.items():
         for s in p:
@@ -156,5 +202,6 @@ def source_targets(docs: DataFrame, source: Column, size: Column, weights: tuple
     """source, source_size, target of each source: as many rows as the mix has sources."""
     spark = docs.sparkSession
     sizes = {r[0]: int(r[1] or 0) for r in docs.groupBy(source.alias("source")).agg(F.sum(size)).limit(MOST_PATTERNS + 1).collect()}
+    bounded(sizes, "sources")
     goal = targets(sizes, weights_by_code_point(list(sizes), weights), share, most) if sizes else {}
     return spark.createDataFrame([(s, sizes[s], float(goal[s])) for s in sizes], "source string, source_size long, target double")
