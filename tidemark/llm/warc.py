@@ -3,12 +3,14 @@
 ARC files open with a `filedesc://` record whose body names the version and the fields of every header line. Version 1
 lines have 5 fields, version 2 lines 10; both end with the declared length of the record's body. The converter parses
 records by declared length, never by searching for the next header, and synthesises what WARC asks for: an identifier
-(a UUID of file name and offset, so a rerun gives the same), an ISO timestamp from the 14-digit date, record types, and
+(a UUID of URL, date, page id and the digest of the whole block, so a rerun gives the same), an ISO timestamp from the 14-digit date, record types, and
 SHA-1 digests of block and payload. Of responses with equal payloads the first stays a response, the others become
-`revisit` records without payload.
+`revisit` records without payload. Records that are equal in all of these are one capture told twice: they share an
+identifier and have the same type.
 
-Archives are gzip files written through Spark's own writer, whose record separator is the one that the format asks for,
-so any Hadoop file system serves and a lost task is written anew.
+Archives are gzip files written through Spark's own writer, one row each, so any Hadoop file system serves and a lost task
+is written anew. An archive is closed at ARCHIVE_BYTES or ROWS_PER_FILE records, so what a task holds is an archive and
+one record, and no record lies far behind its archive's beginning.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ WARC_VERSION = "WARC/1.0"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 WARC_END = "\r\n\r\n"
 
-#: Payload bytes from which on equal payloads are revisits; rows of a file, which bounds what one task holds.
-MIN_REVISIT_BYTES, ROWS_PER_FILE = 0, 1000
+#: Payload bytes from which on equal payloads are revisits; records and bytes at which an archive is closed.
+MIN_REVISIT_BYTES, ROWS_PER_FILE, ARCHIVE_BYTES = 0, 1000, 16 << 20
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 ARC_ROW = "arc_file string, offset long, record_id string, version int, url string, ip string, date string, mime string, status int, http string, page_id long, payload binary, payload_bytes long, payload_digest string"
 WARC_ROW = "warc_file string, offset long, record_id string, record_type string, url string, date string, mime string, http string, page_id long, refers_to_id string, refers_to_uri string, payload binary, payload_bytes long, payload_digest string, block_digest_ok boolean, payload_digest_ok boolean"
@@ -63,27 +65,57 @@ def arc_head(version: int, date: str, name: str = "pages.arc") -> str:
     return " ".join(line) + "\n" + body
 
 
-def write_arc(pages: DataFrame, path: str, version: Column | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "20080430204825") -> None:
-    """Write pages as gzip ARC files. A file has one version, 1 or 2 by the number of its task; null html is an empty payload,
+def _write(rows: DataFrame, line_sep: str, path: str) -> None:
+    """Rows of one archive's text each, a gzip file for each row."""
+    rows.write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", line_sep).text(path)
+
+
+class _Archive:
+    """Records of the archive being made; `add` gives back its text once it is full."""
+
+    def __init__(self, sep: str, most_bytes: int) -> None:
+        self.sep, self.most, self.held, self.size, self.made = sep, most_bytes, [], 0, 0
+
+    def close(self) -> list[str]:
+        out = [self.sep.join(self.held)] if self.held else []
+        self.made += len(out)
+        self.held, self.size = [], 0
+        return out
+
+    def add(self, record: str) -> list[str]:
+        self.held.append(record)
+        self.size += len(record)
+        return self.close() if self.size >= self.most or len(self.held) > ROWS_PER_FILE else []
+
+
+def _lines(texts: list[str]) -> Iterator[pa.RecordBatch]:
+    for t in texts:
+        yield pa.RecordBatch.from_arrays([pa.array([t], pa.string())], names=["value"])
+
+
+def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "20080430204825", archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write pages as gzip ARC files. Files have version 1 and 2 in turn; null html is an empty payload,
     a null or blank url is written as `unknown:`, white space in a url is dropped, a null id leaves the X-Page-Id header out."""
     bound_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        n, own = 0, 1 + TaskContext.get().partitionId() % 2
+        own, task = _Archive("\n", archive_bytes), TaskContext.get().partitionId()
         for b in batches:
-            out = []
             for page_id, url, html in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if n % ROWS_PER_FILE == 0:  # the writer begins a new file after as many rows
-                    out.append(arc_head(own, date))
-                    n += 1
-                out.append(arc_text(own, page_id, url, html, date))
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                version = 1 + (task + own.made) % 2
+                if not own.held:
+                    own.add(arc_head(version, date))
+                yield from _lines(own.add(arc_text(version, page_id, url, html, date)))
+        yield from _lines(own.close())
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    rows.mapInArrow(run, "value string").write.option("maxRecordsPerFile", ROWS_PER_FILE).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").text(path)
+    _write(rows.mapInArrow(run, "value string"), "\n", path)
+
+
+def record_id(*parts: object) -> str:
+    return f"<urn:uuid:{uuid.uuid5(SPACE, ' '.join(map(str, parts)))}>"
 
 
 def parse_arc(data: bytes, name: str, blocks: bool = False) -> Iterator[dict]:
@@ -111,8 +143,9 @@ def parse_arc(data: bytes, name: str, blocks: bool = False) -> Iterator[dict]:
             if rest.lstrip().partition("\n")[0].strip() != (V2_FIELDS if version == 2 else V1_FIELDS):
                 raise ValueError(f"{name}: unknown fields for version {version}")
             if blocks:
-                date = fields[2 - (10 if version == 2 else 5)]
-                yield {"offset": at, "record_id": f"<urn:uuid:{uuid.uuid5(SPACE, f'{name}@{at}')}>", "date": date, "block": body}
+                wanted = 10 if version == 2 else 5
+                url, date = " ".join(fields[: len(fields) - wanted + 1]), fields[2 - wanted]
+                yield {"offset": at, "record_id": record_id("filedesc", url, date, digest(body)), "date": date, "block": body}
         else:
             wanted = 10 if version == 2 else 5
             url, (ip, date, mime, *more) = " ".join(fields[: len(fields) - wanted + 1]), fields[len(fields) - wanted + 1 :]
@@ -121,9 +154,10 @@ def parse_arc(data: bytes, name: str, blocks: bool = False) -> Iterator[dict]:
                 http, payload = b"", body
             head = http.decode("utf-8", "replace")
             low = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.split("\r\n")[1:])}
+            page_id = int(low["x-page-id"]) if "x-page-id" in low else None
             yield {
-                "arc_file": name, "offset": at, "record_id": f"<urn:uuid:{uuid.uuid5(SPACE, f'{name}@{at}')}>", "version": version, "url": url, "ip": ip, "date": date, "mime": mime,
-                "status": int(more[0]) if version == 2 and more[0].isdigit() else int(head.split(" ")[1]) if head else None, "http": head, "page_id": int(low["x-page-id"]) if "x-page-id" in low else None,
+                "arc_file": name, "offset": at, "record_id": record_id(url, date, page_id, digest(body)), "version": version, "url": url, "ip": ip, "date": date, "mime": mime,
+                "status": int(more[0]) if version == 2 and more[0].isdigit() else int(head.split(" ")[1]) if head else None, "http": head, "page_id": page_id,
                 "payload": payload, "payload_bytes": len(payload), "payload_digest": digest(payload),
             }
         at = end + 1 + int(fields[-1])
@@ -235,7 +269,7 @@ def roles(records: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     return found.select("arc_file", "offset", "record_id", F.col("first.record_id").alias("refers_to_id"), F.col("first.url").alias("refers_to_uri"), F.col("first.date").alias("refers_to_date"))
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
+def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Convert all ARC files in arc_path, whatever their names (hidden ones left out), to gzip WARC files in warc_path. Each version block becomes a warcinfo record.
 
     Identifiers of revisits are found on narrow rows first and gathered for each ARC file (no more than it has records);
@@ -249,27 +283,25 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
     names = ("refers_to_id", "refers_to_uri", "refers_to_date")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Archive(WARC_END, archive_bytes)
         for b in batches:
             for i in range(b.num_rows):
                 name, data, revisits = (b.column(k)[i].as_py() for k in range(3))
-                told, held, size = {r["offset"]: r for r in revisits or ()}, [], 0
+                told = {r["offset"]: r for r in revisits or ()}
                 for r in parse_arc(gunzipped(data), name, blocks=True):
-                    held.append(warcinfo_text(r) if "block" in r else warc_text(r | {n: told[r["offset"]][n] if r["offset"] in told else None for n in names}))
-                    size += len(held[-1])
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
-                        held, size = [], 0
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
+                    yield from _lines(own.add(warcinfo_text(r) if "block" in r else warc_text(r | {n: told[r["offset"]][n] if r["offset"] in told else None for n in names})))
+        yield from _lines(own.close())
 
     rows = files.join(of_file.hint("shuffle_hash"), "arc_file", "left").select("arc_file", "content", "revisits")
-    rows.mapInArrow(run, "value string").write.option("maxRecordsPerFile", ROWS_PER_FILE).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", WARC_END).text(warc_path)
+    _write(rows.mapInArrow(run, "value string"), WARC_END, warc_path)
 
 
 def page_records(spark: SparkSession, warc_path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to (page id of the referred record), url, digests_ok, as the archives have them."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to (page id of the referred record), url, digests_ok, as the archives have them.
+
+    Repeated pages give as many rows, of one record type; a folder without archives gives none."""
     rows = read_warc(spark, warc_path, ["record_id", "record_type", "page_id", "refers_to_id", "payload_bytes", "payload_digest", "url", "block_digest_ok", "payload_digest_ok"])
     rows = rows.filter(F.col("record_type").isin("response", "revisit"))
-    first = rows.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
+    first = rows.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).dropDuplicates(["refers_to_id"])
     done = rows.filter("record_type = 'revisit'").join(first, "refers_to_id", "left").unionByName(rows.filter("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")))
     return done.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", (F.col("block_digest_ok") & F.coalesce("payload_digest_ok", F.lit(True))).alias("digests_ok"))
