@@ -1,3 +1,4 @@
+import hashlib
 import json
 from datetime import datetime
 
@@ -25,6 +26,31 @@ def test_csv_folder(spark, tmp_path):
     assert n["Rep_20260103-010000.csv"] == 0
 
 
+def test_odd_headers_and_names(spark, tmp_path):
+    (tmp_path / "Odd Name+1_20260101-010000.csv").write_text('Id,"Last, first",Id,,"say ""x"""\n1,"A, B",2,q,z\n3\n')
+    (tmp_path / "Empty_20260101-010000.csv").write_text("")
+    assert [r.delimiter for r in snapshots.dialects(spark, str(tmp_path)).collect()] == [","]
+    (row, cut) = snapshots.read_family(spark, str(tmp_path), "Odd Name+1").orderBy("row_ix").collect()
+    assert (row["Last, first"], row["Id"], row["column3"], row['say "x"']) == ("A, B", "2", "q", "z") and (cut["Id"], cut["Last, first"], row.seq) == ("", "", 1)
+    assert snapshots.header_names("a;A;;b", ";") == (["_repeated0", "A", "column2", "b"], ["A", "column2", "b"])
+
+
+def test_sinks_mark_sort_and_hash(spark, tmp_path):
+    df = spark.createDataFrame([("2", "b", {"z": "1", "a": "2"})], "y string, x string, m map<string,string>")
+    snapshots.write_view(df.select("y", "x").coalesce(1), f"{tmp_path}/view")
+    (part,) = (tmp_path / "view").glob("part-*.csv")
+    assert part.read_bytes() == b"\xef\xbb\xbfy,x\n2,b\n"
+    snapshots.write_comparison(df, f"{tmp_path}/json")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/json").collect()] == ['{"m":{"a":"2","z":"1"},"x":"b","y":"2"}']
+    named = spark.createDataFrame([("Added", "k", "Ann → G", None, None, None)], "change string, key string, identity string, property string, before string, after string")
+    snapshots.write_changes(named, f"{tmp_path}/changes")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/changes").first().Identity == "Ann → G"
+    occ = spark.createDataFrame([("f", "d", "a", " v ", "")], "family string, captured_date string, file string, B string, A string")
+    snapshots.write_occurrences(occ, f"{tmp_path}/occ", ["B", "A"])
+    r = spark.read.parquet(f"{tmp_path}/occ").first()
+    assert r.payload == '{"B":"v"}' and r.row_hash == hashlib.sha256(r.payload.encode()).hexdigest()
+
+
 def test_entity_histories_merge(spark):
     snaps = spark.createDataFrame([("Entra_Users_AuthenticationMethods", datetime(2026, 1, 1), "a", 1), ("Entra_Users_AuthenticationMethods_Hybrid", datetime(2026, 1, 2), "b", 1), ("Intune_iOS_Devices_Report", datetime(2026, 1, 1), "c", 1)], "family string, captured_at timestamp, path string, seq int")
     assert {r.path: (r.family, r.seq) for r in snapshots.merged_histories(snaps).collect()} == {"a": ("Entra_Users_AuthenticationMethods", 1), "b": ("Entra_Users_AuthenticationMethods", 2), "c": ("Intune_iOS_Devices_Report", 1)}
