@@ -79,3 +79,15 @@ def mixed_order(c: Column | str) -> list[Column]:
     t = F.regexp_replace(cells.text(c), ",", "")
     is_number = t.rlike(r"^-?(\d+\.?\d*|\.\d+)$")
     return [F.when(is_number, 0).otherwise(1), F.when(is_number, t.try_cast("double")), F.when(~is_number, cells.lower(c))]
+
+
+def fixed_rows(df: DataFrame, rows: DataFrame, by: str = "row_ix") -> DataFrame:
+    """The rows that a list of row numbers names."""
+    return df.join(rows.select(by).distinct(), by, "left_semi")
+
+
+def anywhere(df: DataFrame, needle: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows with the needle, without case, in the joined text of the columns; a blank needle keeps all."""
+    if not needle.strip():
+        return df
+    return df.filter(F.lower(F.concat_ws(" | ", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns or df.columns))).contains(needle.strip().lower()))

@@ -13,7 +13,7 @@ from ..functions import cells
 
 @dataclass(frozen=True)
 class Adapter:
-    """How a family's rows name their entity: canonical id columns, alias columns, display column, row scope, fallback prefix."""
+    """How a family's rows name their entity: canonical id columns, alias columns, display column, row scope, and the columns of its card."""
 
     family: str
     entity_type: str
@@ -22,6 +22,7 @@ class Adapter:
     display: str = ""
     scope: tuple[str, ...] = ()
     authoritative: bool = False
+    cards: tuple[str, ...] = ()
 
     def supports(self, headers: Sequence[str]) -> bool:
         low = {h.lower() for h in headers}
@@ -35,6 +36,13 @@ class Adapter:
         rest = [F.concat(F.lit(f"{self.family}:"), F.nullif(cells.resolve(columns, c), F.lit(""))) for c in self.aliases]
         return F.coalesce(main, *rest)
 
+    def card(self, columns: Sequence[str]) -> Column:
+        """Filled properties as an array of (name, value): the card's columns, or all but the canonical ones where there is no list."""
+        low, ids = {c.lower(): c for c in columns}, {c.lower() for c in self.canonical}
+        own = [low[c.lower()] for c in self.cards if c.lower() in low] if self.cards else [c for c in columns if c.lower() not in ids]
+        pairs = F.array(*(F.struct(F.lit(c).alias("name"), cells.text(f"`{c}`").alias("value")) for c in own)).cast("array<struct<name: string, value: string>>")
+        return F.filter(pairs, lambda x: x.value != "")
+
 
 # The families whose rows describe entities.
 ADAPTERS = (

@@ -107,3 +107,17 @@ def run_health(snapshots: DataFrame, reference: Column, days: int, scheduled_hou
 
 def run_totals(health: DataFrame) -> DataFrame:
     return health.agg(F.sum("observed").alias("observed"), F.sum("expected").alias("expected"), F.sum("missing").alias("missing"), F.round(F.sum("observed") / F.sum("expected"), 6).alias("coverage"))
+
+
+def policy_period_pairs(anchors: DataFrame, bundles: DataFrame, reference: Column, periods: dict[str, int] | None = None, key: str = "snapshot_id", at: str = "captured_at") -> DataFrame:
+    """period_pairs of one policy family over its bundles: only those that an anchor names, by the bundle's own time.
+
+    Reasons differ: no bundle is `not_enough_snapshots`, one is `no_baseline`; a baseline needs a known time.
+    """
+    own = bundles.join(anchors.select(key).distinct(), key, "left_semi").select(key, at)
+    spans = anchors.sparkSession.createDataFrame(list((periods or PERIODS).items()), "period string, hours int").withColumn("_cut", reference - F.make_interval(hours=F.col("hours")))
+    newest = own.agg(F.max(at).alias("latest"), F.count(F.lit(1)).alias("_n"))  # one row
+    rows = spans.join(newest).join(own.select(F.col(at).alias("_t")), F.col("_t") <= F.col("_cut"), "left")
+    out = rows.groupBy("period").agg(F.first("latest").alias("latest"), F.first("_n").alias("_n"), F.first("_cut").alias("_cut"), F.max("_t").alias("_base"))
+    reason = F.when(F.col("_n") == 0, "not_enough_snapshots").when(F.col("_n") < 2, "no_baseline").when(F.col("latest") <= F.col("_cut"), "stale").when(F.col("_base").isNull(), "no_baseline").otherwise("ok")
+    return out.withColumn("reason", reason).select("period", "latest", F.when(F.col("reason") == "ok", F.col("_base")).alias("baseline"), "reason")

@@ -16,6 +16,8 @@ SNAPSHOT_VERSION, EXPORT_VERSION = 1, 4
 TRUSTED = ("success", "not_applicable")
 KINDS = {"ChoiceSetting": "choice", "SimpleSetting": "simple", "GroupSetting": "group", "ChoiceSettingCollection": "choice_collection", "SimpleSettingCollection": "simple_collection", "GroupSettingCollection": "group_collection"}
 TARGETS = {"allDevicesAssignmentTarget": "all_devices", "allLicensedUsersAssignmentTarget": "all_users", "groupAssignmentTarget": "group", "exclusionGroupAssignmentTarget": "exclusion_group"}
+INVENTORY_COLUMNS = ("SnapshotId", "CapturedAtUtc", "PolicyId", "Source", "Platform", "PolicyType", "JsonRelativePath", "RetrievalStatus")
+FILTER_FIELDS = ("platform", "rule", "assignmentFilterManagementType")
 CLASSIC_METADATA = ("id", "displayName", "description", "createdDateTime", "lastModifiedDateTime", "version", "roleScopeTagIds", "assignments", "@odata.type", "@odata.context", "supportsScopeTags", "deviceManagementApplicabilityRuleOsEdition", "deviceManagementApplicabilityRuleOsVersion", "deviceManagementApplicabilityRuleDeviceMode")
 
 
@@ -255,3 +257,93 @@ def event_rows(events: DataFrame, before: DataFrame, after: DataFrame, key: str
     """Events with the policy's display name: from before for removals, else from after."""
     names = before.select(key, F.col("name").alias("_b")).join(after.select(key, F.col("name").alias("_a")), key, "full_outer")
     return events.join(names, key, "left").withColumn("policy", F.when(F.col("event") == "removed", F.coalesce("_b", "_a")).otherwise(F.coalesce("_a", "_b"))).drop("_a", "_b")
+
+
+def inventory_issues(headers: Sequence[str]) -> list[str]:
+    """What an inventory's header lacks; told from the schema, before a row is read."""
+    return [f"missing column {c}" for c in INVENTORY_COLUMNS if c not in headers] if headers else ["missing header"]
+
+
+def document_issues(inventory: DataFrame, documents: DataFrame, manifest: DataFrame, bundle: str = "bundle", path: str = "path") -> DataFrame:
+    """(bundle, path, issue): documents of another snapshot id or capture time than their manifest's, and bundles with more or fewer documents than inventory rows.
+
+    inventory: bundle, path. documents: bundle, path, snapshot_id, captured_at. manifest: bundle, snapshot_id, captured_at.
+    """
+    told = documents.join(manifest.select(bundle, F.col("snapshot_id").alias("_id"), F.col("captured_at").alias("_at")), bundle)
+    odd = lambda a, b, name: F.when(~F.coalesce(cells.text(a), F.lit("")).eqNullSafe(cells.text(b)), name)
+    each = told.select(bundle, path, F.explode(F.array_compact(F.array(odd("snapshot_id", "_id", "snapshot id mismatch"), odd("captured_at", "_at", "captured at mismatch")))).alias("issue"))
+    n = lambda df, name: df.groupBy(bundle).agg(F.count(F.lit(1)).alias(name))
+    counts = n(inventory, "_rows").join(n(documents, "_docs"), bundle, "full_outer").filter(~F.coalesce("_rows", F.lit(0)).eqNullSafe(F.coalesce("_docs", F.lit(0))))
+    return each.unionByName(counts.select(bundle, F.lit(None).cast("string").alias(path), F.lit("count mismatch").alias("issue")))
+
+
+def normal_filters(docs: DataFrame, by: Sequence[str], variant: str) -> DataFrame:
+    """Assignment filters of documents: by, filter_id, display, semantic (canonical JSON of the fields that are there), hash, warning.
+
+    A filter without an id has no hash and a warning; display name and description are no semantics.
+    """
+    each = docs.lateralJoin(docs.sparkSession.tvf.variant_explode(get(variant, "$.assignmentFilters", "variant").outer()).select(F.col("value").alias("_v"))).filter("_v is not null")
+    fid = F.coalesce(get("_v", "$.id"), F.lit(""))
+    semantic = cells.canonical_json(F.to_json(F.struct(fid.alias("filterId"), *(get("_v", f"$.{f}").alias(f) for f in FILTER_FIELDS))))
+    out = each.select(*by, fid.alias("filter_id"), get("_v", "$.displayName").alias("display"), get("_v", "$.rule").alias("rule"), semantic.alias("semantic"))
+    named = F.col("filter_id") != ""
+    return out.select(*by, "filter_id", "display", "rule", F.when(named, F.col("semantic")).alias("semantic"), F.when(named, F.sha2("semantic", 256)).alias("hash"), F.when(~named, "assignment filter without an id").alias("warning"))
+
+
+def filter_presentation(assigned: DataFrame, filters: DataFrame, key: str = "filter_id") -> DataFrame:
+    """assigned with shown and detail of its filter: the display name and the id, else the id and the rule; a dash without a filter."""
+    known = filters.groupBy(key).agg(F.min(F.struct(cells.filled("display").alias("d"), cells.filled("rule").alias("r"))).alias("_f"))
+    rows = assigned.join(known, key, "left")
+    none, d = cells.filled(key).isNull(), F.col("_f.d")
+    return rows.withColumn("shown", F.when(none, "—").otherwise(F.coalesce(d, F.col(key)))).withColumn("detail", F.when(none, "").when(d.isNotNull(), F.col(key)).otherwise(F.coalesce("_f.r", F.lit("")))).drop("_f")
+
+
+def filter_diff(before: DataFrame, after: DataFrame, before_trusted: bool, after_trusted: bool) -> DataFrame:
+    """filter_id, state, event, category, reason of assignment filters: as policies, existence counts only where that side's filters were retrieved."""
+    side = lambda df, s: df.filter("filter_id <> ''").groupBy("filter_id").agg(F.min("hash").alias(s))
+    both = side(before, "_b").join(side(after, "_a"), "filter_id", "full_outer")
+    new, gone = F.col("_b").isNull(), F.col("_a").isNull()
+    state = F.when(new, "added" if before_trusted else "indeterminate").when(gone, "removed" if after_trusted else "indeterminate").when(F.col("_a") == F.col("_b"), "unchanged").otherwise("changed")
+    out = both.withColumn("state", state)
+    event = F.when(F.col("state").isin("added", "removed", "changed"), F.concat(F.lit("assignment_filter_"), F.col("state")))
+    unsure = F.col("state") == "indeterminate"
+    return out.select("filter_id", "state", event.alias("event"), F.when(unsure, "assignment_filter_existence_unavailable").alias("category"), F.when(unsure, F.when(new, "baseline_filter_coverage_unavailable").otherwise("target_filter_coverage_unavailable")).alias("reason"))
+
+
+def summary_counts(policies: DataFrame, filters: DataFrame, events: DataFrame, suppressions: DataFrame) -> DataFrame:
+    """section, name, n of a comparison: policies and filters by state, events by type, suppressions by category."""
+    parts = [(policies, "policies", "state"), (filters, "assignmentFilters", "state"), (events, "eventsByType", "event"), (suppressions, "suppressionCategories", "category")]
+    rows = [df.select(F.lit(s).alias("section"), F.col(c).alias("name")).filter("name is not null") for df, s, c in parts]
+    whole = rows[0]
+    for r in rows[1:]:
+        whole = whole.unionByName(r)
+    return whole.groupBy("section", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def setting_hashes(settings: DataFrame, by: Sequence[str]) -> DataFrame:
+    """settings (as setting_nodes gives them) with `subtree`: a hash of definition, kind, raw value and the children's hashes in sorted order.
+
+    The order of children, their paths and display labels are no part of it. Built bottom up, a stored pass for each depth;
+    children's hashes are sorted within their parent, which has as many as the document says.
+    """
+    own = stored(settings.select(*by, "path", "depth", "definition_id", "kind", "raw_value", F.regexp_replace("path", r"\.[A-Za-z]+Value(\[\d+\])?\.children\[\d+\]$", "").alias("_parent")), "settings")
+    deepest = own.agg(F.max("depth")).first()[0]
+    done, below = None, None
+    for depth in range(deepest if deepest is not None else -1, -1, -1):
+        level = own.filter(F.col("depth") == depth)
+        if below is not None:
+            inner = below.groupBy(*by, F.col("_parent").alias("path")).agg(F.array_sort(F.collect_list("subtree")).alias("_inner"))
+            level = level.join(inner, [*by, "path"], "left")
+        else:
+            level = level.withColumn("_inner", F.lit(None).cast("array<string>"))
+        kids = F.concat_ws(",", F.coalesce("_inner", F.array().cast("array<string>")))
+        below = stored(level.withColumn("subtree", F.sha2(F.to_json(F.struct("definition_id", "kind", "raw_value", kids.alias("children"))), 256)).drop("_inner"), "setting-hashes")
+        done = below if done is None else done.unionByName(below)
+    return (own.withColumn("subtree", F.lit(None).cast("string")) if done is None else done).drop("_parent")
+
+
+def admx_blocked(docs: DataFrame, by: Sequence[str], variant: str) -> DataFrame:
+    """by, blocked: whether a template policy's values can't be trusted, as its retrieval failed or was partial and gave none."""
+    n = F.coalesce(F.size(get(variant, "$.definitionValues", "array<variant>")), F.lit(0))
+    status = F.lower(F.coalesce(get(variant, "$.retrieval.definitionValues.status"), get(variant, "$.retrieval.status"), F.lit("")))
+    return docs.select(*by, (status.isin("error", "partial") & (n <= 0)).alias("blocked"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,3 +56,34 @@ def provenance(observations: DataFrame, by: Sequence[str]) -> DataFrame:
 def source_audit(merged: DataFrame, matches: DataFrame) -> DataFrame:
     """Per device: link status, number of candidates, and the state and candidates of each match key."""
     return merged.join(matches, "device", "left").select("device", F.col("status").alias("link_status"), F.size("candidates").alias("n_candidates"), F.transform(F.coalesce("by_kind", F.array().cast("array<struct<kind:string,state:string,rows:array<string>>>")), lambda k: F.struct(k.kind.alias("kind"), k.state.alias("state"), F.size(k.rows).alias("n"))).alias("keys"))
+
+
+@dataclass(frozen=True)
+class Collection:
+    """Rows of a family that are one collection of an entity: what they show, and the column that tells two of them apart."""
+
+    name: str
+    family: str
+    primary: str
+    secondary: str
+    dedup: str
+    detail: str = ""
+
+
+# The collections of users.
+COLLECTIONS = (
+    Collection("roles", "Entra_Role_Assignments", "RoleName", "RoleState", "RoleName"),
+    Collection("groups", "Entra_Group_User_Memberships", "GroupName", "MembershipType", "GroupId", "GroupId"),
+    Collection("access_packages", "Entra_AccessPackage_User_Assignments", "AccessPackageName", "AssignmentState", "AccessPackageId", "AccessPackageId"),
+)
+
+
+def collect_relationships(rows: DataFrame, collection: Collection, entity: str = "entity", order: str = "row_ix") -> DataFrame:
+    """entity, collection, primary, secondary, detail: a row for each dedup key of an entity, without case; the first in file order counts.
+
+    Rows without dedup key are told apart by their primary text.
+    """
+    get = lambda c: cells.resolve(rows.columns, c) if c else F.lit("")
+    key = F.coalesce(F.nullif(get(collection.dedup), F.lit("")), get(collection.primary))
+    own = rows.select(entity, order, key.alias("_dedup"), get(collection.primary).alias("primary"), get(collection.secondary).alias("secondary"), get(collection.detail).alias("detail")).filter("_dedup <> ''")
+    return dedupe_relationships(own, [entity], F.col("_dedup"), order).select(entity, F.lit(collection.name).alias("collection"), "primary", "secondary", "detail")

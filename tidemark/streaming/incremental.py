@@ -7,7 +7,7 @@ import json
 from collections.abc import Callable
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -65,3 +65,31 @@ def follow(spark: SparkSession, folder: str, schema: str, sink: Callable[[DataFr
     """
     rows = spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files_per_batch).csv(folder).select("*", F.col("_metadata.file_path").alias("path"))
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def bundle_signature(snapshot_id: Column, modified: Column, size: Column) -> Column:
+    """Whether a bundle is still the one that was read: its id, and its manifest's time and size; the id alone without a manifest."""
+    return F.concat_ws(":", snapshot_id, modified.cast("string"), size.cast("string"))
+
+
+def parse_order(classified: DataFrame, families: DataFrame, identity_families: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(first, rest) of the files to parse: those of the families that bind aliases to identities come first, as all others are bound by what they say."""
+    own = to_parse(classified).join(families, "path", "left")
+    first = F.coalesce(F.col("family").isin(*identity_families), F.lit(False))
+    return own.filter(first), own.filter(~first)
+
+
+def next_rows(old: DataFrame, parsed: DataFrame, classified: DataFrame, failed: DataFrame, key: str = "path") -> DataFrame:
+    """The derived table after a run: rows of files that went or were parsed anew are left out, rows of failed files stay as they were, parsed rows come in.
+
+    Anti joins on file paths, so a store that is partitioned by file drops and rewrites partitions only.
+    """
+    bad = failed.select(key).distinct()
+    gone = classified.filter(F.col("action").isin("deleted", "changed", "new", "failed_before")).join(bad, key, "left_anti").select(key)
+    return old.join(gone, key, "left_anti").unionByName(parsed.join(bad, key, "left_anti"))
+
+
+def file_status(classified: DataFrame, failed: DataFrame, key: str = "path") -> DataFrame:
+    """path, status (ok, error, deleted), message of each file after a run: a failed file keeps its rows and tells why."""
+    out = classified.join(failed.select(key, "message").dropDuplicates([key]), key, "left")
+    return out.select(key, F.when(F.col("action") == "deleted", "deleted").when(F.col("message").isNotNull(), "error").otherwise("ok").alias("status"), "message")
