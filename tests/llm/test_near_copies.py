@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline as C
-from tidemark.llm import nearcopies
+from tidemark.llm import simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -46,12 +48,57 @@ def test_groups_equal_all_pairs(spark):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
     want = brute_groups(rows)
-    assert {r.doc_id: r.component_id for r in nearcopies.near_copies(df).collect()} == want
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()} == want
     assert sorted(r.doc_id for r in C.near_dedup(spark, df, "").collect()) == sorted(set(want.values()))
-    assert nearcopies.near_copies(df.limit(0)).count() == 0
+    assert simhash.near_copies(df.limit(0)).count() == 0
 
 
 def test_no_near_copy_stays_in_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = brute_groups([(r.doc_id, (r.text or "").encode().lower().decode()) for r in docs.select("doc_id", "text").collect()])
     assert sorted(r.doc_id for r in C.near_dedup(spark, docs, sf).collect()) == sorted(set(want.values()))
+
+
+def test_fingerprints_meet_on_variants(spark):
+    """Pairs within 2 bits and with near check bits are joined, whatever the buckets; no others are paired."""
+    rng = np.random.default_rng(3)
+    k, made = simhash.PRINT_BITS, {}
+    for number in (0, 7, 15):
+        for centre in rng.integers(0, 1 << k, 12).tolist():
+            for _ in range(40):
+                flips = rng.choice(k, int(rng.integers(0, 4)), replace=False).tolist()
+                made[(number << k) | (centre ^ sum(1 << f for f in flips))] = int(rng.integers(0, 2)) * 0xFFFFFFFF
+    prints = list(made)
+    near = lambda a, b: a >> k == b >> k and (a ^ b).bit_count() <= 2 and (made[a] ^ made[b]).bit_count() <= simhash.FIRST_RADIUS
+
+    def closure(pairs):
+        root = {x: x for x in prints}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            p, q = find(a), find(b)
+            root[max(p, q)] = min(p, q)
+        return {x: find(x) for x in prints}
+
+    want = closure((a, b) for i, a in enumerate(prints) for b in prints[:i] if near(a, b))
+    df = spark.createDataFrame([(a, c if c < 1 << 31 else c - (1 << 32)) for a, c in made.items()], "print long, check long")
+    for lead in (4, 12, None):
+        got = [(r.a, r.b) for r in simhash.near_prints(df, lead).collect()]
+        assert all(near(a, b) for a, b in got) and closure(got) == want
+
+
+def test_similarity_decides_and_recall_is_high(spark):
+    """Of planted pairs at 0.8 to 0.85 most are found, of pairs just below none, and groups never join unlike texts."""
+    rng, rows, above, below = random.Random(5), [], [], []
+    for i in range(0, 600, 2):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        cut = 20 if i % 4 else 30  # shares 180 of 220 or 170 of 230 five-word shingles
+        rows += [(i, " ".join(base)), (i + 1, " ".join(base[: 204 - cut] + [f"v{rng.randrange(10**6)}" for _ in range(cut)]))]
+        (above if i % 4 else below).append(i)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i + 1] == i for i in above) / len(above) > 0.9
+    assert all(got[i + 1] == i + 1 for i in below) and set(got.values()) >= set(range(0, 600, 2))

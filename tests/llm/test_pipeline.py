@@ -36,8 +36,18 @@ def test_toxic_rows_go_and_clean_ones_stay(spark, sf, documents):
 
 
 def test_one_of_each_group_stays(spark, sf, documents):
+    """Groups are those of five words and a similarity of 0.8, not op5's of three words; test_near_copies holds them against all pairs."""
     kept = sorted(r.doc_id for r in C.near_dedup(spark, documents, sf).collect())
-    assert kept == sorted({r.component_id for r in simhash.near_duplicates(documents).collect()})
+    assert kept == sorted({r.component_id for r in simhash.near_copies(documents).collect()})
+
+
+def test_the_right_text_of_a_repeated_id_stays(spark, sf):
+    """A copy of another document goes and a unique text stays, though both have one id; a nameless copy goes, a nameless original stays."""
+    a, b = "one two three four five six seven", "quite another text of seven words here"
+    rows = [(1, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, b, "fr", "s", 1), (None, a, "en", "s", 1), (None, "nobody else has this", "en", "s", 1), (None, "nobody else has this", "en", "s", 1)]
+    for order in (rows, rows[::-1]):
+        got = C.near_dedup(spark, spark.createDataFrame(order, DOCS), sf).collect()
+        assert sorted((r.doc_id or 0, r.text, r.lang) for r in got) == [(0, "nobody else has this", "en"), (1, a, "en"), (5, b, "en")]
 
 
 def test_spans_are_replaced(spark, sf, documents):

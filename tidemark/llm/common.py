@@ -68,14 +68,18 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def map_rows(df: DataFrame, make, schema: str) -> DataFrame:
-    """mapInArrow with make(columns: dict of lists) -> dict of lists or arrays, once a batch."""
+def map_rows(df: DataFrame, make, schema: str, begin=None) -> DataFrame:
+    """mapInArrow with make(columns: dict of lists) -> dict of lists or arrays, once a batch.
+
+    begin: makes what a task keeps between its batches, which make gets as a second argument; it goes with the task.
+    """
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = (begin(),) if begin else ()
         for b in batches:
             if b.num_rows:
-                made = make({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
+                made = make({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}, *kept)
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
