@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, nearcopies, pieces, pii, toxicity
+from tidemark.llm import mixing, pieces, pii, simhash, toxicity
 from tidemark.llm.common import bound_batches, map_rows, shared_path
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,15 +32,17 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of near copies the document with the smallest doc_id; of repeated rows of that id, one.
+    """Keep of each group of near copies the document with the smallest doc_id, as one row.
 
-    Near copies share 0.8 or more of their five-word shingles (Jaccard similarity, verified on the whole sets).
-    Rows without an id are kept, as nothing tells them apart from their group's representative.
+    Near copies share 0.8 or more of their five-word shingles (Jaccard similarity, verified on the whole sets); their
+    candidates come from SimHash fingerprints. Of rows with that id and unlike texts, the one whose text hash is smallest
+    stays; of rows with equal id and text, the smallest by the other columns. A row without an id stays only where its
+    group has no id at all. Empty documents give none.
     """
-    groups = nearcopies.near_copies(docs.filter("doc_id is not null")).select(F.col("doc_id").alias("kept_id"), "component_id")
-    kept = groups.filter("kept_id = component_id").select("kept_id").distinct()
-    own = docs.select(*DOCUMENTS).join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return own.dropDuplicates(["doc_id"]).unionByName(docs.select(*DOCUMENTS).filter("doc_id is null"))
+    kept = simhash.near_copies(docs).filter("stays").select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark")).distinct()
+    own = docs.select(*DOCUMENTS).withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    own = own.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")), "left_semi")
+    return own.groupBy("doc_id", "mark").agg(F.min(F.struct(*DOCUMENTS[1:])).alias("row")).select("doc_id", *(f"row.{c}" for c in DOCUMENTS[1:]))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
