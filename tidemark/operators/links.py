@@ -89,26 +89,34 @@ def match_records(left: DataFrame, right: DataFrame, keys: dict[str, tuple[Colum
     keys: kind -> (left, right) normalised columns, blank meaning invalid. Per kind a left row is unique, ambiguous, absent
     or invalid. Then: unique keys that disagree, ambiguous; unique, and an ambiguous `containing` kind that has it, matched
     (without it, ambiguous); unique and another ambiguous, ambiguous; only ambiguous, ambiguous; a unique one, matched;
-    none, no_match_with_coverage. Returns left_id, status, matched, diagnostic, and the array `by_kind`.
+    none, no_match_with_coverage. Returns left_id, status, matched, diagnostic, and `by_kind`, an array of kind, state and
+    number of records. Values are counted before they meet, so one that many records share moves one row, and whether it
+    has the unique record is an equi-join.
     """
     def long(df: DataFrame, name: str, side: int) -> DataFrame:
         cols = F.array(*(F.struct(F.lit(k).alias("kind"), F.coalesce(c[side], F.lit("")).alias("value")) for k, c in keys.items()))
         return df.select(F.col(name).cast("string").alias(name), F.explode(cols).alias("k")).select(name, "k.kind", "k.value")
 
-    index = long(right, right_id, 1).filter("value <> ''").groupBy("kind", "value").agg(F.array_sort(F.collect_set(right_id)).alias("rows"))
-    probe = long(left, left_id, 0).join(index, ["kind", "value"], "left")
-    state = F.when(F.col("value") == "", "invalid").when(F.col("rows").isNull(), "absent").when(F.size("rows") == 1, "unique").otherwise("ambiguous")
+    ids = long(right, right_id, 1).filter("value <> ''").distinct()
+    index = ids.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), F.min(right_id).alias("least"))
+    probe = long(left, left_id, 0).join(index, ["kind", "value"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    state = F.when(F.col("value") == "", "invalid").when(F.col("n") == 0, "absent").when(F.col("n") == 1, "unique").otherwise("ambiguous")
     probe = probe.withColumn("state", state)
-    empty = F.array().cast("array<string>")
-    flat = lambda c: F.array_distinct(F.flatten(F.collect_list(F.when(c, F.col("rows")))))
-    amb = F.col("state") == "ambiguous"
+    amb, only = F.col("state") == "ambiguous", F.when(F.col("state") == "unique", F.col("least"))
     own = amb & (F.col("kind") == F.lit(containing))
-    g = probe.groupBy(left_id).agg(flat(F.col("state") == "unique").alias("u"), F.count_if(amb & ~own).alias("other"), F.count_if(own).alias("own"), F.coalesce(F.first(F.when(own, F.col("rows")), ignorenulls=True), empty).alias("pool"), F.array_sort(F.collect_list(F.struct("kind", "state", F.coalesce("rows", empty).alias("rows")))).alias("by_kind"))
-    one = F.size("u") == 1
-    inside = F.array_contains("pool", F.col("u")[0])
+    g = probe.groupBy(left_id).agg(F.min(only).alias("u"), F.max(only).alias("_u"), F.count_if(amb & ~own).alias("other"), F.count_if(own).alias("own"), F.max(F.when(own, F.col("value"))).alias("_pool"), F.array_sort(F.collect_list(F.struct("kind", "state", "n"))).alias("by_kind"))
+    held = ids.filter(F.col("kind") == F.lit(containing)).select(F.col("value").alias("_pool"), F.col(right_id).alias("u"), F.lit(True).alias("_inside"))
+    g = g.join(held, ["_pool", "u"], "left")
+    one, inside = F.col("u") == F.col("_u"), F.coalesce("_inside", F.lit(False))
     status = (
-        F.when(F.size("u") > 1, "ambiguous").when(one & (F.col("other") > 0), "ambiguous").when(one & (F.col("own") > 0) & inside, "matched").when(one & (F.col("own") > 0), "ambiguous")
+        F.when(F.col("u") != F.col("_u"), "ambiguous").when(one & (F.col("other") > 0), "ambiguous").when(one & (F.col("own") > 0) & inside, "matched").when(one & (F.col("own") > 0), "ambiguous")
         .when(one, "matched").when(F.col("other") + F.col("own") > 0, "ambiguous").otherwise("no_match_with_coverage")
     )
     out = g.withColumn("status", status)
-    return out.select(left_id, "status", F.when(F.col("status") == "matched", F.col("u")[0]).alias("matched"), F.when((F.col("status") == "matched") & (F.col("own") > 0), "duplicate value resolved by another key").alias("diagnostic"), "by_kind")
+    return out.select(left_id, "status", F.when(F.col("status") == "matched", F.col("u")).alias("matched"), F.when((F.col("status") == "matched") & (F.col("own") > 0), "duplicate value resolved by another key").alias("diagnostic"), "by_kind")
+
+
+def match_candidates(left: DataFrame, right: DataFrame, keys: dict[str, tuple[Column, Column]], left_id: str, right_id: str) -> DataFrame:
+    """left_id, kind, right_id: a row for each record that a key names, for those who want to see them; a plain join, split where a value is hot."""
+    side = lambda df, name, i: df.select(F.col(name).cast("string").alias(name), F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.coalesce(c[i], F.lit("")).alias("value")) for k, c in keys.items()))).alias("k")).select(name, "k.kind", "k.value").filter("value <> ''").distinct()
+    return side(left, left_id, 0).join(side(right, right_id, 1), ["kind", "value"]).select(left_id, "kind", right_id)

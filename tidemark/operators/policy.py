@@ -20,6 +20,9 @@ INVENTORY_COLUMNS = ("SnapshotId", "CapturedAtUtc", "PolicyId", "Source", "Platf
 FILTER_FIELDS = ("platform", "rule", "assignmentFilterManagementType")
 CLASSIC_METADATA = ("id", "displayName", "description", "createdDateTime", "lastModifiedDateTime", "version", "roleScopeTagIds", "assignments", "@odata.type", "@odata.context", "supportsScopeTags", "deviceManagementApplicabilityRuleOsEdition", "deviceManagementApplicabilityRuleOsVersion", "deviceManagementApplicabilityRuleDeviceMode")
 
+#: Levels of a tree that a pass expands before it stores them.
+LEVELS_A_PASS = 4
+
 
 def get(v: Column | str, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(cells.col(v), path, kind)
@@ -28,20 +31,31 @@ def get(v: Column | str, path: str, kind: str = "string") -> Column:
 def tree_nodes(docs: DataFrame, by: Sequence[str], variant: str) -> DataFrame:
     """Every node below a VARIANT: by, path, depth, name, type, value (the VARIANT), one row each.
 
-    Levels are expanded one after another, each from the stored containers of the level above, until none is left, so
-    no limit applies to depth or rows, and a level is one map-only pass. A node's row holds its subtree.
+    LEVELS_A_PASS levels are expanded in a map-only pass and stored, the next ones from the containers of the last of them,
+    until none is left, so no limit applies to depth or rows. A node's row holds its subtree.
     """
-    level = docs.select(*by, F.lit("$").alias("path"), F.lit(0).alias("depth"), F.lit("$").alias("name"), F.col(variant).alias("value"))
-    out = []
-    for depth in itertools.count():
-        level = stored(level.filter("value is not null").withColumn("type", cells.json_type(F.col("value"))), "tree-level")
-        out.append(level)
+    typed = lambda df: df.filter("value is not null").withColumn("type", cells.json_type(F.col("value")))
+
+    def below(level: DataFrame, depth: int) -> DataFrame:
         inner = level.filter(F.col("type").isin("object", "array"))
-        if inner.isEmpty():
-            break
         exploded = inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("value").outer()).select(F.col("pos"), F.col("key"), F.col("value").alias("_child")))
         name = F.coalesce("key", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-        level = exploded.select(*by, F.concat_ws("", "path", F.when(F.col("key").isNotNull(), F.lit(".")), name).alias("path"), F.lit(depth + 1).alias("depth"), name.alias("name"), F.col("_child").alias("value"))
+        return typed(exploded.select(*by, F.concat_ws("", "path", F.when(F.col("key").isNotNull(), F.lit(".")), name).alias("path"), F.lit(depth).alias("depth"), name.alias("name"), F.col("_child").alias("value")))
+
+    level = typed(docs.select(*by, F.lit("$").alias("path"), F.lit(0).alias("depth"), F.lit("$").alias("name"), F.col(variant).alias("value")))
+    out = []
+    for depth in itertools.count(0, LEVELS_A_PASS):
+        chain = [level]
+        for i in range(1, LEVELS_A_PASS):
+            chain.append(below(chain[-1], depth + i))
+        made = chain[0]
+        for part in chain[1:]:
+            made = made.unionByName(part)
+        out.append(stored(made, "tree-levels"))
+        last = out[-1].filter(F.col("depth") == depth + LEVELS_A_PASS - 1)
+        if last.filter(F.col("type").isin("object", "array")).isEmpty():
+            break
+        level = below(last, depth + LEVELS_A_PASS)
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)

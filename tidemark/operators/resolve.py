@@ -55,7 +55,7 @@ def provenance(observations: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def source_audit(merged: DataFrame, matches: DataFrame) -> DataFrame:
     """Per device: link status, number of candidates, and the state and candidates of each match key."""
-    return merged.join(matches, "device", "left").select("device", F.col("status").alias("link_status"), F.size("candidates").alias("n_candidates"), F.transform(F.coalesce("by_kind", F.array().cast("array<struct<kind:string,state:string,rows:array<string>>>")), lambda k: F.struct(k.kind.alias("kind"), k.state.alias("state"), F.size(k.rows).alias("n"))).alias("keys"))
+    return merged.join(matches, "device", "left").select("device", F.col("status").alias("link_status"), F.size("candidates").alias("n_candidates"), F.transform(F.coalesce("by_kind", F.array().cast("array<struct<kind:string,state:string,n:bigint>>")), lambda k: k).alias("keys"))
 
 
 @dataclass(frozen=True)
