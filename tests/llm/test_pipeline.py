@@ -85,3 +85,13 @@ def test_stages_on_awkward_rows(spark, sf, awkward):
         assert stage(spark, awkward.limit(0), sf).count() == 0
     for _, stage in C.STAGES[:4]:
         assert stage(spark, awkward, sf).columns == C.DOCUMENTS
+
+
+def test_a_run_leaves_only_its_last_table(spark, sf):
+    from tidemark.llm import common
+
+    before = list(common.WRITTEN)
+    kept = common.stored(spark.range(2), "kept")
+    got = C.run(spark, sf)
+    assert common.WRITTEN[: len(before)] == before and len(common.WRITTEN) == len(before) + 1 and kept.count() == 2
+    assert got.select("doc_id").distinct().count() > 0

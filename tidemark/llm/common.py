@@ -22,12 +22,19 @@ WORD_RE = re.compile(WORD)
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
+#: Paths that `stored` has written and `drop_stored` has not deleted.
+WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset a new local one, if the master is local, else an error."""
     sc = spark.sparkContext
     if set_already := sc.getCheckpointDir():
         return set_already
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if not told and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="tidemark-"))
     return sc.getCheckpointDir()
 
 
@@ -40,9 +47,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession, since: int = 0, more: tuple[str, ...] = ()) -> None:
+    """Delete the tables that `stored` wrote in this process since it had written so many, and more paths, once nothing that reads them is needed."""
+    gone = [*WRITTEN[since:], *more]
+    del WRITTEN[since:]
+    for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, gone):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that a Python worker's memory follows the longest text, not 10,000 of them.
 

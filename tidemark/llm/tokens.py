@@ -192,7 +192,8 @@ def blocks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """Packed blocks of all documents in ascending id order (null ids first; repeated ids by text hash, then text).
 
     tokenizer: path of a tokenizers file that exists on every executor. end_id follows each document (None: nothing does).
-    A null or empty text has the end id alone. A document longer than a block has a block of its own.
+    A null or empty text has the end id alone. A document longer than a block has a block of its own. Repeated rows have
+    equal ids, one behind the other; an empty table gives no block. Other columns are ignored.
     """
     spark = docs.sparkSession
     bound_batches(spark)

@@ -222,12 +222,12 @@ def _read(spark: SparkSession, path: str, parse, schema: str, columns: list[str]
 
 
 def read_arc(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """All records of the ARC files below path but the version blocks."""
+    """All records of the ARC files below path but the version blocks; repeated ones as often as they are there, none of a folder without archives."""
     return _read(spark, path, parse_arc, ARC_ROW, columns)
 
 
 def read_warc(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """All records of the WARC files below path."""
+    """All records of the WARC files below path; repeated ones as often as they are there, none of a folder without archives."""
     return _read(spark, path, parse_warc, WARC_ROW, columns)
 
 
