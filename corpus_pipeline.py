@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, pieces, pii, simhash, toxicity
-from tidemark.llm.common import bound_batches, map_rows, shared_path
+from tidemark.llm.common import WRITTEN, bound_batches, drop_stored, map_rows, shared_path
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -18,7 +18,8 @@ DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the toxicity model predicts to be toxic; null and empty texts stay.
 
-    The model learns from all labelled documents, up to its documented bound. Scoring and filtering is one pass without a join.
+    The model learns from all labelled documents, up to its documented bound. Scoring and filtering is one pass without a
+    join: repeated rows go or stay together, an empty table gives none, further columns are dropped.
     """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     bound_batches(spark)
@@ -46,13 +47,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every span of personal data in the text by its kind; n_chars follows the new text."""
+    """Replace every span of personal data in the text by its kind; n_chars follows the new text, null for a null one.
+
+    Every row stays, as it is where nothing is found; repeated rows stay alike; an empty table gives none.
+    """
     clean = pii.redact(docs, DOCUMENTS)
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))).select(*DOCUMENTS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as the mix does: 0, 1 or 2 rows of it. Documents without words, which no mix measures, stay once."""
+    """Take each document as often as the mix does: 0, 1 or 2 rows of it. Documents without words, which no mix measures, stay once.
+
+    A null source is a source of its own. Repeated rows and equal ids are documents of their own, taken in an order of
+    seeded hashes; those that tie in it are alike but for lang and text. An empty table gives none.
+    """
     size = mixing.n_words(F.col("text"))
     taken = mixing.mix(docs, F.array("source"), size, keep=DOCUMENTS[1:])
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies"))
@@ -60,7 +68,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of every document as piece ids, with their scores and the check that they decode to the text."""
+    """Sampled segmentations of every document as piece ids, with their scores and the check that they decode to the text.
+
+    Null and empty texts give one without pieces; copies of a document, which share its id, give equal ones; no rows give none.
+    """
     import public_tokenizers
 
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -73,10 +84,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over documents; the last one's rows."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in order over documents; the last one's rows. What a stage stored, and what it read, goes once it has written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), ()
     for name, stage in STAGES:
-        path = shared_path(spark, name)
+        path, since = shared_path(spark, name), len(WRITTEN)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        drop_stored(spark, since, before)
+        before = (path,)
     return docs
