@@ -255,7 +255,7 @@ def named_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- entities and files
 
 
-@query("""SELECT user_id AS entity, 'roles' AS collection, first(event_type ORDER BY event_id) AS "primary", count(*) OVER () > 0 AS any_ FROM events GROUP BY user_id, event_type, 2""".replace(", count(*) OVER () > 0 AS any_", ""))
+@query("""SELECT user_id AS entity, 'roles' AS collection, first(event_type ORDER BY event_id) AS "primary" FROM events GROUP BY user_id, event_type""")
 def relationship_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = resolve.COLLECTIONS[0]
     rows = events(spark, sf_dir).select(F.col("user_id").alias("entity"), F.col("event_id").alias("row_ix"), F.col("event_type").alias("ROLENAME"), F.lit("Active").alias("RoleState"))
