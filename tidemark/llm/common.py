@@ -101,6 +101,25 @@ def map_rows(df: DataFrame, make, schema: str, begin=None) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: A row of a joined table that stands for more than one in so many of the other side's rows is broadcast.
+HOT_SHARE = 4096
+
+
+def join_by_weight(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows and the columns of table, joined on key: inner, and no key gathers its rows in a task.
+
+    table: one row a key, stored; weight: about how many of rows have it. Keys that have over 1 / HOT_SHARE of all weights,
+    so fewer than HOT_SHARE, are broadcast; the others meet by a shuffle. A table of up to HOT_SHARE rows is broadcast whole.
+    rows is read twice in the other case and should be stored, too.
+    """
+    told = table.agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("total")).first()
+    if told["n"] <= HOT_SHARE:
+        return rows.join(F.broadcast(table), key)
+    is_hot = F.col(weight) * HOT_SHARE > told["total"]
+    hot, cold = table.filter(is_hot), table.filter(~is_hot)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 class Numbered:
     """Numbers of byte strings, in the order in which they are first seen; all strings of a batch are looked up together.
 

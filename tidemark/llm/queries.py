@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import merkle, mixing, pieces, pii, quality, simhash, tokens, topk, toxicity, warc
+from . import alignment, manifest, merkle, mixing, pieces, pii, quality, secret_ledger, simhash, tokens, topk, toxicity, warc
 from .common import shared_path, stored
 
 
@@ -76,12 +76,27 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.against_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_ledger.findings(table(spark, sf_dir, "documents"), shared_path(spark, "secret-ledger"), path_col="doc_id", version_col=None)
+    return secret_ledger.digests(found)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 0, with_proofs=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_tokens, op4_pii, op5_simhash, op6_topk, op7_quality, op8_sentencepiece, op9_mixing, op10_merkle)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_tokens, op4_pii, op5_simhash, op6_topk, op7_quality, op8_sentencepiece, op9_mixing, op10_merkle, op11_secrets, op12_alignment, op13_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2, "op6_topk": OP6, "op9_mixing": OP9}
+    return {"op2_warc": OP2, "op6_topk": OP6, "op9_mixing": OP9, "op13_manifest": OP13}
 
 
 OP2 = """
@@ -134,3 +149,44 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, (size * ((size > 0 AND ahead + size / 2 < give)::INT + (size > 0 AND source_size + ahead + size / 2 < give)::INT))::BIGINT AS taken FROM a
 """
+
+OP13 = """
+WITH RECURSIVE d AS (
+  SELECT doc_id::BIGINT AS doc_id, lang, n_chars,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS size, coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS size_more,
+         coalesce(strlen(text) || ':' || text, '-') AS body,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) ELSE xor(acc >> 1, 3988292384 * (acc & 1)) END), 4294967295) AS crc
+  FROM documents
+), l AS (
+  SELECT doc_id, lang, leaf, coalesce(CASE WHEN crc % 7 = 0 THEN sha256(head || size_more || body) END, leaf) AS told,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT *, sha256(head || size || body) AS leaf FROM d)
+), tree AS (
+  SELECT lang, 0 AS level, pos, n, leaf AS h FROM l
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY lang, level, pos // 2
+), sub AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1
+), up AS (
+  SELECT 0 AS level, pos, n, subroot AS h FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY level, pos // 2
+), steps AS (
+  SELECT l.lang, l.pos, t.level, (l.pos >> t.level) & 1 AS side, s.h
+  FROM l JOIN (SELECT DISTINCT lang, level FROM tree WHERE n > 1) t ON l.lang IS NOT DISTINCT FROM t.lang
+  LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = t.level AND s.pos = xor(l.pos >> t.level, 1)
+  UNION ALL
+  SELECT l.lang, l.pos, 100 + t.level, (b.pos >> t.level) & 1, s.h
+  FROM l JOIN sub b ON l.lang IS NOT DISTINCT FROM b.lang CROSS JOIN (SELECT DISTINCT level FROM up WHERE n > 1) t
+  LEFT JOIN up s ON s.level = t.level AND s.pos = xor(b.pos >> t.level, 1)
+), proofs AS (
+  SELECT lang, pos, string_agg(coalesce(h, ''), '' ORDER BY level) AS siblings, list(side || coalesce(h, '') ORDER BY level) AS path FROM steps GROUP BY lang, pos
+), f AS (
+  SELECT l.doc_id, l.leaf, b.subroot, (SELECT h FROM up WHERE n = 1) AS root, sha256(coalesce(p.siblings, '')) AS proof_sha256,
+         list_reduce(list_prepend(l.told, coalesce(p.path, [])), lambda acc, x: sha256(CASE substr(x, 1, 1) WHEN '1' THEN substr(x, 2) || acc ELSE acc || substr(x, 2) END)) AS folded_root
+  FROM l JOIN sub b ON l.lang IS NOT DISTINCT FROM b.lang LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM l.lang AND p.pos = l.pos
+)
+SELECT *, folded_root = root AS verified FROM f
+"""
