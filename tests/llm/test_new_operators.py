@@ -317,3 +317,15 @@ def test_proofs_lead_to_the_root(spark, sf):
 def test_manifest_of_one_row(spark):
     (r,) = manifest.manifest(spark.createDataFrame(AWKWARD[:1], DOCS)).collect()
     assert r.leaf == r.subroot == r.root and r.proof_sha256 == hashlib.sha256(b"").hexdigest() and r.verified
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(max_size=12) | st.sampled_from([" ", "  ", "\n", "\t", "word", "hello world", "<s>", "</s>", "中文", "😀", "é", "   x", "a" * 20, "1234", "\x00", "é"]), min_size=1, max_size=12).map("".join).filter(bool))
+def test_units_of_pieces_encode_as_whole(text):
+    from sentencepiece import SentencePieceProcessor
+
+    units = alignment.pair(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")).encode_b
+    whole = SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model")).encode(text)
+    (ids,) = units([text])
+    spelled = units.spelled.of(np.array(whole, np.int64)).tobytes() == (" " + text).encode()
+    assert ids.tolist() == (whole if spelled else [])

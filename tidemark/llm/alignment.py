@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bound_batches, stored
-from .pieces import Vocabulary
-from .tokens import Encoder
+from .common import Numbered, arrow_schema, bound_batches, longer, stored
+from .pieces import Held, Vocabulary
+from .tokens import MEMORY, MEMORY_BYTES, Encoder
 
 #: Ends of A and B that a piece merges; bytes of texts that are merged at once; pairs that are made at once.
 PIECE, HELD_BYTES, HELD_PAIRS = 1 << 15, 1 << 20, 1 << 22
@@ -58,34 +58,92 @@ class Spelled:
         return self.flat[np.repeat(self.begin[ids] - upto + size, size) + np.arange(int(upto[-1]) if len(ids) else 0)]
 
 
+class UnitPieces:
+    """Ids of whole texts by a SentencePiece BPE model, which a worker asks for each new unit once.
+
+    Two characters that are neighbours in no piece are never merged, so units between such places are encoded apart. Texts of
+    models whose normal form changes more than spaces, or that are no BPE, are encoded whole.
+    """
+
+    def __init__(self, path: str) -> None:
+        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+
+        told = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            told.ParseFromString(f.read())
+        spec = told.normalizer_spec
+        self.by_unit = told.trainer_spec.model_type == told.trainer_spec.BPE and not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and spec.escape_whitespaces and not told.trainer_spec.treat_whitespace_as_suffix
+        if self.by_unit:
+            told.normalizer_spec.add_dummy_prefix = False  # the text comes with it
+        self.model, self.v = SentencePieceProcessor(model_proto=told.SerializeToString()), Vocabulary(path)
+        self.spelled = Spelled([r if k == "byte" else r.replace("▁".encode(), b" ") for r, k in zip(self.v.raw, self.v.kind, strict=True)])
+        self.cutter = Held(self.v)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = Numbered()
+        self.size, self.begin, self.flat, self.good, self.total = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool), 0
+
+    def _add(self, new: list[bytes], first: int) -> None:
+        texts = [u.decode().replace("▁", " ") for u in new]
+        made = self.model.encode(texts, num_threads=1)
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        end, total = first + len(new), self.total + int(sizes.sum())
+        self.size, self.begin, self.good, self.flat = longer(self.size, end), longer(self.begin, end), longer(self.good, end), longer(self.flat, total)
+        self.size[first:end], self.begin[first:end] = sizes, self.total + np.cumsum(sizes) - sizes
+        self.flat[self.total : total] = np.fromiter((i for ids in made for i in ids), np.int32, total - self.total)
+        self.good[first:end] = [self.spelled.of(np.array(ids, np.int64)).tobytes() == t.encode() for ids, t in zip(made, texts, strict=True)]
+        self.total = total
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, none where they do not spell a space and the text."""
+        none = np.zeros(0, np.int64)
+        if not self.by_unit:
+            made = [np.array(ids, np.int64) for ids in self.model.encode(texts, num_threads=1)]
+            return [x if self.spelled.of(x).tobytes() == b" " + t.encode() else none for x, t in zip(made, texts, strict=True)]
+        if len(self.known) > MEMORY or self.known.held > MEMORY_BYTES:
+            self._forget()
+        data, start, n_units = self.cutter._cut([self.v.normalised(t) for t in texts])
+        number, new = self.known.numbers(data, start, np.diff(np.append(start, len(data))))
+        if new:
+            self._add(new, len(self.known) - len(new))
+        n = self.size[number]
+        upto = np.cumsum(n)
+        ids = self.flat[np.repeat(self.begin[number] - upto + n, n) + np.arange(int(upto[-1]))].astype(np.int64)
+        ends = np.cumsum(n_units)
+        at = np.append(0, upto)[np.append(0, ends)].tolist()
+        bad = np.append(0, np.cumsum(~self.good[number]))[np.append(0, ends)]
+        return [ids[at[i] : at[i + 1]] if bad[i] == bad[i + 1] and "▁" not in t else none for i, t in enumerate(texts)]
+
+
 class Pair:
     """Both tokenizers of a worker. Strings of special tokens in a text are plain text to both."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
-        from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-
-        self.by_unit = Encoder(a_path)
-        self.whole = Tokenizer.from_file(a_path)
-        self.whole.encode_special_tokens = True
-        byte_of, vocabulary = _byte_of(), self.whole.get_vocab(with_added_tokens=True)
+        self.encoder = Encoder(a_path)
+        byte_of, vocabulary = _byte_of(), self.encoder.tokenizer.get_vocab(with_added_tokens=True)
         raw = [b""] * (max(vocabulary.values()) + 1)
         for t, i in vocabulary.items():
             raw[i] = bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode()
         self.a = Spelled(raw)
-        self.b_model = SentencePieceProcessor(model_file=b_path)
-        v = Vocabulary(b_path)
-        self.b = Spelled([r if k == "byte" else r.replace("▁".encode(), b" ") for r, k in zip(v.raw, v.kind, strict=True)])
+        self.encode_b = UnitPieces(b_path)
+        self.b = self.encode_b.spelled
+
+    def whole(self, text: str) -> np.ndarray:
+        """Ids of A with special tokens read as plain text."""
+        tokenizer = self.encoder.tokenizer
+        tokenizer.encode_special_tokens = True
+        try:
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+        finally:
+            tokenizer.encode_special_tokens = False
 
     def encode_a(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of a space and each text."""
-        enc, own = self.by_unit, [f" {t}" for t in texts]
-        odd = [not enc.by_unit or bool(enc.odd.search(t.encode("utf-8", "replace"))) for t in own]
+        enc, own = self.encoder, [f" {t}" for t in texts]
+        odd = [not enc.by_unit or bool(enc.odd.search(t.encode("utf-8", "replace"))) for t in own] if not enc.by_unit or enc.odd.search("".join(own).encode("utf-8", "replace")) else [False] * len(own)
         quick = iter(enc([t for t, o in zip(own, odd, strict=True) if not o]) if not all(odd) else ())
-        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int64) if o else next(quick).astype(np.int64) for t, o in zip(own, odd, strict=True)]
-
-    def encode_b(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int64) for ids in self.b_model.encode(texts, num_threads=1)]
+        return [self.whole(t) if o else next(quick).astype(np.int64) for t, o in zip(own, odd, strict=True)]
 
 
 _PAIRS: dict[tuple[str, str], Pair] = {}
@@ -120,10 +178,20 @@ def merge_path(a: np.ndarray, b: np.ndarray, piece: int) -> np.ndarray:
 
 
 def shared_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in a and in b of the ends that both have."""
-    at = np.searchsorted(b, a)
-    hit = np.flatnonzero(b[np.minimum(at, len(b) - 1)] == a) if len(b) else np.zeros(0, np.int64)
-    return hit, at[hit]
+    """Places in a and in b of the ends that both have: each marks its own, the other looks."""
+    if not (len(a) and len(b)):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first, size = min(a[0], b[0]), max(a[-1], b[-1]) - min(a[0], b[0]) + 1
+    of_a, of_b = np.zeros(size, bool), np.zeros(size, bool)
+    of_a[a - first] = of_b[b - first] = True
+    return np.flatnonzero(of_b[a - first]), np.flatnonzero(of_a[b - first])
+
+
+def groups_of(hit: np.ndarray, size: int) -> np.ndarray:
+    """The group of each of `size` tokens, given the places of those that end one."""
+    mark = np.zeros(size, np.int64)
+    mark[hit] = 1
+    return np.cumsum(mark) - mark
 
 
 _DIGITS = Spelled([])
@@ -215,11 +283,12 @@ class _Rows:
 
 def _tokenized(tok: Pair, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Ids of A and B of each text; none for a text whose bytes either does not spell."""
+    if not texts:
+        return [], []
     none = np.zeros(0, np.int64)
     a, b = tok.encode_a(texts), tok.encode_b(texts)
     for i, t in enumerate(texts):
-        raw = b" " + t.encode("utf-8", "replace")
-        if not (tok.a.of(a[i]).tobytes() == raw == tok.b.of(b[i]).tobytes()):
+        if not len(b[i]) or tok.a.of(a[i]).tobytes() != b" " + t.encode("utf-8", "replace"):
             a[i] = b[i] = none
     return a, b
 
@@ -232,8 +301,7 @@ def _finish(tok: Pair, rows: list[tuple[int, object]], a: list[np.ndarray], b: l
     ends_a, ends_b = np.cumsum([len(x) for x in a]), np.cumsum([len(x) for x in b])
     g_end = np.searchsorted(hit_a, ends_a)  # groups before each document's end
     g_begin = np.append(0, g_end[:-1])
-    ga = np.searchsorted(hit_a, np.arange(len(flat_a)))
-    gb = np.searchsorted(hit_b, np.arange(len(flat_b)))
+    ga, gb = groups_of(hit_a, len(flat_a)), groups_of(hit_b, len(flat_b))
     scope = np.repeat(np.arange(len(a)), g_end - g_begin)
     links = np.bincount(ga, minlength=len(hit_a)) * np.bincount(gb, minlength=len(hit_b))
     linked = np.append(0, np.cumsum(links))
