@@ -192,9 +192,9 @@ class Scorer:
             words = _WORD.findall(low, before, after)
             shouted = len(words) < 2  # one word is no clause: read on
             while shouted and len(words) < READ_ON and cut and "\n" not in cut.group():
-                cut = _CLAUSE.search(low, cut.end())
+                begun, cut = cut.end(), _CLAUSE.search(low, cut.end())
                 after = cut.start() if cut else len(low)
-                words = _WORD.findall(low, before, after)
+                words += _WORD.findall(low, begun, after)
             score, n, aimed = self.clause(words)
             done = after
             if n:
