@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from .common import bound_batches, stored
 
 K, SCALE = 10, 1024
-#: Queries of a block and candidates of a part on average: what bounds a task's dense array (8 bytes a cell).
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
+#: Queries of a block and candidates of a part at most on average, which bound a task's dense array (8 bytes a cell).
+QUERY_BLOCK, CANDIDATE_BLOCK = 64, 65_536
+#: Fewer candidates to a part, so that all tasks have one, but no fewer than this.
+LEAST_BLOCK = 4096
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
@@ -74,18 +76,23 @@ def search(rows: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id"
 
     Candidates are all rows but those with the query's own id. Scores are integer inner products of the quantised
     vectors; vectors of other lengths count missing components as 0. Rows with a null id or with a vector that is null or
-    holds null or non-finite components take no part. Ties go to the smaller id. Repeated rows are one: of rows with one
-    id but unlike vectors, the least vector (in array order) counts. An empty table gives no rows; an empty vector scores 0.
+    holds null or non-finite components take no part. Ties go to the smaller id. Rows equal in id and vector are one; rows
+    of one id with unlike vectors are candidates each, and as queries share the k places of their id. An empty table gives
+    no rows; an empty vector scores 0.
     """
     spark = rows.sparkSession
     bound_batches(spark)
     small = rows.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("is_query")).filter("vec_id is not null and v is not null")
-    small = stored(small.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("is_query").alias("is_query")), "quantised")
-    parts = max(1, -(-small.count() // CANDIDATE_BLOCK))
-    candidates = small.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("asks"), "vec_id", "v")
+    small = stored(small.groupBy("vec_id", "v").agg(F.max("is_query").alias("is_query")), "quantised")
+    told = small.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max("v")).alias("most"), F.min(F.array_min("v")).alias("least")).first()
+    if -(1 << 15) <= (told["least"] or 0) and (told["most"] or 0) < 1 << 15:
+        small = small.withColumn("v", F.col("v").cast("array<short>"))  # a quarter of the bytes to every part
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, -(-told["n"] // CANDIDATE_BLOCK), min(tasks, -(-told["n"] // LEAST_BLOCK)))
+    candidates = small.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("asks"), "vec_id", "v")
     queries = small.filter("is_query").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("asks"), "vec_id", "v")
-    tasks = min(parts, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = candidates.unionAll(queries).repartition(tasks, "part").sortWithinPartitions("part", "asks", "vec_id")
+    tasks = min(parts, tasks)
+    dealt = candidates.unionAll(queries).repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part", "asks", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, waiting = None, [], []  # (ids, vectors) of the part's candidates and of queries not worked off yet
