@@ -102,3 +102,25 @@ def test_similarity_decides_and_recall_is_high(spark):
     got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[i + 1] == i for i in above) / len(above) > 0.9
     assert all(got[i + 1] == i + 1 for i in below) and set(got.values()) >= set(range(0, 600, 2))
+
+
+def test_law_of_fingerprints():
+    assert simhash.copy_law(0) == simhash.copy_law(1 << 20) == (simhash.PRINTS, simhash.PRINT_BITS)
+    for n in (1 << 22, 10**9, 10**11):
+        prints, bits = simhash.copy_law(n)
+        assert n / 2**bits <= 2**-simhash.LOAD_BITS and prints.bit_length() + bits < 63
+        assert prints * bits + 64 <= 64 * (len(simhash._DRAWN) - simhash.COPY_SHINGLE)
+
+
+def test_groups_by_the_law_of_many_texts(spark):
+    """What a thousand million texts would ask for finds the same groups and as many planted pairs."""
+    law = simhash.copy_law(10**9)
+    rows = corpus()
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(df, law=law).collect()} == brute_groups(rows)
+    rng, planted = random.Random(6), []
+    for i in range(0, 200, 2):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        planted += [(i, " ".join(base)), (i + 1, " ".join(base[:184] + [f"v{rng.randrange(10**6)}" for _ in range(20)]))]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(planted, "doc_id long, text string"), law=law).collect()}
+    assert sum(got[i + 1] == i for i in range(0, 200, 2)) > 90

@@ -329,3 +329,24 @@ def test_units_of_pieces_encode_as_whole(text):
     (ids,) = units([text])
     spelled = units.spelled.of(np.array(whole, np.int64)).tobytes() == (" " + text).encode()
     assert ids.tolist() == (whole if spelled else [])
+
+
+# --- faults mended
+
+
+def test_toxicity_is_linear_in_spaced_punctuation():
+    from tidemark.llm import toxicity
+
+    s = toxicity.Scorer({})
+    began = time.time()
+    for text in ("Trash " + ". " * 500_000 + "12", "idiot" + "! " * 500_000, "idiot . " * 100_000):
+        s.features(text)
+    assert time.time() - began < 30
+
+
+def test_topk_keeps_rows_of_one_id(spark):
+    from tidemark.llm import topk
+
+    df = spark.createDataFrame([(100, [1.0, 0.0]), (1, [5.0, 0.0]), (1, [9.0, 0.0]), (1, [9.0, 0.0]), (2, [7.0, 0.0]), (3, [40000.0, -1.0])], "vec_id long, embedding array<float>")
+    found = sorted((r["rank"], r.vec_id, r.score >> 20) for r in topk.search(df, F.col("vec_id") % 100 == 0).collect())
+    assert found == [(1, 3, 40000), (2, 1, 9), (3, 2, 7), (4, 1, 5)]

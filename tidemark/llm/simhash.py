@@ -19,11 +19,15 @@ Near copies by similarity (`near_copies`) are found the same way and then verifi
 reaches few texts of similarity 0.8, which differ in a seventh of their bits; so a text has PRINTS fingerprints of
 PRINT_BITS bits each, pairs within 2 bits of one of them are candidates, and of each candidate pair the whole sets of
 shingles are compared. Texts of similarity s differ in a bit with probability p = acos(2s / (1 + s)) / pi; a pair of 0.8 is a
-candidate with probability 1 - (1 - P(at most 2 of 28 bits differ)) ** 16 = 0.96, one of 0.85 with 0.99.
+candidate with probability 1 - (1 - P(at most 2 of 28 bits differ)) ** 16 = 0.96, one of 0.85 with 0.99. A fingerprint is
+met through one text, so it must hardly ever hold unlike ones: `copy_law` gives longer and more fingerprints to more texts
+(over a million), such that they hold 2 ** -8 unlike texts on average and a pair of 0.8 is found as often as before.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,10 +46,12 @@ _ONE = np.uint64(1)
 
 #: Near copies: words of a shingle, similarity as shared / all in whole numbers, fingerprints of a text, their bits.
 COPY_SHINGLE, SIMILARITY, PRINTS, PRINT_BITS = 5, (4, 5), 16, 28
-#: Candidates whose check bits differ in more places, of the first 32 or of all 64, are no near copies (at similarity 0.8 4.8
-#: and 9.7 on average, with deviations of 2.0 and 2.9; of unlike texts 16 and 32).
-FIRST_RADIUS, CHECK_RADIUS = 11, 22
-_DRAWN = np.random.default_rng(SEED).integers(0, 2**63, PRINTS * PRINT_BITS // 64 + 1 + COPY_SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Texts by which two fingerprints of unlike texts are equal, as a power of 2; the least probability that a pair of similarity 0.8 is a candidate.
+LOAD_BITS, FOUND = 8, 0.959
+#: Candidates whose 64 check bits differ in more places are no near copies (at similarity 0.8 9.7 on average, with a deviation
+#: of 2.9; of unlike texts 32): for the forest of a bucket and for what is compared.
+FIRST_RADIUS = CHECK_RADIUS = 22
+_DRAWN = np.random.default_rng(SEED).integers(0, 2**63, 96 + COPY_SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint_of(text: str, shingle: int = SHINGLE) -> int:
@@ -276,6 +282,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # --- near copies by verified similarity
 
 
+def copy_law(texts_: int) -> tuple[int, int]:
+    """(fingerprints of a text, their bits) for so many texts: bits so that 2 ** -LOAD_BITS unlike texts share a fingerprint, fingerprints so that a pair of 0.8 is found with probability FOUND."""
+    bits = max(PRINT_BITS, int(max(1, texts_) - 1).bit_length() + LOAD_BITS)
+    n, d = SIMILARITY
+    differs = math.acos(2 * n / (d + n)) / math.pi
+    meets = sum(math.comb(bits, k) * differs**k * (1 - differs) ** (bits - k) for k in range(3))
+    return max(PRINTS, math.ceil(math.log(1 - FOUND) / math.log(1 - meets) - 1e-9)), bits
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -301,9 +316,9 @@ def _node(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0
 
 
-def _bits_of(hashes: np.ndarray) -> np.ndarray:
-    """PRINTS * PRINT_BITS + 64 bits of SimHash over the set, each set if it is in over half the hashes."""
-    drawn = _DRAWN[COPY_SHINGLE:]
+def _bits_of(hashes: np.ndarray, n_bits: int) -> np.ndarray:
+    """n_bits or a few more bits of SimHash over the set, each set if it is in over half the hashes."""
+    drawn = _DRAWN[COPY_SHINGLE : COPY_SHINGLE - (-n_bits // 64)]
     counts = np.zeros(64 * len(drawn), np.int64)
     for at in range(0, len(hashes), 255):  # so that counts of a part fit a byte
         wide = _mixed(hashes[at : at + 255, None] * drawn)
@@ -311,39 +326,38 @@ def _bits_of(hashes: np.ndarray) -> np.ndarray:
     return counts * 2 > len(hashes)
 
 
-_PLACES = np.int64(1) << np.arange(PRINT_BITS, dtype=np.int64)
-
-
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", law: tuple[int, int] = (PRINTS, PRINT_BITS)) -> DataFrame:
     """doc_id, mark (XXH64 of the text), node (hash of the whole set, 0 if empty), prints (fingerprints with their number in front; none if empty), check."""
     bound_batches(docs.sparkSession)
+    n_prints, n_bits = law
 
     def make(c: dict) -> dict:
         nodes, prints, checks = [], [], []
+        places, numbers = np.int64(1) << np.arange(n_bits, dtype=np.int64), np.arange(n_prints, dtype=np.int64) << n_bits
+        k = n_prints * n_bits
         for t in c["text"]:
             own = shingle_set(t)
             nodes.append(_node(own))
-            bits = _bits_of(own)
-            k = PRINTS * PRINT_BITS
+            bits = _bits_of(own, k + 64)
             checks.append(int(np.packbits(bits[k : k + 64], bitorder="little").view("<u8")[0]))
-            prints.append((bits[:k].reshape(PRINTS, PRINT_BITS) @ _PLACES) + (np.arange(PRINTS, dtype=np.int64) << PRINT_BITS) if len(own) else np.zeros(0, np.int64))
+            prints.append((bits[:k].reshape(n_prints, n_bits) @ places) + numbers if len(own) else np.zeros(0, np.int64))
         whole = lambda x: np.array(x, np.uint64).view(np.int64)
         return {"doc_id": c["doc_id"], "mark": c["mark"], "node": whole(nodes), "prints": prints, "check": whole(checks)}
 
     return map_rows(texts(docs, id_col, text_col).withColumn("mark", F.xxhash64("text")), make, "doc_id long, mark long, node long, prints array<long>, check long")
 
 
-def pairs_in_bucket(prints: np.ndarray, bucket: int, lead: int) -> np.ndarray:
-    """Codes (a << 32 | b, a < b) of all pairs of distinct fingerprints that meet on a variant one flip away at most in this bucket.
+def pairs_in_bucket(prints: np.ndarray, bucket: int, lead: int, bits: int = PRINT_BITS) -> np.ndarray:
+    """Codes (i << 32 | j, i < j, places in prints) of all pairs of distinct fingerprints that meet on a variant one flip away at most in this bucket.
 
     A bucket is given by the leading bits: those in front of a fingerprint (its number) and `lead` bits of it. A variant
     has one fingerprint for each flip at most, and their pairs lie within 2 bits.
     """
-    low = PRINT_BITS - lead
+    low = bits - lead
     diff = (prints >> low) ^ bucket
-    home, near = prints[diff == 0], prints[diff != 0]
+    home, near = np.flatnonzero(diff == 0), np.flatnonzero(diff != 0)
     flips = np.concatenate(([0], np.int64(1) << np.arange(low)))
-    variant = np.concatenate([(home[:, None] ^ flips).ravel(), (near & ((1 << low) - 1)) | (bucket << low)])
+    variant = np.concatenate([(prints[home][:, None] ^ flips).ravel(), (prints[near] & ((1 << low) - 1)) | (bucket << low)])
     owner = np.concatenate([np.repeat(home, len(flips)), near])
     order = np.argsort(variant, kind="stable")
     variant, owner = variant[order], owner[order]
@@ -358,52 +372,55 @@ def pairs_in_bucket(prints: np.ndarray, bucket: int, lead: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def links_of_bucket(marks: np.ndarray, bucket: int, lead: int) -> np.ndarray:
-    """A spanning forest, nearest check bits first, of the pairs that meet in this bucket and whose check bits are near; codes as above.
+def links_of_bucket(prints: np.ndarray, check: np.ndarray, bucket: int, lead: int, bits: int = PRINT_BITS) -> np.ndarray:
+    """A spanning forest (rows of two fingerprints), nearest check bits first, of the pairs that meet in this bucket and whose check bits are near.
 
-    marks: fingerprints with 32 check bits behind.
+    Like texts are nearer than unlike ones that pass by chance (one in 100), so these do not take a like pair's place.
     """
-    marks = np.sort(marks.view(np.uint64))
-    prints, check = (marks >> np.uint64(32)).astype(np.int64), marks & np.uint64(0xFFFFFFFF)
-    code = pairs_in_bucket(prints, bucket, lead)
-    a, b = np.searchsorted(prints, code >> 32 & 0xFFFFFFFF), np.searchsorted(prints, code & 0xFFFFFFFF)
-    away = np.bitwise_count(check[a] ^ check[b])
+    order = np.argsort(prints, kind="stable")
+    prints, check = prints[order], check[order]
+    code = pairs_in_bucket(prints, bucket, lead, bits)
+    a, b = code >> 32, code & 0xFFFFFFFF
+    away = np.bitwise_count((check[a] ^ check[b]).view(np.uint64))
     order = np.argsort(away, kind="stable")
     order = order[away[order] <= FIRST_RADIUS]
     kept = np.array(_forest(len(prints), a[order], b[order]), np.int64).reshape(-1, 2)
-    return prints[kept[:, 0]] << 32 | prints[kept[:, 1]]
+    return prints[kept]
 
 
-def near_prints(distinct: DataFrame, lead_bits: int | None = None) -> DataFrame:
+def near_prints(distinct: DataFrame, lead_bits: int | None = None, law: tuple[int, int] = (PRINTS, PRINT_BITS)) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints `print` of one number, within 2 bits and with near `check` bits, that join what meets on a variant.
 
     Only a spanning forest of each bucket leaves its task, so the pairs of a large group of near copies are linear in it.
     lead_bits: leading bits that deal variants out; by default enough for PER_BUCKET variants a bucket, which holds
-    65,536 * (1 + lead_bits) fingerprints at most at 12 bits, whatever the number of texts, as they are distinct.
+    4,096 * (1 + lead_bits) fingerprints at most where 12 bits are left, whatever the number of texts, as they are distinct.
     """
     bound_batches(distinct.sparkSession)
-    lead = lead_bits or min(16, max(4, int(distinct.count() * 10 / PRINTS / PER_BUCKET).bit_length()))
-    low, flips = PRINT_BITS - lead, np.concatenate(([0], np.int64(1) << np.arange(lead)))
+    n_prints, n_bits = law
+    lead = lead_bits or min(n_bits - 12, max(4, int(distinct.count() * 10 / n_prints / PER_BUCKET).bit_length()))
+    low, flips = n_bits - lead, np.concatenate(([0], np.int64(1) << np.arange(lead)))
 
     def emit(c: dict) -> dict:
         own = np.array(c["print"], np.int64)
-        return {"bucket": ((own >> low)[:, None] ^ flips).ravel(), "mark": np.repeat(own << 32 | np.array(c["check"], np.int64), len(flips))}
+        return {"bucket": ((own >> low)[:, None] ^ flips).ravel(), "print": np.repeat(own, len(flips)), "check": np.repeat(np.array(c["check"], np.int64), len(flips))}
 
     def meet(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for bucket, held in zip(batch.column("bucket").to_pylist(), batch.column("marks"), strict=True):
-                if len(found := links_of_bucket(held.values.to_numpy(zero_copy_only=False), bucket, lead)):
-                    yield pa.RecordBatch.from_arrays([pa.array(found >> 32 & 0xFFFFFFFF), pa.array(found & 0xFFFFFFFF)], schema=arrow)
+            flat = lambda x: x.values.to_numpy(zero_copy_only=False)
+            for bucket, prints, checks in zip(batch.column("bucket").to_pylist(), batch.column("prints"), batch.column("checks"), strict=True):
+                if len(found := links_of_bucket(flat(prints), flat(checks), bucket, lead, n_bits)):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=arrow)
 
     arrow = arrow_schema("a long, b long")
-    spread = distinct.select("print", F.col("check").bitwiseAND(0xFFFFFFFF).alias("check")).repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "print")
-    dealt = map_rows(spread, emit, "bucket int, mark long")
-    return dealt.groupBy("bucket").agg(F.collect_list("mark").alias("marks")).filter("size(marks) > 1").mapInArrow(meet, "a long, b long").distinct()
+    spread = distinct.select("print", "check").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "print")
+    dealt = map_rows(spread, emit, "bucket long, print long, check long")
+    met = dealt.groupBy("bucket").agg(F.collect_list(F.struct("print", "check")).alias("own")).filter("size(own) > 1")
+    return met.select("bucket", F.col("own.print").alias("prints"), F.col("own.check").alias("checks")).mapInArrow(meet, "a long, b long").distinct()
 
 
-def candidate_pairs(made: DataFrame) -> DataFrame:
+def candidate_pairs(made: DataFrame, law: tuple[int, int] = (PRINTS, PRINT_BITS)) -> DataFrame:
     """Distinct candidates (a, b, away) of the sketches' nodes, `away` of their check bits apart.
 
     Nodes with one fingerprint are candidates of its least node; fingerprints within 2 bits make candidates of their least nodes.
@@ -413,7 +430,7 @@ def candidate_pairs(made: DataFrame) -> DataFrame:
     led = stored(own.groupBy("print").agg(F.min(F.struct("node", "check")).alias("lead"), F.count(F.lit(1)).alias("members")), "leads")
     end = lambda x, s: [F.col(f"{x}.node").alias(s), F.col(f"{x}.check").alias(f"{s}_check")]
     same = own.join(led.filter("members > 1").select("print", "lead"), "print").filter("node <> lead.node").select(F.col("node").alias("a"), F.col("check").alias("a_check"), *end("lead", "b"))
-    near = near_prints(led.select("print", "lead.check"))
+    near = near_prints(led.select("print", "lead.check"), law=law)
     side = lambda s: led.select(F.col("print").alias(s), F.col("lead").alias(f"{s}_lead"))
     near = near.join(side("a"), "a").join(side("b"), "b").select(*end("a_lead", "a"), *end("b_lead", "b"))
     away = F.bit_count(F.col("a_check").bitwiseXOR(F.col("b_check")))
@@ -443,13 +460,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(f"{n + d}L * size(array_intersect(of_a, of_b)) >= {n}L * (size(of_a) + size(of_b))").select("a", "b").distinct()
 
 
-def similar_links(docs: DataFrame, made: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_links(docs: DataFrame, made: DataFrame, id_col: str = "doc_id", text_col: str = "text", law: tuple[int, int] = (PRINTS, PRINT_BITS)) -> DataFrame:
     """Verified links (a, b) between nodes whose closure joins all candidates that are similar enough.
 
     First each node is compared with its nearest candidate, which joins most of a large group; then all candidates that are
     still apart are. Pairs inside a component need no comparison, as they can't change the closure.
     """
-    pairs = candidate_pairs(made)
+    pairs = candidate_pairs(made, law)
     sets = stored(_sets(docs, pairs, made, id_col, text_col), "sets")
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "away"))
     nearest = both.groupBy("a").agg(F.min(F.struct("away", "b")).alias("to")).select(F.least("a", "to.b").alias("x"), F.greatest("a", "to.b").alias("b")).distinct()
@@ -460,17 +477,19 @@ def similar_links(docs: DataFrame, made: DataFrame, id_col: str = "doc_id", text
     return first.unionAll(_verified(apart, sets))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", law: tuple[int, int] | None = None) -> DataFrame:
     """One row per input row: doc_id, mark (XXH64 of the text), component_id (smallest doc_id of its group of near
     copies), stays (whether this id and text stand for the group).
 
     Near copies share 0.8 or more of their distinct five-word shingles (Jaccard similarity). Links are closed, so a group may
     hold texts that are similar over others only. Null and empty texts form one group. Repeated rows have equal results;
     of texts with the group's smallest id, that with the smallest mark stays. Rows with a null id take part; their group's
-    id is null if no member has one. Empty input gives no rows. Other columns are ignored.
+    id is null if no member has one. Empty input gives no rows. Other columns are ignored. law: fingerprints of a text and
+    their bits, by default as the number of rows asks for.
     """
-    made = stored(sketches(docs, id_col, text_col), "sketches")
-    of = components(similar_links(docs, made, id_col, text_col))
+    law = law or copy_law(docs.count())
+    made = stored(sketches(docs, id_col, text_col, law), "sketches")
+    of = components(similar_links(docs, made, id_col, text_col, law))
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
     owned = made.groupBy("node").agg(F.min(key).alias("least")).join(of, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     owned = stored(owned, "owned")
