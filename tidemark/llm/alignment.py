@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import Numbered, arrow_schema, bound_batches, longer, stored
 from .pieces import Held, Vocabulary
-from .tokens import MEMORY, MEMORY_BYTES, Encoder
+from .tokens import Encoder
 
 #: Ends of A and B that a piece merges; bytes of texts that are merged at once; pairs that are made at once.
-PIECE, HELD_BYTES, HELD_PAIRS = 1 << 15, 1 << 20, 1 << 22
+PIECE, HELD_BYTES, HELD_PAIRS = 1 << 15, 1 << 19, 1 << 22
+#: Units that a worker remembers of each tokenizer, and their bytes; the memory is dropped when either is full.
+MEMORY, MEMORY_BYTES = 250_000, 16 << 20
 #: Groups with more links than this are linked by distinct ids and their counts.
 LARGE_GROUP = 256
 #: Fewer than so many pairs are broadcast.
@@ -92,9 +94,19 @@ class UnitPieces:
         self.size, self.begin, self.good, self.flat = longer(self.size, end), longer(self.begin, end), longer(self.good, end), longer(self.flat, total)
         self.size[first:end], self.begin[first:end] = sizes, self.total + np.cumsum(sizes) - sizes
         self.flat[self.total : total] = np.fromiter((i for ids in made for i in ids), np.int32, total - self.total)
-        self.good[first:end] = [self.spelled.of(np.array(ids, np.int64)).tobytes() == t.encode() for ids, t in zip(made, texts, strict=True)]
+        self.good[first:end] = self._spell(self.flat[self.total : total], sizes, [t.encode() for t in texts])
         self.total = total
 
+    def _spell(self, ids: np.ndarray, sizes: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        """Whether each unit's ids (flat, `sizes` of each) spell its bytes."""
+        upto = np.append(0, np.cumsum(self.spelled.size[ids]))
+        ends = np.cumsum(sizes)
+        size, want = upto[ends] - upto[ends - sizes], np.fromiter(map(len, raw), np.int64, len(raw))
+        good = size == want
+        made, told = self.spelled.of(ids)[np.repeat(good, size)], np.frombuffer(b"".join(raw), np.uint8)[np.repeat(good, want)]
+        good[np.repeat(np.flatnonzero(good), size[good])[made != told]] = False
+        return good
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, none where they do not spell a space and the text."""
         none = np.zeros(0, np.int64)
@@ -141,6 +153,8 @@ class Pair:
     def encode_a(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of a space and each text."""
         enc, own = self.encoder, [f" {t}" for t in texts]
+        if len(enc.known) > MEMORY or enc.known.held > MEMORY_BYTES:
+            enc._forget()
         odd = [not enc.by_unit or bool(enc.odd.search(t.encode("utf-8", "replace"))) for t in own] if not enc.by_unit or enc.odd.search("".join(own).encode("utf-8", "replace")) else [False] * len(own)
         quick = iter(enc([t for t, o in zip(own, odd, strict=True) if not o]) if not all(odd) else ())
         return [self.whole(t) if o else next(quick).astype(np.int64) for t, o in zip(own, odd, strict=True)]
