@@ -150,6 +150,23 @@ def map_diff(before: DataFrame, after: DataFrame, by: Sequence[str], value: str
     return both.withColumn("changes", F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), diff)).withColumn("change", change).select(*by, "change", "changes")
 
 
+def relationship_diff(before: DataFrame, after: DataFrame, entity: str = "entity", family: str = "family", scope: str = "scope", properties: str = "properties") -> DataFrame:
+    """entity, family, scope, change (added, removed, modified), before, after: relationships of two states as bags.
+
+    Each table has a row for each relationship: its scope and its properties, an array of (name, value). A relationship is
+    told by its properties' canonical text, `name=value` in order of names, so their order is no difference, and repeats
+    count: before and after are the texts of which that side has more, each with how many more. Scopes without a
+    difference give no row. Null scopes are one scope; null properties are none. Both sides meet in partial sums.
+    """
+    text = F.array_join(F.array_sort(F.transform(F.coalesce(F.col(properties), F.array().cast("array<struct<name: string, value: string>>")), lambda p: F.concat(p["name"], F.lit("="), F.coalesce(p["value"], F.lit(""))))), "|")
+    side = lambda df, b, a: df.select(entity, family, scope, text.alias("_text"), F.lit(b).alias("_b"), F.lit(a).alias("_a"))
+    bags = side(before, 1, 0).unionByName(side(after, 0, 1)).groupBy(entity, family, scope, "_text").agg(F.sum("_b").alias("_b"), F.sum("_a").alias("_a"))
+    more = lambda x, y: F.array_sort(F.collect_list(F.when(F.col(x) > F.col(y), F.struct(F.col("_text").alias("text"), (F.col(x) - F.col(y)).alias("n")))))
+    out = bags.groupBy(entity, family, scope).agg(F.sum("_b").alias("_nb"), F.sum("_a").alias("_na"), more("_b", "_a").alias("before"), more("_a", "_b").alias("after"))
+    change = F.when(F.col("_nb") == 0, "added").when(F.col("_na") == 0, "removed").when((F.size("before") > 0) | (F.size("after") > 0), "modified")
+    return out.withColumn("change", change).filter("change is not null").select(entity, family, scope, "change", "before", "after")
+
+
 def token_delta(before: Column | str, after: Column | str, fold: bool = True) -> Column:
     """Tokens added and removed, as sorted sets."""
     a, b = cells.tokens(before, fold), cells.tokens(after, fold)

@@ -11,53 +11,140 @@ from pyspark.sql import functions as F
 from ..functions import cells
 
 
+@dataclass(frozen=True)
+class Alias:
+    """A column that names an entity beside its id, and the kind of name it is."""
+
+    kind: str
+    column: str
+
+
+@dataclass(frozen=True)
+class Fallback:
+    """The key of rows without an id: a column behind a prefix, in lower case if `fold`."""
+
+    prefix: str
+    column: str
+    fold: bool = False
+
+
 @dataclass(frozen=True)
 class Adapter:
-    """How a family's rows name their entity: canonical id columns, alias columns, display column, row scope, and the columns of its card."""
+    """How a family's rows name their entity: id columns, aliases, display column, row scope, the columns of its card, and what stands in for a missing id."""
 
     family: str
     entity_type: str
     canonical: tuple[str, ...]
-    aliases: tuple[str, ...] = ()
+    aliases: tuple[Alias, ...] = ()
     display: str = ""
     scope: tuple[str, ...] = ()
     authoritative: bool = False
     cards: tuple[str, ...] = ()
+    fallback: Fallback | None = None
 
     def supports(self, headers: Sequence[str]) -> bool:
-        low = {h.lower() for h in headers}
-        return bool(low & {c.lower() for c in (*self.canonical, *self.aliases)})
+        """Whether a file can be read: it has an id column; an alias column, for a family without id columns; any, where only a fallback is told."""
+        low, wanted = {h.lower() for h in headers}, self.canonical or tuple(a.column for a in self.aliases)
+        return bool(low & {c.lower() for c in wanted}) if wanted else self.fallback is not None
 
-    def key(self, columns: Sequence[str]) -> Column:
-        """Entity key: the first canonical id, devices under `aad:`, else the first alias under the family's own prefix."""
+    @property
+    def upn_dependent(self) -> bool:
+        """Whether rows name their user by sign-in name alone, so that they are bound by what other families say of it."""
+        return not self.canonical and any(a.kind == "upn" for a in self.aliases)
+
+    def _id(self, columns: Sequence[str]) -> Column:
         ids = [F.nullif(cells.resolve(columns, c), F.lit("")) for c in self.canonical]
-        first = F.coalesce(*ids) if ids else F.lit(None).cast("string")
-        main = F.concat(F.lit("aad:"), first) if self.entity_type == "device" else first
-        rest = [F.concat(F.lit(f"{self.family}:"), F.nullif(cells.resolve(columns, c), F.lit(""))) for c in self.aliases]
-        return F.coalesce(main, *rest)
+        return F.coalesce(*ids) if ids else F.lit(None).cast("string")
+
+    def key(self, columns: Sequence[str]) -> Column:
+        """Entity key: the first id, devices under `aad:`, else the fallback; null for rows that have neither."""
+        main = F.concat(F.lit("aad:"), self._id(columns)) if self.entity_type == "device" else self._id(columns)
+        if self.fallback is None:
+            return main
+        other = F.nullif(cells.resolve(columns, self.fallback.column), F.lit(""))
+        return F.coalesce(main, F.concat(F.lit(self.fallback.prefix), F.lower(other) if self.fallback.fold else other))
+
+    def shown(self, columns: Sequence[str]) -> Column:
+        """Display name, else the id, else Unknown."""
+        return F.coalesce(F.nullif(cells.resolve(columns, self.display), F.lit("")) if self.display else F.lit(None).cast("string"), self._id(columns), F.lit("Unknown"))
+
+    def row_scope(self, columns: Sequence[str]) -> Column:
+        """What tells a row from others of its entity: `column: value` of the filled scope columns; blank where there are none."""
+        return cells.row_scope(list(self.scope), [cells.resolve(columns, c) for c in self.scope]) if self.scope else F.lit("")
 
     def card(self, columns: Sequence[str]) -> Column:
-        """Filled properties as an array of (name, value): the card's columns, or all but the canonical ones where there is no list."""
-        low, ids = {c.lower(): c for c in columns}, {c.lower() for c in self.canonical}
-        own = [low[c.lower()] for c in self.cards if c.lower() in low] if self.cards else [c for c in columns if c.lower() not in ids]
-        pairs = F.array(*(F.struct(F.lit(c).alias("name"), cells.text(f"`{c}`").alias("value")) for c in own)).cast("array<struct<name: string, value: string>>")
+        """Filled properties as an array of (name, value): the card's columns in their order, or all but the id columns where there is no list."""
+        own = self.cards or tuple(c for c in columns if c not in self.canonical)
+        pairs = F.array(*(F.struct(F.lit(c).alias("name"), cells.resolve(columns, c).alias("value")) for c in own)).cast("array<struct<name: string, value: string>>")
         return F.filter(pairs, lambda x: x.value != "")
 
 
-# The families whose rows describe entities.
+def _aliases(**kinds: str) -> tuple[Alias, ...]:
+    return tuple(Alias(k, c) for k, c in kinds.items())
+
+
+# The families whose rows describe entities, with their columns in the order of their cards.
 ADAPTERS = (
-    Adapter("Entra_Users_Properties", "user", ("Id",), ("UPN", "Mail"), "DisplayName", (), True),
-    Adapter("Entra_Users_Activity", "user", ("UserId",), ("UPN", "Mail"), "DisplayName"),
-    Adapter("Entra_Users_AuthenticationMethods", "user", ("MicrosoftReportId",), ("UPN",), "DisplayName"),
-    Adapter("Entra_Group_User_Memberships", "user", ("UserId",), ("UserPrincipalName",), "UserDisplayName", ("GroupId",)),
-    Adapter("Entra_AccessPackage_User_Assignments", "user", ("UserId",), ("UserPrincipalName",), "UserDisplayName", ("AccessPackageId", "PolicyId")),
-    Adapter("Entra_Role_Assignments", "user", ("UserId",), ("UserPrincipalName",), "DisplayName", ("RoleName", "RoleState", "SourceGroup")),
-    Adapter("Intune_ManagedDevices_Compliance", "device", ("AzureADDeviceId",), ("ManagedDeviceId", "SerialNumber"), "DeviceName", (), True),
-    Adapter("Intune_Devices_Autopilot", "device", ("AzureADDeviceId",), ("AutopilotObjectId", "SerialNumber"), "DisplayName"),
-    Adapter("Intune_Android_Devices", "device", ("EntraDeviceId",), ("IntuneDeviceId", "SerialNumber"), "DeviceName"),
-    Adapter("Intune_iOS_Devices", "device", ("EntraDeviceId",), ("IntuneDeviceId", "SerialNumber", "UDID"), "DeviceName"),
-    Adapter("Exchange_SharedMailboxes", "shared_mailbox", ("ExternalDirectoryObjectId",), ("PrimarySmtpAddress",), "DisplayName", (), True),
-)
+    Adapter(
+        "Entra_Users_Properties", "user", ("Id",), _aliases(upn="UPN", mail="Mail"), "DisplayName", (), True,
+        ("Id", "UPN", "DisplayName", "GivenName", "Surname", "Mail", "MailNickname", "UserType", "AccountEnabled", "CreatedDateTime", "Identities", "StreetAddress", "City", "State", "PostalCode", "Country", "BusinessPhones",
+         "MobilePhone", "OtherMails", "ProxyAddresses", "IMAddresses", "JobTitle", "CompanyName", "Department", "OfficeLocation", "EmployeeId", "EmployeeType", "EmployeeHireDate", "UsageLocation", "PreferredLanguage",
+         "PreferredDataLocation", "OnPremisesSyncEnabled", "OnPremisesLastSyncDateTime", "OnPremisesDistinguishedName", "OnPremisesImmutableId", "ExtensionAttributes", "ManagerDisplayName", "ManagerUPN", "Sponsors"),
+    ),
+    Adapter(
+        "Entra_Users_Activity", "user", ("UserId",), _aliases(upn="UPN", mail="Mail"), "DisplayName", (), False,
+        ("UserId", "UPN", "DisplayName", "Mail", "UserType", "AccountEnabled", "JobTitle", "CompanyName", "Department", "Country", "City", "CreatedDateTime", "LastPasswordChangeDateTime", "OnPremisesSyncEnabled",
+         "LastInteractiveSignInDateTime", "LastNonInteractiveSignInDateTime", "LastSuccessfulSignInDateTime"),
+    ),
+    Adapter(
+        "Entra_Users_AuthenticationMethods", "user", (), _aliases(upn="UPN"), "DisplayName", (), False,
+        ("UPN", "DisplayName", "UserType", "AccountEnabled", "JobTitle", "CompanyName", "Department", "Country", "City", "IsSystemPreferredAuthenticationMethodEnabled", "UserPreferredMethodForSecondaryAuthentication",
+         "SystemPreferredAuthenticationMethod", "AuthenticationMethods", "IsMfaRegistered", "IsMfaCapable", "IsPasswordlessCapable", "IsSsprRegistered", "IsSsprEnabled", "IsSsprCapable", "DefaultMfaMethod",
+         "MethodsRegistered", "SystemPreferredAuthenticationMethods", "LastUpdatedDateTime", "IsAdmin"),
+        Fallback("upn_only:Entra_Users_AuthenticationMethods:", "UPN", True),
+    ),
+    Adapter(
+        "Entra_Role_Assignments", "user", (), _aliases(upn="UserPrincipalName"), "DisplayName", ("RoleName",), False,
+        ("UserPrincipalName", "DisplayName", "RoleName", "RoleState"), Fallback("upn_only:Entra_Role_Assignments:", "UserPrincipalName", True),
+    ),
+    Adapter(
+        "Entra_Group_User_Memberships", "user", ("UserId",), _aliases(upn="UserPrincipalName"), "UserDisplayName", ("GroupId", "GroupName"), False,
+        ("UserId", "UserPrincipalName", "GroupName", "MembershipType"),
+    ),
+    Adapter(
+        "Entra_AccessPackage_User_Assignments", "user", ("UserId",), _aliases(upn="UserPrincipalName"), "UserDisplayName", ("AccessPackageId", "AccessPackageName"), False,
+        ("UserId", "UserPrincipalName", "AccessPackageName", "AssignmentState"),
+    ),
+    Adapter(
+        "Intune_ManagedDevices_Compliance", "device", ("AzureADDeviceId",), _aliases(serial_number="SerialNumber", device_name="DeviceName", managed_device_id="ManagedDeviceId"), "DeviceName", (), True,
+        ("UserId", "UserPrincipalName", "EmailAddress", "ManagedDeviceId", "AzureADDeviceId", "DeviceName", "SerialNumber", "Manufacturer", "Model", "OperatingSystem", "OSVersion", "ComplianceState", "ManagementAgent",
+         "EnrolledDateTime", "LastSyncDateTime", "OwnerType", "JailBroken", "DaysSinceLastSync", "DeviceActivityStatus", "PhoneNumber"),
+        Fallback("intune:Intune_ManagedDevices_Compliance:", "ManagedDeviceId"),
+    ),
+    Adapter(
+        "Intune_Devices_Autopilot", "device", ("AzureADDeviceId",), _aliases(serial_number="SerialNumber", device_name="DisplayName", autopilot_id="AutopilotObjectId"), "DisplayName", (), False,
+        ("AzureADDeviceId", "ManagedDeviceId", "AutopilotObjectId", "SerialNumber", "DisplayName", "Manufacturer", "Model", "SystemFamily", "SkuNumber", "EnrollmentState", "AssignmentStatus", "GroupTag",
+         "PurchaseOrderIdentifier", "LastContactedDateTime", "UserPrincipalName", "AddressableUserName", "AssignedUser", "RecommendedAction", "ResourceName"),
+        Fallback("autopilot:", "AutopilotObjectId"),
+    ),
+    Adapter(
+        "Intune_iOS_Devices", "device", ("EntraDeviceId",), _aliases(serial_number="SerialNumber", device_name="DeviceName", intune_device_id="IntuneDeviceId"), "DeviceName", (), False,
+        ("EntraDeviceId", "IntuneDeviceId", "DeviceName", "SerialNumber", "ComplianceState", "OperatingSystem"), Fallback("ios_intune:", "IntuneDeviceId"),
+    ),
+    Adapter(
+        "Intune_Android_Devices", "device", ("EntraDeviceId",), _aliases(serial_number="SerialNumber", device_name="DeviceName", intune_device_id="IntuneDeviceId"), "DeviceName", (), False,
+        ("DeviceName", "ManagementName", "IntuneDeviceId", "EntraDeviceId", "SerialNumber", "Manufacturer", "Model", "OperatingSystem", "OSVersion", "AndroidSecurityPatchLevel", "UserDisplayName", "UserPrincipalName",
+         "EmailAddress", "PhoneNumber", "IMEI", "MEID", "ICCID", "SubscriberCarrier", "WiFiMacAddress", "OwnerType", "ManagementAgent", "DeviceEnrollmentType", "EnrollmentProfileName", "DeviceRegistrationState",
+         "EnrolledDateTime", "ManagementCertificateExpiration", "LastSyncDateTime", "DaysSinceLastSync", "DeviceActivityStatus", "ComplianceState", "ComplianceGracePeriodExpiration", "AzureADRegistered", "IsEncrypted",
+         "Rooted", "PartnerReportedThreatState", "EASActivated", "EASDeviceId", "EASActivationDateTime", "TotalStorageGB", "FreeStorageGB"),
+        Fallback("android_intune:", "IntuneDeviceId"),
+    ),
+    Adapter(
+        "Exchange_SharedMailboxes", "shared_mailbox", ("ExternalDirectoryObjectId",), _aliases(primary_smtp="PrimarySmtpAddress", alias="Alias"), "DisplayName", (), True,
+        ("ExternalDirectoryObjectId", "PrimarySmtpAddress", "DisplayName", "Alias", "HasForwarding", "ForwardingSmtpAddress", "HasFullAccessDelegates", "FullAccessDelegates", "LitigationHoldEnabled"),
+        Fallback("smtp:", "PrimarySmtpAddress", True),
+    ),
+)
 
 
 def seen(occurrences: DataFrame, entity: str = "entity", family: str = "family", at: str = "captured_at", display: str = "display") -> DataFrame:

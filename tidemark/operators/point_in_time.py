@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import asof, diff, periods
+from .identity import Adapter
 
 
 def reconstruct(history: DataFrame, targets: DataFrame, asked: DataFrame, columns: Sequence[str], authoritative: Sequence[str], entity: str = "entity", family: str = "family", at: str = "captured_at", target: str = "target") -> DataFrame:
@@ -54,7 +55,21 @@ def changes_between(before: DataFrame, after: DataFrame, entity: str = "entity")
     return both.withColumn("change", change).filter("change is not null")
 
 
-def recent(history: DataFrame, reference, columns: Sequence[str], family: str = "family", at: str = "captured_at", key: str = "key") -> DataFrame:
-    """The recent-changes report over all families and periods, in its order."""
-    pairs = periods.period_pairs(history.select(family, at), reference, family=family, at=at)
-    return periods.report_order(periods.period_changes(history, pairs, columns, family, at, key), family)
+def relationships(rows: DataFrame, adapter: Adapter, entity: str = "entity", *keep: str) -> DataFrame:
+    """entity, family, scope, properties and the kept columns of a family's rows: what each row says of its entity, for `diff.relationship_diff`."""
+    return rows.select(entity, F.lit(adapter.family).alias("family"), adapter.row_scope(rows.columns).alias("scope"), adapter.card(rows.columns).alias("properties"), *keep)
+
+
+def state_changes(before: DataFrame, after: DataFrame, before_rows: DataFrame, after_rows: DataFrame, entity: str = "entity") -> tuple[DataFrame, DataFrame]:
+    """Two states of entities: (changes of their scalar properties, changes of their relationships)."""
+    return changes_between(before, after, entity), diff.relationship_diff(before_rows, after_rows, entity)
+
+
+def recent(history: DataFrame, reference, columns: Sequence[str] = (), family: str = "family", at: str = "captured_at", key: str = "key", says: Column | None = None, partial: DataFrame | None = None, spans: dict[str, int] | None = None) -> DataFrame:
+    """The recent-changes report over all families and periods, in its order.
+
+    says: a row's evidence under its family's rules (see `plans.families.says`), by default of all `columns`. partial:
+    (family, captured_at) of snapshots that were not wholly retrieved. spans: the periods, in hours.
+    """
+    pairs = periods.period_pairs(history.select(family, at), reference, spans, family=family, at=at)
+    return periods.report_order(periods.period_changes(history, pairs, columns, family, at, key, says, partial), family)

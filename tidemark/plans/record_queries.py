@@ -58,16 +58,25 @@ def family_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "c_custkey").select("c_custkey", "package", "member", "device", F.when(F.col("_x").isNotNull(), F.col("_s")).alias("stable"), "legacy")
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'aad:' || c_custkey WHEN c_custkey % 3 = 1 THEN 'Intune_ManagedDevices_Compliance:m' || c_custkey ELSE 'Intune_ManagedDevices_Compliance:' || c_mktsegment END AS device, CASE WHEN c_custkey % 2 = 0 THEN 'x' || c_custkey ELSE 'Exchange_SharedMailboxes:' || c_name END AS mailbox,
-CASE WHEN c_custkey % 2 = 0 THEN 'DisplayName=' || c_name || ';' ELSE '' END || 'Segment=' || c_mktsegment AS card FROM customer""")
+@query("""WITH c AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS seg, CASE WHEN c_custkey % 3 = 0 THEN 'aad:' || c_custkey END AS aad, CASE WHEN c_custkey % 3 = 1 THEN 'm' || c_custkey END AS other FROM customer)
+SELECT k AS c_custkey, coalesce(aad, 'intune:Intune_ManagedDevices_Compliance:' || other) AS managed, coalesce(aad, 'autopilot:' || other) AS autopilot, coalesce(aad, 'ios_intune:' || other) AS ios, coalesce(aad, 'android_intune:' || other) AS android,
+CASE WHEN k % 2 = 0 THEN 'x' || k ELSE 'smtp:' || lower(name) END AS mailbox, CASE WHEN k % 2 = 0 THEN k::VARCHAR END AS properties, CASE WHEN k % 5 <> 0 THEN 'upn_only:Entra_Users_AuthenticationMethods:' || lower(name) END AS methods,
+CASE WHEN k % 5 <> 0 THEN 'upn_only:Entra_Role_Assignments:' || lower(name) END AS roles, 'RoleName: ' || seg AS scope, CASE WHEN k % 2 = 0 THEN 'ExternalDirectoryObjectId=x' || k || ';' ELSE '' END || 'PrimarySmtpAddress=' || name || ';Alias=' || seg AS card, CASE WHEN k % 2 = 0 THEN 'x' || k ELSE 'Unknown' END AS shown FROM c""")
 def entity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of a customer's row under the shipped families: ids, what stands in for them, and rows without either."""
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
-    of = {a.family: a for a in identity.ADAPTERS}
     s = k.cast("string")
-    rows = c.select("c_custkey", F.when(k % 3 == 0, s).otherwise("").alias("azureaddeviceid"), F.when(k % 3 == 1, F.concat(F.lit("m"), s)).alias("ManagedDeviceId"), F.col("c_mktsegment").alias("SerialNumber"), F.when(k % 2 == 0, F.concat(F.lit("x"), s)).alias("ExternalDirectoryObjectId"), F.col("c_name").alias("PrimarySmtpAddress"), F.when(k % 2 == 0, F.col("c_name")).alias("DisplayName"), F.col("c_mktsegment").alias("Segment"))
-    adapter = identity.Adapter("Exchange_SharedMailboxes", "shared_mailbox", ("ExternalDirectoryObjectId",), cards=("DisplayName", "Lost", "segment"))
-    card = F.array_join(F.transform(adapter.card(rows.columns), lambda p: F.concat(p["name"], F.lit("="), p["value"])), ";")
-    return rows.select("c_custkey", of["Intune_ManagedDevices_Compliance"].key(rows.columns).alias("device"), of["Exchange_SharedMailboxes"].key(rows.columns).alias("mailbox"), card.alias("card"))
+    name, aad, other = F.col("c_name"), F.when(k % 3 == 0, s).otherwise(" "), F.when(k % 3 == 1, F.concat(F.lit("m"), s))
+    upn = F.when(k % 5 != 0, name).otherwise("")
+    rows = c.select("c_custkey", aad.alias("azureaddeviceid"), aad.alias("EntraDeviceId"), *(other.alias(x) for x in ("ManagedDeviceId", "AutopilotObjectId", "IntuneDeviceId")), F.col("c_mktsegment").alias("SerialNumber"), F.when(k % 2 == 0, F.concat(F.lit("x"), s)).alias("ExternalDirectoryObjectId"), name.alias("PrimarySmtpAddress"), F.col("c_mktsegment").alias("ALIAS"), F.when(k % 2 == 0, s).alias("Id"), upn.alias("UPN"), upn.alias("UserPrincipalName"), F.col("c_mktsegment").alias("RoleName"), F.lit(" ").alias("displayName"))
+    of = {a.family: a for a in identity.ADAPTERS}
+    key = lambda f, n: of[f].key(rows.columns).alias(n)
+    box = of["Exchange_SharedMailboxes"]
+    card = F.array_join(F.transform(box.card(rows.columns), lambda p: F.concat(p["name"], F.lit("="), p["value"])), ";")
+    return rows.select(
+        "c_custkey", key("Intune_ManagedDevices_Compliance", "managed"), key("Intune_Devices_Autopilot", "autopilot"), key("Intune_iOS_Devices", "ios"), key("Intune_Android_Devices", "android"), key("Exchange_SharedMailboxes", "mailbox"),
+        key("Entra_Users_Properties", "properties"), key("Entra_Users_AuthenticationMethods", "methods"), key("Entra_Role_Assignments", "roles"), of["Entra_Role_Assignments"].row_scope(rows.columns).alias("scope"), card.alias("card"), box.shown(rows.columns).alias("shown"),
+    )
 
 
 # --- filters
@@ -243,11 +252,10 @@ def group_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'removed' ELSE 'added' END AS event FROM customer)
-SELECT k AS policy_key, event, CASE WHEN event = 'removed' THEN coalesce(CASE WHEN k % 2 = 0 THEN 'old' END, 'new') ELSE coalesce(CASE WHEN k % 5 <> 0 THEN 'new' END, CASE WHEN k % 2 = 0 THEN 'old' END) END AS policy FROM e WHERE NOT (event = 'removed' AND k % 2 <> 0 AND k % 5 = 0)""")
+SELECT k AS policy_key, event, CASE WHEN event = 'removed' THEN coalesce(CASE WHEN k % 2 = 0 THEN 'old' END, CASE WHEN k % 5 <> 0 THEN 'new' END) ELSE coalesce(CASE WHEN k % 5 <> 0 THEN 'new' END, CASE WHEN k % 2 = 0 THEN 'old' END) END AS policy FROM e""")
 def named_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     c = table(spark, sf_dir, "customer").select(k.alias("policy_key"), F.when(k % 3 == 0, "removed").otherwise("added").alias("event"))
-    c = c.filter(~((F.col("event") == "removed") & (F.col("policy_key") % 2 != 0) & (F.col("policy_key") % 5 == 0)))
     side = lambda cond, n: c.filter(cond).select("policy_key", F.lit(n).alias("name"))
     return policy.event_rows(c, side("policy_key % 2 = 0", "old"), side("policy_key % 5 <> 0", "new")).select("policy_key", "event", "policy")
 
