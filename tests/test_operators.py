@@ -137,10 +137,44 @@ def test_policy_trees(spark):
     a = policy.admx_values(docs, ["policy_key"], "doc").first()
     assert (a.definition_id, a.enabled) == ("adm", True)
     flat = spark.createDataFrame([("p", '{"id":"1","a":{"b":2,"c":""},"l":[1,2],"e":[]}')], "policy_key string, t string").select("policy_key", F.parse_json("t").alias("doc"))
-    props = {r.property: r.value for r in policy.classic_properties(policy.tree_nodes(flat, ["policy_key"], "doc"), ["policy_key"]).collect()}
+    props = {r.property: r.value for r in policy.classic_properties(policy.tree_nodes(flat, ["policy_key"], "doc", whole_lists=True), ["policy_key"]).collect()}
     assert props == {"a.b": "2", "l": "[1,2]"}
 
 
+def test_deep_trees_and_nulls(spark):
+    """Depth 200 in rows that hold leaves' values only; nulls have rows, null documents none; kept and whole lists have their value."""
+    import json
+
+    deep = 7
+    for i in range(200):
+        deep = {"a": deep} if i % 2 else [deep]
+    docs = spark.createDataFrame([("p", json.dumps(deep)), ("q", '{"n":null,"l":[1,{"x":2}],"e":{},"simpleSettingCollectionValue":[1]}'), ("z", None)], "k string, t string").select("k", F.try_parse_json("t").alias("doc"))
+    rows = policy.tree_nodes(docs, ["k"], "doc").withColumn("value", F.to_json("value")).collect()
+    p = [r for r in rows if r.k == "p"]
+    assert len(p) == 201 and [(r.depth, r.value) for r in p if r.value] == [(200, "7")]
+    q = {r.path: (r.type, r.value) for r in rows if r.k == "q"}
+    assert q == {"$": ("object", None), "$.n": ("null", "null"), "$.l": ("array", None), "$.l[0]": ("integer", "1"), "$.l[1]": ("object", None), "$.l[1].x": ("integer", "2"), "$.e": ("object", None), "$.simpleSettingCollectionValue": ("array", "[1]"), "$.simpleSettingCollectionValue[0]": ("integer", "1")}
+    whole = {r.path: r.value for r in policy.tree_nodes(docs, ["k"], "doc", whole_lists=True).filter("k = 'q'").withColumn("value", F.to_json("value")).collect()}
+    assert whole["$.l"] == '[1,{"x":2}]' and "$.l[0]" not in whole
+
+
+def test_metrics_at_several_grains(spark):
+    p = spark.createDataFrame([("y", "a", "s1", "t1", "h"), ("y", "b", "s1", None, ""), ("y", "c", "s2", "t1", None)], "snap string, policy_key string, source string, type string, hash string")
+    n = spark.createDataFrame([("y", "a"), ("y", "a"), ("y", "c"), ("y", "unknown")], "snap string, policy_key string")
+    got = {(r.level, r.source, r.type): (r.policies, r.eligible, r.settings, r.assignments) for r in policy.metrics_by_grain(p, n, n.limit(0), ["snap"]).collect()}
+    assert got[("total", None, None)] == (3, 1, 3, 0) and got[("source", "s1", None)] == (2, 1, 2, 0) and got[("type", None, None)] == (1, 0, 0, 0) and got[("source_type", "s2", "t1")] == (1, 0, 1, 0) and len(got) == 8
+    s = spark.createDataFrame([("b", "d1", "choice", 0), ("b", "d2", "simple", 3), ("b", "d2", "simple", 1)], "bundle string, definition_id string, kind string, depth int")
+    got = {(r.level, r.kind): (r.nodes, r.max_depth, r.definitions, r.missing_definitions, r.definition_coverage) for r in policy.inspection_by_grain(s, s.limit(1).select("definition_id"), ["bundle"]).collect()}
+    assert got == {("total", None): (3, 3, 2, 1, 33.3), ("kind", "choice"): (1, 0, 1, 0, 100.0), ("kind", "simple"): (2, 3, 1, 1, 0.0)}
+
+
+def test_unexplained_changes(spark):
+    none = spark.createDataFrame([("a", "setting", "k", "changed", "1", "2")], "policy_key string, component_type string, component_key string, event string, before string, after string")
+    side = lambda h: spark.createDataFrame([("a", h), ("b", h)], "policy_key string, hash string")
+    got = {(r.policy_key, r.event, r.before, r.after) for r in policy.explained(none, side("x"), side("x"), side("y")).collect()}
+    assert got == {("a", "changed", "1", "2"), ("b", "unexplained_policy_semantic_change", "x", "y")}
+
+
 def test_policy_comparison(spark):
     schema = "policy_key string, source string, hash string"
     before = spark.createDataFrame([("same", "s", "1"), ("mod", "s", "1"), ("gone", "s", "1"), ("lost", "f", "1"), ("inel", "s", "")], schema)

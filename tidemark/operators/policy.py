@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,56 +19,62 @@ INVENTORY_COLUMNS = ("SnapshotId", "CapturedAtUtc", "PolicyId", "Source", "Platf
 FILTER_FIELDS = ("platform", "rule", "assignmentFilterManagementType")
 CLASSIC_METADATA = ("id", "displayName", "description", "createdDateTime", "lastModifiedDateTime", "version", "roleScopeTagIds", "assignments", "@odata.type", "@odata.context", "supportsScopeTags", "deviceManagementApplicabilityRuleOsEdition", "deviceManagementApplicabilityRuleOsVersion", "deviceManagementApplicabilityRuleDeviceMode")
 
-#: Levels of a tree that a pass expands before it stores them.
-LEVELS_A_PASS = 4
+#: Settings whose values are lists, which keep their value as a whole beside their leaves.
+LISTS = ("simpleSettingCollectionValue", "choiceSettingCollectionValue")
 
 
 def get(v: Column | str, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(cells.col(v), path, kind)
 
 
-def tree_nodes(docs: DataFrame, by: Sequence[str], variant: str) -> DataFrame:
-    """Every node below a VARIANT: by, path, depth, name, type, value (the VARIANT), one row each.
+def tree_nodes(docs: DataFrame, by: Sequence[str], variant: str, keep: Sequence[str] = LISTS, whole_lists: bool = False) -> DataFrame:
+    """Every node below a VARIANT: by, path, depth, name, type, value, one row each, by recursion over lateral explosions.
 
-    LEVELS_A_PASS levels are expanded in a map-only pass and stored, the next ones from the containers of the last of them,
-    until none is left, so no limit applies to depth or rows. A node's row holds its subtree.
+    value is a leaf's; an object or list has none, unless its name is in `keep`, so the rows are linear in the document
+    however deep it is. whole_lists: lists are leaves, with their value. Nulls have a row; a null document has none. Depth
+    and rows have no limit: the session's limits of recursion are lifted, and stay so.
     """
-    typed = lambda df: df.filter("value is not null").withColumn("type", cells.json_type(F.col("value")))
-
-    def below(level: DataFrame, depth: int) -> DataFrame:
-        inner = level.filter(F.col("type").isin("object", "array"))
-        exploded = inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("value").outer()).select(F.col("pos"), F.col("key"), F.col("value").alias("_child")))
-        name = F.coalesce("key", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-        return typed(exploded.select(*by, F.concat_ws("", "path", F.when(F.col("key").isNotNull(), F.lit(".")), name).alias("path"), F.lit(depth).alias("depth"), name.alias("name"), F.col("_child").alias("value")))
-
-    level = typed(docs.select(*by, F.lit("$").alias("path"), F.lit(0).alias("depth"), F.lit("$").alias("name"), F.col(variant).alias("value")))
-    out = []
-    for depth in itertools.count(0, LEVELS_A_PASS):
-        chain = [level]
-        for i in range(1, LEVELS_A_PASS):
-            chain.append(below(chain[-1], depth + i))
-        made = chain[0]
-        for part in chain[1:]:
-            made = made.unionByName(part)
-        out.append(stored(made, "tree-levels"))
-        last = out[-1].filter(F.col("depth") == depth + LEVELS_A_PASS - 1)
-        if last.filter(F.col("type").isin("object", "array")).isEmpty():
-            break
-        level = below(last, depth + LEVELS_A_PASS)
-    whole = out[0]
-    for part in out[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(1 << 20))
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    own = docs.filter(F.col(variant).isNotNull()).select(*by, F.lit("$").alias("path"), F.lit(0).alias("depth"), F.lit("$").alias("name"), cells.json_type(F.col(variant)).alias("type"), F.col(variant).alias("value"))
+    quoted, of_t = ", ".join(f"`{c}`" for c in by), ", ".join(f"t.`{c}`" for c in by)
+    inner = ("object",) if whole_lists else ("object", "array")
+    step = "coalesce(c.key, concat('[', c.pos, ']'))"
+    kind = "CASE WHEN c.value IS NULL THEN 'null' WHEN schema_of_variant(c.value) LIKE 'OBJECT%' THEN 'object' WHEN schema_of_variant(c.value) LIKE 'ARRAY%' THEN 'array' ELSE 'leaf' END"
+    every = spark.sql(
+        f"""WITH RECURSIVE t({quoted}, path, depth, name, type, value) AS (
+            SELECT {quoted}, path, depth, name, type, value FROM {{own}}
+            UNION ALL
+            SELECT {of_t}, concat(t.path, CASE WHEN c.key IS NULL THEN '' ELSE '.' END, {step}), t.depth + 1, {step}, {kind}, c.value
+            FROM t, LATERAL variant_explode(t.value) c WHERE t.type IN ({", ".join(f"'{x}'" for x in inner)}))
+        SELECT * FROM t""",
+        own=own,
+    )
+    typed = every.withColumn("type", F.when(F.col("type") == "leaf", cells.json_type(F.col("value"))).otherwise(F.col("type")))
+    return typed.withColumn("value", F.when(~F.col("type").isin(*inner) | F.col("name").isin(*keep), F.col("value")))
 
 
 def setting_nodes(nodes: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Setting instances among tree nodes: by, path, depth (of settings), definition_id, kind, raw_value, hash."""
-    own = nodes.filter((F.col("type") == "object") & get("value", "$.settingDefinitionId").isNotNull())
-    short = F.regexp_replace(F.element_at(F.split(F.coalesce(get("value", "$['@odata.type']"), F.lit("")), r"\."), -1), "^deviceManagementConfiguration|Instance$", "")
+    """Setting instances among tree nodes: by, path, depth (of settings), definition_id, kind, raw_value, hash (of these three).
+
+    A setting is an object with a settingDefinitionId. Its properties are leaves below it, which meet by the object's path.
+    """
+    up = lambda tail: F.expr(f"substring(path, 1, length(path) - {tail})")
+    ends = lambda tail: F.col("path").endswith(tail)
+    roles = [("id", F.col("name") == "settingDefinitionId", "length(name) - 1"), ("type", F.col("name") == "@odata.type", "length(name) - 1")]
+    roles += [(f"raw{i}", ends(t), str(len(t))) for i, t in enumerate((".simpleSettingValue.value", ".choiceSettingValue.value"))]
+    roles += [(f"raw{i}", F.col("name") == t, "length(name) - 1") for i, t in enumerate(LISTS, 2)]
+    role = F.coalesce(*(F.when(c, F.struct(F.lit(n).alias("role"), up(t).alias("owner"))) for n, c, t in roles))
+    own = nodes.withColumn("_r", role).filter("_r is not null").select(*by, F.col("_r.owner").alias("path"), "_r.role", get("value", "$").alias("_v"))
+    one = lambda n: F.max(F.when(F.col("role") == n, F.col("_v"))).alias(f"_{n}")
+    found = own.groupBy(*by, "path").agg(*(one(n) for n, _, _ in roles)).filter("_id is not null")
+    short = F.regexp_replace(F.element_at(F.split(F.coalesce("_type", F.lit("")), r"\."), -1), "^deviceManagementConfiguration|Instance$", "")
     kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), short), F.lit("unknown"))
-    raw = F.coalesce(get("value", "$.simpleSettingValue.value"), get("value", "$.choiceSettingValue.value"), get("value", "$.simpleSettingCollectionValue"), get("value", "$.choiceSettingCollectionValue"))
+    raw = F.coalesce("_raw0", "_raw1", "_raw2", "_raw3")
     depth = F.size(F.split("path", r"\.children\["))
-    return own.select(*by, "path", (depth - 1).alias("depth"), get("value", "$.settingDefinitionId").alias("definition_id"), kind.alias("kind"), raw.alias("raw_value"), F.sha2(F.to_json("value"), 256).alias("hash"))
+    out = found.select(*by, "path", (depth - 1).alias("depth"), F.col("_id").alias("definition_id"), kind.alias("kind"), raw.alias("raw_value"))
+    return out.withColumn("hash", F.sha2(F.to_json(F.struct("definition_id", "kind", "raw_value")), 256))
 
 
 def choice_labels(settings: DataFrame, options: DataFrame) -> DataFrame:
@@ -179,6 +184,17 @@ def component_events(before: DataFrame, after: DataFrame, modified: DataFrame, k
     return both.withColumn("event", event).filter("event is not null").select(*by, "event", "before", "after")
 
 
+def explained(events: DataFrame, modified: DataFrame, before: DataFrame, after: DataFrame, key: str = "policy_key") -> DataFrame:
+    """component_events of modified policies, and an event `unexplained_policy_semantic_change` with both hashes for each of them that has none.
+
+    before and after: key and hash of the policies.
+    """
+    rest = modified.select(key).distinct().join(events.select(key).distinct(), key, "left_anti")
+    side = lambda df, s: df.groupBy(key).agg(F.min("hash").alias(s))
+    none = rest.join(side(before, "before"), key).join(side(after, "after"), key)
+    return events.unionByName(none.select(key, F.lit("policy").alias("component_type"), F.lit("").alias("component_key"), F.lit("unexplained_policy_semantic_change").alias("event"), "before", "after"))
+
+
 def metadata_events(before: DataFrame, after: DataFrame, key: str = "policy_key") -> DataFrame:
     """renamed, description_changed, scope_tags_changed (as sets) and applicability_changed (by canonical JSON)."""
     j = before.alias("b").join(after.alias("a"), key)
@@ -247,6 +263,31 @@ def inspection(settings: DataFrame, definitions: DataFrame, by: Sequence[str]) -
     return out.withColumn("definition_coverage", F.round(100.0 * F.col("_known") / F.col("nodes"), 1)).drop("_known")
 
 
+def metrics_by_grain(policies: DataFrame, settings: DataFrame, assigned: DataFrame, by: Sequence[str], key: str = "policy_key", source: str = "source", kind: str = "type") -> DataFrame:
+    """by, level (total, source, type, source_type), source, type, policies, eligible, settings, assignments, eligible_share.
+
+    Settings and assignments (by, key) are counted for each policy first; one pass over policies then fills all levels by
+    grouping sets. A policy that has none counts 0; those of unknown policies count nowhere; null sources and types are
+    groups of their own, told from totals by the level.
+    """
+    n = lambda df, name: df.groupBy(*by, key).agg(F.count(F.lit(1)).alias(name))
+    own = policies.join(n(settings, "_settings"), [*by, key], "left").join(n(assigned, "_assignments"), [*by, key], "left")
+    own = own.select(*by, F.col(source).alias("source"), F.col(kind).alias("type"), (F.coalesce("hash", F.lit("")) != "").alias("_eligible"), "_settings", "_assignments")
+    groups = own.groupingSets([list(by), [*by, "source"], [*by, "type"], [*by, "source", "type"]], *by, "source", "type")
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    out = groups.agg(F.grouping("source").alias("_s"), F.grouping("type").alias("_t"), F.count(F.lit(1)).alias("policies"), F.count_if("_eligible").alias("eligible"), total("_settings", "settings"), total("_assignments", "assignments"))
+    level = F.when((F.col("_s") == 1) & (F.col("_t") == 1), "total").when(F.col("_t") == 1, "source").when(F.col("_s") == 1, "type").otherwise("source_type")
+    return out.select(*by, level.alias("level"), "source", "type", "policies", "eligible", "settings", "assignments", F.round(F.col("eligible") / F.col("policies"), 6).alias("eligible_share"))
+
+
+def inspection_by_grain(settings: DataFrame, definitions: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, level (total, kind), kind, nodes, max_depth, definitions, missing_definitions, definition_coverage (percent of nodes) of a bundle's settings, in one pass by grouping sets."""
+    known = settings.join(definitions.select("definition_id").distinct().withColumn("_d", F.lit(1)), "definition_id", "left")
+    groups = known.groupingSets([list(by), [*by, "kind"]], *by, "kind")
+    out = groups.agg(F.grouping("kind").alias("_k"), F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("max_depth"), F.count_distinct("definition_id").alias("definitions"), F.count_distinct(F.when(F.col("_d").isNull(), F.col("definition_id"))).alias("missing_definitions"), F.count("_d").alias("_known"))
+    return out.select(*by, F.when(F.col("_k") == 1, "total").otherwise("kind").alias("level"), "kind", "nodes", "max_depth", "definitions", "missing_definitions", F.round(100.0 * F.col("_known") / F.col("nodes"), 1).alias("definition_coverage"))
+
+
 def inventory(policies: DataFrame, diffs: DataFrame | None, assigned: DataFrame, key: str = "policy_key") -> DataFrame:
     """Policies with change state (no_baseline without a comparison, unchanged where none was found), assignments, search text."""
     n = assigned.groupBy(key).agg(F.count(F.lit(1)).alias("assignments"))

@@ -132,3 +132,42 @@ def relationship_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = diff.relationship_diff(side(e.filter(F.dayofmonth("ts") <= 15), kind, zone), side(e.filter(F.dayofmonth("ts") > 15), zone, kind))
     n = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x.n)
     return found.select("entity", "scope", "change", n("before").alias("fewer"), n("after").alias("more"))
+
+
+# --- policies at several grains
+
+
+@query("""WITH s AS (SELECT l_orderkey AS k, count(*) AS n, count(*) FILTER (l_linenumber = 1) AS a FROM lineitem GROUP BY 1), p AS (SELECT year(o_orderdate)::INT AS year, o_orderpriority AS source, o_orderstatus AS type, o_orderkey % 3 <> 0 AS ok, coalesce(n, 0) AS n, coalesce(a, 0) AS a FROM orders LEFT JOIN s ON k = o_orderkey)
+SELECT year, CASE WHEN grouping(source) = 1 AND grouping(type) = 1 THEN 'total' WHEN grouping(type) = 1 THEN 'source' WHEN grouping(source) = 1 THEN 'type' ELSE 'source_type' END AS level, source, type, count(*) AS policies, count(*) FILTER (ok) AS eligible, sum(n)::BIGINT AS settings, sum(a)::BIGINT AS assignments, round(count(*) FILTER (ok) / count(*), 6) AS eligible_share
+FROM p GROUP BY GROUPING SETS ((year), (year, source), (year, type), (year, source, type))""")
+def policy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    year, k = F.year("o_orderdate").alias("year"), F.col("o_orderkey")
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    p = o.select(year, k.alias("policy_key"), F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("type"), F.when(k % 3 != 0, "h").otherwise("").alias("hash"))
+    rows = li.join(o.select(k.alias("l_orderkey"), year), "l_orderkey").select("year", F.col("l_orderkey").alias("policy_key"), "l_linenumber")
+    return policy.metrics_by_grain(p, rows, rows.filter("l_linenumber = 1"), ["year"])
+
+
+@query("""WITH s AS (SELECT l_returnflag AS bundle, l_linestatus AS kind, 'd' || l_suppkey % 50 AS d, l_linenumber AS depth, l_suppkey % 50 < 40 AS known FROM lineitem)
+SELECT bundle, CASE WHEN grouping(kind) = 1 THEN 'total' ELSE 'kind' END AS level, kind, count(*) AS nodes, max(depth)::INT AS max_depth, count(DISTINCT d) AS definitions, count(DISTINCT d) FILTER (NOT known) AS missing_definitions, round(100.0 * count(*) FILTER (known) / count(*), 1) AS definition_coverage FROM s GROUP BY GROUPING SETS ((bundle), (bundle, kind))""")
+def bundle_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_suppkey") % 50
+    name = F.concat(F.lit("d"), n.cast("string"))
+    s = table(spark, sf_dir, "lineitem")
+    rows = s.select(F.col("l_returnflag").alias("bundle"), F.col("l_linestatus").alias("kind"), name.alias("definition_id"), F.col("l_linenumber").cast("int").alias("depth"))
+    return policy.inspection_by_grain(rows, s.filter(n < 40).select(name.alias("definition_id")), ["bundle"])
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, bool_or(l_linenumber = 6) AS six, bool_or(l_linenumber = 2) AS two FROM lineitem GROUP BY 1)
+SELECT k AS policy_key, CASE WHEN two AND k % 3 = 0 THEN 'changed' ELSE 'unexplained_policy_semantic_change' END AS event FROM l WHERE six OR (two AND k % 3 = 0)""")
+def unexplained_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policies whose hash changes: by a trusted component in every third, and by one that can't be compared where they have a sixth."""
+    li, k, n = table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), F.col("l_linenumber")
+    bump = F.when((n == 6) | ((n == 2) & (k % 3 == 0)), 1).otherwise(0)
+    side = lambda by: li.select(k.alias("policy_key"), F.when(n == 6, "assignment").otherwise("setting").alias("component_type"), n.cast("string").alias("component_key"), (n * 10 + by).cast("string").alias("value"), n.alias("position"), (n != 6).alias("trusted"))
+    before, after = side(F.lit(0)), side(bump)
+    hashed = lambda df: df.groupBy("policy_key").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("value")), ","), 256).alias("hash")).withColumn("source", F.lit("s"))
+    ok = spark.range(1).select(F.lit("s").alias("source"), F.lit("success").alias("status"))
+    hb, ha = hashed(before), hashed(after)
+    modified = policy.policy_diff(hb, ha, ok, ok).filter("state = 'modified'")
+    return policy.explained(policy.component_events(before, after, modified), modified, hb, ha).select("policy_key", "event")

@@ -112,7 +112,7 @@ def classic_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     doc = F.concat(F.lit('{"id":'), F.col("c_custkey").cast("string"), F.lit(',"name":"'), F.col("c_name"), F.lit('","place":{"nation":'), F.col("c_nationkey").cast("string"), F.lit(',"note":""},"tags":["'), F.col("c_mktsegment"), F.lit('",1],"none":[]}'))
     docs = c.select(F.col("c_custkey").alias("policy_key"), F.parse_json(doc).alias("doc"))
-    return policy.classic_properties(policy.tree_nodes(docs, ["policy_key"], "doc"), ["policy_key"]).select("policy_key", "property", "value")
+    return policy.classic_properties(policy.tree_nodes(docs, ["policy_key"], "doc", whole_lists=True), ["policy_key"]).select("policy_key", "property", "value")
 
 
 @query("""SELECT o_orderkey AS policy_key, CASE WHEN o_orderstatus = 'O' THEN 'group|' || o_custkey || '|' || '|include' WHEN o_orderstatus = 'F' THEN 'all_devices|||' ELSE 'oddTarget|||' END AS assignment_key FROM orders""")
