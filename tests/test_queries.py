@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.plans import history_queries, more_queries, record_queries  # noqa: F401
+from tidemark.plans import card_queries, history_queries, more_queries, record_queries  # noqa: F401
 from tidemark.plans import queries as Q
 
 
