@@ -84,8 +84,9 @@ def test_matches(spark):
     right = spark.createDataFrame([("r1", "A", "s2"), ("r2", "C", "s2"), ("r3", "B", "s9"), ("r4", "D", "s1")], "r string, rid string, rsn string")
     got = {r.l: (r.status, r.matched, bool(r.diagnostic)) for r in links.match_records(left, right, {"id": (F.col("id"), F.col("rid")), "serial": (F.col("sn"), F.col("rsn"))}, "l", "r", "serial").collect()}
     assert got == {"1": ("ambiguous", None, False), "2": ("matched", "r1", True), "3": ("ambiguous", None, False), "4": ("no_match_with_coverage", None, False), "5": ("ambiguous", None, False), "6": ("matched", "r3", False)}
-    gate = spark.createDataFrame([("macOS", "x"), ("Windows 11", "Cloud PC Enterprise"), ("Windows", "Surface")], "os string, model string")
-    assert [r[0] for r in gate.select(links.applicability("os", "model", F.lit(False))).collect()] == ["not_applicable", "not_applicable", "no_coverage"]
+    gate = spark.createDataFrame([("macOS", "x"), ("Windows 11", "Cloud PC Enterprise"), ("Windows", "Surface"), ("", "Surface"), (None, None), ("windows", "VMware 7"), ("Windows", "Virtual Machine")], "os string, model string")
+    n, c = "not_applicable", "no_coverage"
+    assert [r[0] for r in gate.select(links.applicability("os", "model", F.lit(False))).collect()] == [n, n, c, n, n, c, n]
 
 
 def test_resolution(spark):

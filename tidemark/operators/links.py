@@ -76,11 +76,11 @@ def user_devices(users: DataFrame, merged: DataFrame, unresolved: DataFrame, cov
 
 
 def applicability(operating_system: Column | str, model: Column | str, has_snapshot: Column) -> Column:
-    """not_applicable for other platforms, cloud PCs and virtual machines; no_coverage without a snapshot; else null."""
+    """not_applicable unless the system is Windows (a blank one is not known to be), and for cloud PCs and virtual machines by
+    their model; then no_coverage without a snapshot; else null."""
     os_, m = cells.lower(operating_system), cells.lower(model)
-    other = (os_ != "") & ~os_.contains("windows")
-    virtual = m.rlike("cloud ?pc|virtual machine|vmware|virtualbox|hyper-v")
-    return F.when(other | virtual, "not_applicable").when(~has_snapshot, "no_coverage")
+    virtual = m.contains("cloud pc") | (m == "virtual machine")  # fixed values
+    return F.when(~os_.startswith("windows") | virtual, "not_applicable").when(~has_snapshot, "no_coverage")
 
 
 def match_records(left: DataFrame, right: DataFrame, keys: dict[str, tuple[Column, Column]], left_id: str, right_id: str, containing: str | None = None) -> DataFrame:

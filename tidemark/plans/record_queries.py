@@ -93,10 +93,11 @@ def fixed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicates.fixed_rows(table(spark, sf_dir, "customer"), named, "c_custkey").select("c_custkey")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'not_applicable' WHEN o_orderkey % 5 = 0 THEN 'not_applicable' WHEN o_orderkey % 2 = 0 THEN 'no_coverage' END AS gate FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 1 THEN 'not_applicable' WHEN o_orderkey % 5 IN (0, 1) THEN 'not_applicable' WHEN o_orderkey % 2 = 0 THEN 'no_coverage' END AS gate FROM orders""")
 def applicability_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    gate = links.applicability(F.when(k % 3 == 0, "Android").when(k % 3 == 1, "Windows 11").otherwise(""), F.when(k % 5 == 0, "VMware 7").otherwise("Laptop"), k % 2 == 1)
+    model = F.when(k % 5 == 0, "Windows 365 Cloud PC Enterprise").when(k % 5 == 1, "Virtual Machine").when(k % 5 == 2, "VMware 7").otherwise("Laptop")
+    gate = links.applicability(F.when(k % 3 == 0, "Android").when(k % 3 == 1, "Windows 11").otherwise(""), model, k % 2 == 1)
     return table(spark, sf_dir, "orders").select("o_orderkey", gate.alias("gate"))
 
 
