@@ -71,30 +71,27 @@ def user_devices_at(users: DataFrame, devices: DataFrame, observations: DataFram
     use can't be read; coverage is then `error` and both arrays are null, and the user's state is not touched by it. Users
     without devices have empty arrays. Repeated (user_id, target) rows count once.
 
-    Everything is joined on keys: the snapshots in use are found once a target, links and matches once a device and
-    snapshot, however many users and targets ask for them. What several steps read is written to the shared folder: the
+    Everything is joined on keys: the snapshots in use are found once a target, by capture times alone, and no payload of
+    another snapshot is parsed; links and matches are found once a device and snapshot, however many users and targets ask for them. What several steps read is written to the shared folder: the
     snapshots in use, their device rows and the links.
     """
     users = users.select(cells.text("user_id").alias("user_id"), "target").distinct()
-    read = {"device_at": read_payloads(devices), "record_at": read_payloads(records)}
+    whole = {"device_at": devices, "record_at": records}
     targets = users.select("target").distinct()
-    used, failed = targets, []
-    for name, rows in read.items():
+    used = targets
+    for name, rows in whole.items():
         family = F.lit(name).alias("family")
         picked = asof.snapshot_asof(rows.select(family, "captured_at").distinct(), targets.select(family, "target"))
         used = used.join(picked.select("target", F.col("used").alias(name)), "target")
-        failed.append(rows.filter("unreadable").groupBy(F.col("captured_at").alias(name)).agg(F.count(F.lit(1)).alias(f"_bad_{name}")))
-    for name, bad in zip(read, failed, strict=True):
-        used = used.join(bad, name, "left")
     used = stored(used, "snapshots-in-use")
-    own = device_rows(read["device_at"].join(used.select(F.col("device_at").alias("captured_at")).distinct(), "captured_at", "left_semi"))
-    own = stored(own.withColumnRenamed("captured_at", "device_at"), "devices-in-use")
+    read = {n: read_payloads(rows.join(used.select(F.col(n).alias("captured_at")).distinct(), "captured_at", "left_semi")) for n, rows in whole.items()}
+    failed = {n: rows.filter("unreadable").groupBy(F.col("captured_at").alias(n)).agg(F.count(F.lit(1)).alias(f"_bad_{n}")) for n, rows in read.items()}
+    own = stored(device_rows(read["device_at"]).withColumnRenamed("captured_at", "device_at"), "devices-in-use")
     tries = links.attempts(own, observations, known, "device_at")
     merged = stored(links.merge_links(tries, "device_at"), "device-links")
     narrow = own.select("device", "device_at", "properties").dropDuplicates(["device", "device_at"])
     pairs = used.filter("device_at is not null").select("device_at", "record_at").distinct()
     held = read["record_at"].filter("not unreadable").select(F.col("captured_at").alias("record_at"), "row_ix", "properties")
-    held = held.join(pairs.select("record_at").distinct(), "record_at", "left_semi")
     linked = merged.filter("status = 'resolved'").select("device", "device_at", "user_id").join(users.select("user_id").distinct(), "user_id", "left_semi")
     asked = narrow.join(linked.select("device", "device_at"), ["device", "device_at"], "left_semi").join(pairs, "device_at")
     matches = enrolment_matches(asked, held)
@@ -110,6 +107,8 @@ def user_devices_at(users: DataFrame, devices: DataFrame, observations: DataFram
 
     out = users.join(used, "target").join(unresolved, ["user_id", "device_at"], "left").alias("u")
     out = out.join(lists.alias("l"), (F.col("u.user_id") == F.col("l.user_id")) & (F.col("u.device_at") == F.col("l.device_at")) & F.col("u.record_at").eqNullSafe(F.col("l.record_at")), "left").select("u.*", "devices")
+    for name, count in failed.items():
+        out = out.join(count, name, "left")
     bad = F.coalesce("_bad_device_at", F.lit(0)) + F.coalesce("_bad_record_at", F.lit(0))
     error = F.when(bad > 0, F.format_string("%d rows can't be read", bad))
     n = lambda c: F.coalesce(F.size(c), F.lit(0))
