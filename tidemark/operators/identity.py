@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells
+from . import grams
 
 
 @dataclass(frozen=True)
@@ -154,10 +155,6 @@ def seen(occurrences: DataFrame, entity: str = "entity", family: str = "family",
     return rows.groupBy(entity).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.max_by(display, F.when(cells.filled(display).isNotNull(), F.col(at))).alias("latest_name"), F.bool_or(F.col(at) == F.col("_newest")).alias("present_in_latest"))
 
 
-#: Characters of a run by which needles and entities meet.
-GRAM = 4
-
-
 def alias_seen(aliases: DataFrame, entity: str = "entity", at: str = "observed_at") -> DataFrame:
     """Per (entity, kind, value without case, family): first_seen, last_seen and the first spelling."""
     return aliases.groupBy(entity, "kind", F.lower("value").alias("alias"), "family").agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.min_by("value", at).alias("shown"))
@@ -193,36 +190,23 @@ def search(entities: DataFrame, needle: Column, k: int = 50, query: str | None =
     return best.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("rank", F.lower("display"), "entity"))).filter(F.col("place") <= k)
 
 
-def grams(text: Column, n: int = GRAM) -> Column:
-    """Distinct runs of n characters; a shorter text is one itself."""
-    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n))
-    return F.array_distinct(every)
+def searched(entity: str = "entity", alias: str = "alias", display: str = "display") -> Column:
+    """The text of a name that needles are looked for in."""
+    return F.concat_ws(" ", cells.lower(entity), cells.lower(alias), cells.lower(display))
 
 
 def search_many(entities: DataFrame, asks: DataFrame, query: str, needle: str, k: int = 50) -> DataFrame:
     """`search` for many needles at once. asks: query, needle; an empty needle finds nothing.
 
-    Whoever has a needle anywhere has all its runs of GRAM characters, so entities meet needles on one run, each needle's
-    rarest; needles shorter than that meet on themselves among the runs of their length. Ranks are told from whole texts after.
+    Entities meet needles on each needle's two rarest runs of characters (see `grams`); ranks are told from whole texts
+    after. What is shuffled are partial counts of runs and the postings of those taken. Where names stay and needles come
+    anew, `streaming.search_index` keeps postings and counts.
     """
-    whole = F.concat_ws(" ", cells.lower("entity"), cells.lower("alias"), cells.lower("display"))
-    own = asks.withColumn("_n", F.lower(needle)).filter("_n <> ''").withColumn("_size", F.least(F.length("_n"), F.lit(GRAM)))
-    runs = own.select(query, "_size", F.explode(grams(F.col("_n"))).alias("_gram"))
-    sizes = F.array(*map(F.lit, range(1, GRAM + 1)))
-    of = entities.select(F.struct("entity", "alias", "display").alias("_e"), F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda s: grams_of(whole, s))))).alias("_gram"))
-    of = of.join(runs.select("_gram").distinct(), "_gram", "left_semi")
-    counts = of.groupBy("_gram").agg(F.count(F.lit(1)).alias("_times"))
-    rare = runs.join(counts, "_gram").groupBy(query).agg(F.min(F.struct("_times", "_gram"))["_gram"].alias("_gram"), F.count_distinct("_gram").alias("_found"))
-    missing = runs.groupBy(query).agg(F.count_distinct("_gram").alias("_all"))
-    rare = rare.join(missing, query).filter("_found = _all").select(query, "_gram")  # a run that nobody has rules all out
-    met = of.join(rare, "_gram").join(own.select(query, "_n"), query).select(query, "_n", "_e.*")
-    return search(met, F.col("_n"), k, query)
-
-
-def grams_of(text: Column, n: Column | int) -> Column:
-    """Runs of exactly n characters of a text that may be shorter: then none."""
-    size = F.length(text) - n + 1
-    return F.when(size > 0, F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))
+    own = asks.select(query, F.lower(needle).alias("_n")).filter("_n <> ''")
+    of = entities.select("entity", "alias", "display", F.explode(grams.runs(searched())).alias("gram"))
+    counts = of.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    met = grams.meet(of, grams.picks(own, counts, query, "_n"), query, "entity", "alias", "display")
+    return search(met.join(own, query), F.col("_n"), k, query)
 
 
 def ambiguous(found: DataFrame) -> DataFrame:

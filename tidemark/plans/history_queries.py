@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import asof, diff, intervals, links, policy
 from ..operators import point_in_time as pit
+from ..streaming.search_index import SearchIndex
 from ..streaming.store import Store
 from . import families
 from .queries import _FD, _families, events, query, ref, table
@@ -117,6 +118,35 @@ def _fresh(name: str) -> str:
     return f"{name}-{uuid.uuid4().hex}"
 
 
+_NAMED = """c AS (SELECT c_custkey, c_nationkey AS n, c_custkey::VARCHAR AS entity, c_mktsegment || '.' || c_nationkey || '@' || c_custkey || '.example' AS alias, c_name || ' ref' || c_custkey AS display FROM customer),
+e AS (SELECT entity, alias, CASE WHEN n % 5 = 1 AND n % 10 <> 6 AND n < 20 THEN 'Now ' || display ELSE display END AS display FROM c WHERE n % 5 <> 0 OR n >= 20)"""
+
+
+@query(rf"""WITH {_NAMED}, q AS (SELECT c_custkey AS q, lower(CASE (c_custkey // 50) % 9 WHEN 0 THEN entity WHEN 1 THEN alias WHEN 2 THEN display WHEN 3 THEN left(display, 17) WHEN 4 THEN split_part(alias, '@', 1) || '@' || left(entity, 1) WHEN 5 THEN '@' || entity || '.ex' WHEN 6 THEN 'ref' || entity WHEN 7 THEN 'NOW CUSTOMER#0000' || left(entity, 2) ELSE left(entity, 2) END) AS needle FROM c WHERE c_custkey % 50 = 0),
+r AS (SELECT q, entity, display, CASE WHEN entity = needle THEN 0 WHEN lower(alias) = needle THEN 1 WHEN lower(display) = needle THEN 2 WHEN starts_with(entity, needle) THEN 3 WHEN starts_with(lower(alias), needle) THEN 4 WHEN starts_with(lower(display), needle) THEN 5
+ WHEN len(list_filter(regexp_split_to_array(lower(alias) || ' ' || lower(display), '[@._\-\s]+'), lambda t: t <> '' AND starts_with(t, needle))) > 0 THEN 6 WHEN contains(entity || ' ' || lower(alias) || ' ' || lower(display), needle) THEN 7 END AS rank FROM q, e),
+p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rank, lower(display), entity) AS place FROM r WHERE rank IS NOT NULL) SELECT q, entity, display, rank::INT AS rank, place::INT AS place FROM p WHERE place <= 50""")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search in an index that two runs kept up; a nation's customers are a file. First run: files to 19. Second: the rest comes,
+    every fifth of the first goes, every fifth beside it changes, one of which fails and keeps its names. The second is applied twice."""
+    entity, n = F.col("c_custkey").cast("string"), F.col("c_nationkey")
+    alias = F.concat("c_mktsegment", F.lit("."), n.cast("string"), F.lit("@"), entity, F.lit(".example"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", n.alias("n"), n.cast("string").alias("path"), entity.alias("entity"), alias.alias("alias"), F.concat("c_name", F.lit(" ref"), entity).alias("display"))
+    files, index = c.select("path", "n").distinct(), SearchIndex(spark, f"{shared_dir(spark)}/{_fresh('search')}")
+    n = F.col("n")
+    index.update("one", files.filter(n < 20).select("path", F.lit("new").alias("action")), c.filter(n < 20), files.limit(0).select("path", F.lit("").alias("message")))
+    action = F.when(n >= 20, "new").when(n % 5 == 0, "deleted").when(n % 5 == 1, "changed")
+    said, failed = files.select("path", action.alias("action")).filter("action is not null"), files.filter((n < 20) & (n % 10 == 6)).select("path", F.lit("unreadable").alias("message"))
+    now = c.filter((n >= 20) | (n % 5 == 1)).withColumn("display", F.when(n < 20, F.concat(F.lit("Now "), "display")).otherwise(F.col("display")))
+    for _ in range(2):
+        index.update("two", said, now, failed)
+    kind = F.floor(F.col("c_custkey") / 50) % 9
+    head = lambda size: F.substring("entity", 1, size)
+    needles = [F.col("entity"), F.col("alias"), F.col("display"), F.substring("display", 1, 17), F.concat(F.split_part("alias", F.lit("@"), F.lit(1)), F.lit("@"), head(1)), F.concat(F.lit("@"), "entity", F.lit(".ex")), F.concat(F.lit("ref"), "entity"), F.concat(F.lit("NOW CUSTOMER#0000"), head(2)), head(2)]
+    asks = c.filter("c_custkey % 50 = 0").select(F.col("c_custkey").alias("q"), F.element_at(F.array(*needles), (kind + 1).cast("int")).alias("needle"))
+    return index.search(asks, "q", "needle").select("q", "entity", "display", "rank", "place")
+
+
 # --- relationships
 
 
