@@ -203,7 +203,9 @@ def search_many(entities: DataFrame, asks: DataFrame, query: str, needle: str, k
     anew, `streaming.search_index` keeps postings and counts.
     """
     own = asks.select(query, F.lower(needle).alias("_n")).filter("_n <> ''")
-    of = entities.select("entity", "alias", "display", F.explode(grams.runs(searched())).alias("gram"))
+    # a name becomes a row for each of its characters, so names are dealt out before; both uses share that exchange
+    dealt = entities.select("entity", "alias", "display").repartition(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    of = dealt.select("entity", "alias", "display", F.explode(grams.runs(searched())).alias("gram"))
     counts = of.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     met = grams.meet(of, grams.picks(own, counts, query, "_n"), query, "entity", "alias", "display")
     return search(met.join(own, query), F.col("_n"), k, query)
