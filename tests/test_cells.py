@@ -82,3 +82,9 @@ def test_baseline_at_cutoff(spark):
     df = spark.createDataFrame([("f", datetime(2026, 7, 1)), ("f", datetime(2026, 7, 8))], "family string, captured_at timestamp")
     r = {x.period: x for x in periods.period_pairs(df, F.lit("2026-07-08 00:00:00").cast("timestamp")).collect()}
     assert r["7 days"].baseline == datetime(2026, 7, 1) and r["7 days"].reason == "ok" and r["15 days"].reason == "no_baseline"
+
+
+def test_membership_and_delegation(spark):
+    df = spark.createDataFrame([("Unified; DynamicMembership", "Error: x", " a ;b"), ("Unified", "ERROR: x", ""), (None, None, None)], "t string, f string, s string")
+    got = df.select(cells.membership_type("t"), cells.has_delegates("f", "s")).collect()
+    assert [tuple(r) for r in got] == [("Dynamic", True), ("Assigned", False), ("Assigned", False)]

@@ -112,3 +112,18 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_dir(Session())
+
+
+def test_recent_report_takes_each_pairs_key(spark):
+    """Roles between snapshots of which one lacks the stable key are told by the legacy one; documents are refused."""
+    role = "UserId string, UserPrincipalName string, RoleName string, RoleState string, AssignmentSource string, SourceGroup string, AssignmentScheduleId string, captured_at timestamp, headers array<string>, row_ix int"
+    old = ["UserId", "UserPrincipalName", "RoleName", "RoleState", "AssignmentSource", "SourceGroup"]
+    row = lambda day, state, sid: ("u", "u@x", "R", state, "Direct", "", sid, datetime(2026, 7, day), [*old, "AssignmentScheduleId"] if sid else old, 0)
+    h = spark.createDataFrame([row(1, "Active", None), row(8, "Eligible", "s"), row(9, "Active", "s")], role)
+    ask = lambda **kw: {r.period: (r.family, r.status, r.added, r.removed, r.changed) for r in families.recent_report({"Entra_Role_Assignments": h}, F.lit("2026-07-09 00:00:00").cast("timestamp"), spans={"day": 24, "week": 168}, **kw).collect()}
+    name = "Entra_Role_Assignments"
+    assert ask() == {"day": (name, "changed", 0, 0, 1), "week": (name, "unchanged", 0, 0, 0)}  # by the legacy key it is one assignment
+    part = spark.createDataFrame([(name, datetime(2026, 7, 1))], "family string, captured_at timestamp")
+    assert ask(partial=part) == {"day": (name, "changed", 0, 0, 1), "week": (name, "partial", 0, 0, 0)}
+    with pytest.raises(ValueError):
+        families.recent_report({"Intune_ConfigurationPolicies": h}, F.lit(None))

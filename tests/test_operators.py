@@ -266,3 +266,10 @@ def test_policy_reports(spark):
     assert {r.event: r.policy for r in named.collect()} == {"removed": "Old", "changed": "New"}
     d = spark.createDataFrame([("Added", "k1"), ("Removed", "k2")], "change string, key string")
     assert policy.filter_details(d, "Added", "K1").count() == 1 and policy.filter_details(d, "All", "k").count() == 2
+
+
+def test_unresolved_rows_of_a_run(spark):
+    said = spark.createDataFrame([("a", "new"), ("b", "reused"), ("c", "changed")], "path string, action string")
+    done = spark.createDataFrame([("a", True, 3), ("c", False, None)], "path string, ok boolean, unresolved long")
+    assert incremental.accounting(said, done).first().asDict() == {"discovered": 3, "parsed": 1, "reused": 1, "failed": 1, "deleted": 0, "unresolved": 3, "status": "completed_with_errors"}
+    assert incremental.accounting(said, done.filter("false")).first().unresolved == 0

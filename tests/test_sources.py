@@ -107,3 +107,21 @@ def test_stream_reads_each_file_once(spark, tmp_path):
     follow()
     follow()
     assert sorted(r.Id for r in spark.read.parquet(str(out)).collect()) == ["1", "2"]
+
+
+def test_discovery_and_filters(spark, tmp_path):
+    good = {"snapshotSchemaVersion": 1, "policyExportSchemaVersion": 4, "snapshotId": "s1", "capturedAtUtc": "2026-01-01T00:00:00Z", "inventoryRelativePath": "inventory.csv", "exportStatus": "success"}
+    for i, (name, manifest) in enumerate({"late": good | {"capturedAtUtc": "2026-02-01T00:00:00Z"}, "early": good | {"assignmentFiltersRelativePath": "own.json"}, "torn": None, "list": [], "none": good | {"capturedAtUtc": "2026-03-01T00:00:00Z"}}.items()):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "snapshot_manifest.json").write_text('{"snap' if manifest is None else json.dumps(manifest and manifest | {"snapshotId": f"s{i}"}))
+    (tmp_path / "late" / "assignment_filters.json").write_text('{"value": [{"id": "f1"}, {"id": "f2"}]}')
+    (tmp_path / "early" / "own.json").write_text('[{"id": "f3"}]')
+    (tmp_path / "early" / "assignment_filters.json").write_text('[{"id": "other"}]')
+    (tmp_path / "none" / "assignment_filters.json").write_text('{"value": "no list"}')
+    found = bundles.manifests(spark, str(tmp_path))
+    short = lambda b: b.rsplit("/", 1)[-1]
+    use, bad = bundles.discover(found)
+    assert [short(r.bundle) for r in use.select("bundle").collect()] == ["early", "late", "none"]
+    assert sorted((short(r.bundle), r.issue) for r in bad.collect()) == [("list", "manifest_invalid"), ("torn", "manifest_unreadable")]
+    got = bundles.filters(spark, str(tmp_path), found).selectExpr("bundle", "variant_get(filter, '$.id', 'string') as id").collect()
+    assert sorted((short(r.bundle), r.id) for r in got) == [("early", "f3"), ("late", "f1"), ("late", "f2")]

@@ -215,6 +215,11 @@ def group_type(unified: Column, security: Column) -> Column:
     return F.when(unified, "Microsoft 365").when(security, "Security").otherwise("Distribution")
 
 
+def membership_type(group_types: Column | str) -> Column:
+    """Of a group's types, a `;` list."""
+    return F.when(F.array_contains(tokens(group_types, True), "dynamicmembership"), "Dynamic").otherwise("Assigned")
+
+
 def retrieval_status(statuses: Column) -> Column:
     """Roll-up of an array of statuses."""
     has = lambda s: F.array_contains(statuses, s)
@@ -223,3 +228,8 @@ def retrieval_status(statuses: Column) -> Column:
 
 def delegate_count(c: Column | str) -> Column:
     return F.size(F.filter(tokens(c), lambda x: ~F.upper(x).startswith("ERROR:")))
+
+
+def has_delegates(*lists: Column | str) -> Column:
+    """Whether any list has a delegate; an error is none."""
+    return reduce(lambda a, b: a | b, [delegate_count(c) > 0 for c in lists])

@@ -249,6 +249,18 @@ def names_asof(assigned: DataFrame, groups: DataFrame, at: str = "captured_at")
     return assigned.join(used, at, "left").join(names, ["used", "group_id"], "left").withColumn("name", F.coalesce(cells.filled("display"), F.col("group_id"))).drop("display", "used")
 
 
+# How the sources of policies are named.
+SOURCE_LABELS = {"configurationPolicies": "Modern", "deviceConfigurations": "Classic", "groupPolicyConfigurations": "ADMX"}
+
+
+def compact_inventory(policies: DataFrame) -> DataFrame:
+    """policy_key, name, platform, policy_type, source, by platform, name without case, and key; nameless ones are `Unnamed policy`, unknown sources stay as they are."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    label = F.coalesce(*(F.when(F.col("source") == k, v) for k, v in SOURCE_LABELS.items()), "source")
+    rows = policies.select("policy_key", F.coalesce(F.nullif("name", F.lit("")), F.lit("Unnamed policy")).alias("name"), blank("platform").alias("platform"), blank("policy_type").alias("policy_type"), label.alias("source"))
+    return rows.orderBy("platform", F.lower("name"), "policy_key")
+
+
 def snapshot_metrics(policies: DataFrame, settings: DataFrame, assigned: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per snapshot: policies, hash-eligible ones, settings, assignments; three aggregates joined on the snapshot."""
     p = policies.groupBy(*by).agg(F.count(F.lit(1)).alias("policies"), F.count_if(F.col("hash") != "").alias("eligible"))

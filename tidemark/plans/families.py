@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells
-from ..operators import diff
+from ..operators import diff, periods
 
 
 @dataclass(frozen=True)
@@ -55,6 +55,9 @@ COMPARED_AS = {"Intune_Android_Devices_Report": "Intune_Android_Devices", "Intun
 GLOBAL_KEYS = ("UserPrincipalName", "UPN", "Id", "DeviceId", "AzureADDeviceId", "EntraDeviceId", "IntuneDeviceId", "SerialNumber", "PrimarySmtpAddress", "GroupId", "AccessPackageId")
 LEGACY_ROLE_KEY = ("UserPrincipalName", "RoleName", "RoleState", "AssignmentSource", "SourceGroup")
 POLICY_FAMILIES = ("Intune_ConfigurationPolicies",)
+_ROLES = "Entra_Role_Assignments"
+#: Behind a family's name: its rows by the legacy key.
+_LEGACY = "\u001flegacy"
 
 
 def of(family: str) -> Family | None:
@@ -71,7 +74,7 @@ def key(family: str, before: Sequence[str], after: Sequence[str]) -> Column:
     """Key expression for a pair of snapshots. Roles use their stable key only where both snapshots have it."""
     own = of(family)
     get = lambda c: cells.resolve([x for x in after if x in before], c)
-    if family == "Entra_Role_Assignments":
+    if family == _ROLES:
         both = {x.lower() for x in before} & {x.lower() for x in after}
         if not {"assignmentscheduleid", "userid"} <= both:
             return cells.key_last_optional(*map(get, LEGACY_ROLE_KEY))
@@ -135,7 +138,7 @@ def history_movement(history: DataFrame, family: str, columns: Sequence[str], he
         rows = numbered.withColumn("_says", says(family, columns, F.col(headers))).withColumn("key", row_key(family, columns, stable)).select("family", "seq", "key", "_says", order)
         return diff.movement(diff.last_row_wins(rows, ["family", "seq", "key"], order), last=last, says=F.col("_says"))
 
-    if family != "Entra_Role_Assignments":
+    if family != _ROLES:
         return counted(True).drop("family")
     has = lambda c: F.exists(headers, lambda h: F.lower(h) == c)
     flags = numbered.groupBy("seq").agg(F.bool_and(has("assignmentscheduleid") & has("userid")).alias("_has"))
@@ -144,6 +147,38 @@ def history_movement(history: DataFrame, family: str, columns: Sequence[str], he
     return both.join(pair, "seq").filter("_by = _stable").drop("family", "_by", "_stable")
 
 
+def recent_report(histories: dict[str, DataFrame], reference: Column, partial: DataFrame | None = None, spans: dict[str, int] | None = None, headers: str = "headers", at: str = "captured_at", order: str = "row_ix") -> DataFrame:
+    """The recent-changes report of several families, each under its own rules, in one plan: family, period, status, reason, added, removed, changed, place.
+
+    histories: by family, rows of all its snapshots with the union of their columns, each snapshot's headers as an array,
+    and file order. Blank keys drop out, the last of equal keys wins, only columns that both snapshots have are compared.
+    Roles are keyed by their stable key in pairs that both have it, else by the legacy one: their rows come under both
+    schemes, as two families of which each pair takes one. partial: (family, captured_at) of snapshots that were not wholly
+    retrieved. Families of documents are not compared by rows, so they are refused.
+    """
+    if told := [f for f in histories if f in POLICY_FAMILIES]:
+        raise ValueError(f"{told[0]} is compared by its documents")
+    has = lambda c: F.exists(headers, lambda h: F.lower(h) == c)
+    rows = snaps = None
+    for family, h in histories.items():
+        columns = [c for c in h.columns if c not in (headers, at, order)]
+        for stable in (True, False) if family == _ROLES else (True,):
+            name = F.lit(family if stable else family + _LEGACY).alias("family")
+            own = h.select(name, at, row_key(family, columns, stable).alias("key"), says(family, columns, F.col(headers)).alias("_says"), order)
+            rows = own if rows is None else rows.unionByName(own)
+        seen = h.groupBy(F.lit(family).alias("family"), at).agg(F.bool_and(has("assignmentscheduleid") & has("userid") | F.lit(family != _ROLES)).alias("_stable"))
+        snaps = seen if snaps is None else snaps.unionByName(seen)
+    pairs = periods.period_pairs(snaps, reference, spans, at=at)
+    for side in ("latest", "baseline"):
+        pairs = pairs.join(snaps.select("family", F.col(at).alias(side), F.col("_stable").alias(f"_{side}")), ["family", side], "left")
+    both = F.coalesce("_latest", F.lit(True)) & F.coalesce("_baseline", F.lit(True))
+    pairs = pairs.withColumn("family", F.when(both, F.col("family")).otherwise(F.concat("family", F.lit(_LEGACY)))).drop("_latest", "_baseline")
+    if partial is not None:
+        partial = partial.select(F.explode(F.array("family", F.concat("family", F.lit(_LEGACY)))).alias("family"), at)
+    found = periods.period_changes(diff.last_row_wins(rows, ["family", at, "key"], order), pairs, at=at, says=F.col("_says"), partial=partial)
+    return periods.report_order(found.withColumn("family", F.regexp_replace("family", _LEGACY + "$", "")))
+
+
 def compare(before: DataFrame, after: DataFrame, family: str, order: str = "row_ix") -> DataFrame:
     """pair_diff under the family's rules. Policy families have no row differences: their documents are compared."""
     if family in POLICY_FAMILIES:

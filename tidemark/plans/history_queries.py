@@ -10,7 +10,7 @@ from ..operators import point_in_time as pit
 from ..streaming.search_index import SearchIndex
 from ..streaming.store import Store
 from . import families
-from .queries import _FD, _families, events, query, ref, table
+from .queries import _FD, REFERENCE, _families, events, query, ref, table
 from .storage import shared_dir
 
 
@@ -147,6 +147,33 @@ def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(asks, "q", "needle").select("q", "entity", "display", "rank", "place")
 
 
+# --- recent changes under rules
+
+
+@query(f"""WITH w AS (SELECT date_trunc('day', ts) + INTERVAL 1 DAY AS t, * FROM events), n AS (SELECT t, user_id AS u, event_type AS r, count(*) > 1 AS active FROM w GROUP BY 1, 2, 3), m AS (SELECT t, user_id AS u, count(*) % 3 AS v FROM w GROUP BY 1, 2),
+p AS (SELECT * FROM (VALUES ('24 hours', 24), ('48 hours', 48), ('3 days', 72), ('7 days', 168), ('15 days', 360), ('30 days', 720)) x(period, hours)), sn AS (SELECT DISTINCT t FROM w),
+pp AS (SELECT period, max(t) AS latest, max(t) FILTER (t <= TIMESTAMP '{REFERENCE}' - hours * INTERVAL 1 HOUR) AS base, count(*) AS n, any_value(TIMESTAMP '{REFERENCE}' - hours * INTERVAL 1 HOUR) AS cut FROM sn, p GROUP BY 1),
+pr AS (SELECT *, CASE WHEN n < 2 THEN 'single' WHEN latest <= cut THEN 'stale' WHEN base IS NULL THEN 'no_baseline' ELSE 'ok' END AS reason, base >= TIMESTAMP '2024-01-22' AND latest >= TIMESTAMP '2024-01-22' AS stable FROM pp),
+rk AS (SELECT 'Entra_Role_Assignments' AS family, period, u || r || CASE WHEN stable THEN '' ELSE active::VARCHAR END AS k, active::INT AS v, t = latest AS a FROM n JOIN pr ON reason = 'ok' AND t IN (latest, base)
+UNION ALL SELECT 'Exchange_SharedMailboxes', period, u::VARCHAR, v, t = latest FROM m JOIN pr ON reason = 'ok' AND t IN (latest, base)),
+k AS (SELECT family, period, k, max(v) FILTER (a) AS a, max(v) FILTER (NOT a) AS b FROM rk GROUP BY 1, 2, 3), c AS (SELECT family, period, count(*) FILTER (b IS NULL) AS added, count(*) FILTER (a IS NULL) AS removed, count(*) FILTER (a <> b) AS changed FROM k GROUP BY 1, 2),
+o AS (SELECT f.family, pr.*, coalesce(added, 0) AS added, coalesce(removed, 0) AS removed, coalesce(changed, 0) AS changed, f.family = 'Exchange_SharedMailboxes' AND (day(latest) % 4 = 0 OR day(base) % 4 = 0) AS part FROM pr CROSS JOIN (VALUES ('Entra_Role_Assignments'), ('Exchange_SharedMailboxes')) f(family) LEFT JOIN c ON c.family = f.family AND c.period = pr.period),
+z AS (SELECT *, CASE WHEN reason <> 'ok' THEN 'no_data' WHEN part THEN 'partial' WHEN added + removed + changed > 0 THEN 'changed' ELSE 'unchanged' END AS status FROM o)
+SELECT family, period, status, reason, added, removed, changed, row_number() OVER (PARTITION BY period ORDER BY CASE status WHEN 'changed' THEN 0 WHEN 'partial' THEN 1 WHEN 'unchanged' THEN 2 ELSE 3 END, family)::INT AS place FROM z""")
+def recent_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles, whose snapshots have their stable key from the 22nd on, and mailboxes, some of whose snapshots are partial."""
+    e, user = events(spark, sf_dir), F.col("user_id").cast("string")
+    since = F.col("captured_at") >= F.lit("2024-01-22").cast("timestamp")
+    roles = e.groupBy("captured_at", user.alias("UserId"), F.col("event_type").alias("RoleName")).agg(F.when(F.count(F.lit(1)) > 1, "Active").otherwise("Eligible").alias("RoleState"))
+    old = ["UserId", "UserPrincipalName", "RoleName", "RoleState", "AssignmentSource", "SourceGroup", "DisplayName"]
+    names = {"UserPrincipalName": F.concat(F.lit("u"), "UserId"), "AssignmentSource": F.lit("Direct"), "SourceGroup": F.lit(""), "DisplayName": F.date_format("captured_at", "dd"), "AssignmentScheduleId": F.when(since, F.concat(F.lit("a"), "RoleName")), "row_ix": F.lit(0)}
+    roles = roles.withColumns(names).withColumn("headers", F.when(since, F.array(*map(F.lit, [*old, "AssignmentScheduleId"]))).otherwise(F.array(*map(F.lit, old))))
+    boxes = e.groupBy("captured_at", user.alias("ExternalDirectoryObjectId")).agg((F.count(F.lit(1)) % 3).cast("string").alias("SendOnBehalfDelegates"), F.count(F.lit(1)).cast("string").alias("SendOnBehalfDelegatesCount"))
+    boxes = boxes.withColumns({"headers": F.array(*(F.lit(c) for c in boxes.columns[1:])), "row_ix": F.lit(0)})
+    partial = boxes.filter("dayofmonth(captured_at) % 4 = 0").select(F.lit("Exchange_SharedMailboxes").alias("family"), "captured_at")
+    return families.recent_report({"Entra_Role_Assignments": roles, "Exchange_SharedMailboxes": boxes}, ref(), partial)
+
+
 # --- relationships
 
 
@@ -178,6 +205,15 @@ def policy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.metrics_by_grain(p, rows, rows.filter("l_linenumber = 1"), ["year"])
 
 
+@query("""SELECT o_orderkey::VARCHAR AS policy_key, CASE WHEN o_orderkey % 4 = 0 THEN 'Unnamed policy' ELSE o_orderstatus || o_orderpriority END AS name, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END AS platform, o_orderpriority AS policy_type,
+CASE o_orderkey % 3 WHEN 0 THEN 'Modern' WHEN 1 THEN 'Classic' ELSE o_orderpriority END AS source FROM orders""")
+def compact_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    source = F.when(k % 3 == 0, "configurationPolicies").when(k % 3 == 1, "deviceConfigurations").otherwise(F.col("o_orderpriority"))
+    name, platform = F.when(k % 4 != 0, F.concat("o_orderstatus", "o_orderpriority")).otherwise(F.when(k % 8 == 0, "")), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))
+    return policy.compact_inventory(table(spark, sf_dir, "orders").select(k.cast("string").alias("policy_key"), name.alias("name"), platform.alias("platform"), F.col("o_orderpriority").alias("policy_type"), source.alias("source")))
+
+
 @query("""WITH s AS (SELECT l_returnflag AS bundle, l_linestatus AS kind, 'd' || l_suppkey % 50 AS d, l_linenumber AS depth, l_suppkey % 50 < 40 AS known FROM lineitem)
 SELECT bundle, CASE WHEN grouping(kind) = 1 THEN 'total' ELSE 'kind' END AS level, kind, count(*) AS nodes, max(depth)::INT AS max_depth, count(DISTINCT d) AS definitions, count(DISTINCT d) FILTER (NOT known) AS missing_definitions, round(100.0 * count(*) FILTER (known) / count(*), 1) AS definition_coverage FROM s GROUP BY GROUPING SETS ((bundle), (bundle, kind))""")
 def bundle_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,11 +14,11 @@ def _whole(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:
-    """bundle, snapshot_id, captured_at, export_status, inventory, issues of every bundle below root."""
+    """bundle, snapshot_id, captured_at, export_status, inventory, issues of every bundle below root; one that is no JSON, or no object, has that issue alone."""
     raw = _whole(spark, f"{root}/*/snapshot_manifest.json").withColumn("v", F.try_parse_json("value"))
     g = lambda p, t="string": policy.get("v", p, t)
     out = raw.select(F.regexp_replace("path", "/[^/]*$", "").alias("bundle"), g("$.snapshotId").alias("snapshot_id"), g("$.capturedAtUtc").alias("captured_text"), g("$.exportStatus").alias("export_status"), g("$.inventoryRelativePath").alias("inventory"), g("$.snapshotSchemaVersion", "int").alias("sv"), g("$.policyExportSchemaVersion", "int").alias("ev"), "v")
-    issues = policy.manifest_issues(F.col("sv"), F.col("ev"), F.col("snapshot_id"), F.col("captured_text"), F.col("inventory"))
+    issues = F.when(F.col("v").isNull(), F.array(F.lit("manifest_unreadable"))).when(~F.schema_of_variant("v").startswith("OBJECT"), F.array(F.lit("manifest_invalid"))).otherwise(policy.manifest_issues(F.col("sv"), F.col("ev"), F.col("snapshot_id"), F.col("captured_text"), F.col("inventory")))
     return out.withColumn("issues", issues).withColumn("captured_at", cells.timestamp("captured_text")).drop("sv", "ev")
 
 
@@ -41,6 +41,24 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("bundle", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
 
 
+def discover(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Manifests as (bundles to use, by captured text and id; bundle and issue of the others, one row an issue)."""
+    good = found.filter(F.size("issues") == 0).orderBy("captured_text", "snapshot_id")
+    return good, found.select("bundle", F.explode("issues").alias("issue"))
+
+
+def filters(spark: SparkSession, root: str, found: DataFrame) -> DataFrame:
+    """bundle, filter (VARIANT) of the assignment filters of every bundle: the members of its file's list, or of the list under `value`.
+
+    The file lies beside the manifest, which may name it. A bundle without the file, or with one that holds no list, has none.
+    """
+    name = F.coalesce(cells.filled(policy.get("v", "$.assignmentFiltersRelativePath")), F.lit("assignment_filters.json"))
+    raw = _whole(spark, f"{root}/*/*.json").select(F.regexp_replace("path", "/[^/]*$", "").alias("bundle"), F.element_at(F.split("path", "/"), -1).alias("name"), F.try_parse_json("value").alias("f"))
+    own = raw.join(found.select("bundle", name.alias("name")), ["bundle", "name"])
+    own = own.select("bundle", F.when(F.schema_of_variant("f").startswith("ARRAY"), F.col("f")).otherwise(policy.get("f", "$.value", "variant")).alias("l")).filter(F.schema_of_variant("l").startswith("ARRAY"))
+    return own.lateralJoin(spark.tvf.variant_explode(F.col("l").outer()).select(F.col("value").alias("filter"))).select("bundle", "filter")
+
+
 def load(spark: SparkSession, root: str) -> DataFrame:
     """Inventory rows with their documents; rows without a path or a document drop out (contract_issues names them)."""
     own = inventory(spark, root).withColumn("path", cells.filled("JsonRelativePath")).filter("path is not null")

@@ -46,10 +46,11 @@ def orphans(entities: DataFrame, occurrences: DataFrame, entity: str = "entity")
 
 
 def accounting(classified: DataFrame, outcomes: DataFrame, key: str = "path") -> DataFrame:
-    """discovered, parsed, reused, failed, deleted and the run's status."""
-    j = classified.join(outcomes.select(key, "ok"), key, "left")
+    """discovered, parsed, reused, failed, deleted and the run's status; with a column `unresolved` in outcomes, rows without an entity, their sum."""
+    counts = [c for c in ("unresolved",) if c in outcomes.columns]
+    j = classified.join(outcomes.select(key, "ok", *counts), key, "left")
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    out = j.agg(n(F.col("action") != "deleted").alias("discovered"), n(F.col("ok")).alias("parsed"), n(F.col("action") == "reused").alias("reused"), n(~F.col("ok")).alias("failed"), n(F.col("action") == "deleted").alias("deleted"))
+    out = j.agg(n(F.col("action") != "deleted").alias("discovered"), n(F.col("ok")).alias("parsed"), n(F.col("action") == "reused").alias("reused"), n(~F.col("ok")).alias("failed"), n(F.col("action") == "deleted").alias("deleted"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts))
     return out.withColumn("status", F.when(F.col("failed") > 0, "completed_with_errors").otherwise("completed"))
 
 
