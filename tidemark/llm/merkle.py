@@ -148,10 +148,14 @@ def against_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = F.when(F.col("doc_id").isNull(), F.lit(2 * parts + 2)).otherwise(2 * above + repeated.cast("int"))
     rows = rows.withColumn("part", (place * ID_PARTS + sub).cast("int"))
 
-    heads = rows.groupBy("part").agg(F.max(F.struct("doc_id", "hash", "text")).alias("head"))
+    # the head of a part is its greatest (id, hash); only the texts of those few rows are moved to be heads.
+    # There is a row for each part, and parts are bounded by the partitions whatever the rows, so they are broadcast
+    first = rows.groupBy("part").agg(F.max(F.struct("doc_id", "hash")).alias("first")).select("part", F.col("first.doc_id").alias("first_id"), F.col("first.hash").alias("first_hash"))
+    met = rows.join(F.broadcast(first), "part").filter(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")))
+    heads = met.groupBy("part").agg(F.max("text").alias("text"))
     every = Window.orderBy("part")  # a row for each part
     last = F.max("part").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.select(F.coalesce(F.lag("part").over(every), last).alias("part"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("hash"), "head.text", F.lit(True).alias("behind"))
+    heads = heads.select(F.coalesce(F.lag("part").over(every), last).alias("part"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("hash"), "text", F.lit(True).alias("behind"))
     both = rows.select("part", "doc_id", "hash", "text", F.lit(False).alias("behind")).unionByName(heads).repartition(n, "part")
     ordered = both.sortWithinPartitions("part", "behind", F.col("doc_id").desc_nulls_last(), F.col("hash").desc(), F.col("text").desc()).select("doc_id", "text", "behind")
 
