@@ -533,6 +533,33 @@ def test_pieces_query_against_enumeration(spark, vocab, tmp_path):
         assert all(a.value >= b.value for a, b in zip(own, own[1:], strict=False)) and (len(law) > 2 or all(r.inclusion == 1 for r in own))
 
 
+def test_pieces_query_gives_ids_and_decodes_them(spark, docs, tmp_path, monkeypatch):
+    """Every sample has its ids, which the library decodes to the text; the round trip is that of the text decoded from them."""
+    import sentencepiece
+
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    sp, plain = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model")), collections.defaultdict(set)
+    for r in docs.collect():
+        plain[r.doc_id].add((r.text or "").replace("▁", " "))
+    got = queries.op8_sentencepiece(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(plain)
+    for r in got:
+        text = sp.decode(r.ids)
+        assert text in plain[r.doc_id] and r.round_trip and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert len(r.ids) == r.n_pieces and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+    decode = pieces.decode
+    monkeypatch.setattr(pieces, "decode", lambda *a, **k: decode(*a, **k).withColumn("_text", F.concat("_text", F.lit("x"))))
+    assert not any(r.round_trip for r in queries.op8_sentencepiece(spark, str(tmp_path)).collect())
+
+
+def test_decoding_puts_unknown_ids_where_they_stand(spark, vocab):
+    the, a = (vocab.text.index(t) for t in ("▁the", "▁a"))
+    rows = spark.createDataFrame([(1, [the, len(vocab.text), a]), (2, None), (3, [-1, None, the]), (4, []), (5, [a])], "doc_id long, ids array<int>")
+    got = {r.doc_id: r for r in pieces.decode(rows, P.path("piece_bpe_32k.model"), keep=("doc_id", "ids")).collect()}
+    assert {i: r.text for i, r in got.items()} == {1: "the� a", 2: None, 3: "�� the", 4: "", 5: "a"}
+    assert {i: r.ids for i, r in got.items()} == {r.doc_id: r.ids for r in rows.collect()}
+
+
 def test_units_never_cut_a_piece(vocab):
     for t, k in zip(vocab.text, vocab.kind, strict=True):
         if k == "piece":

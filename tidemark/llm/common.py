@@ -85,7 +85,7 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 
 def map_rows(df: DataFrame, make, schema: str, begin=None) -> DataFrame:
-    """mapInArrow with make(columns: dict of lists) -> dict of lists or arrays, once a batch.
+    """mapInArrow with make(columns: dict of lists) -> dict of lists, arrays or Arrow arrays of the column's type, once a batch.
 
     begin: makes what a task keeps between its batches, which make gets as a second argument; it goes with the task.
     """
@@ -96,7 +96,7 @@ def map_rows(df: DataFrame, make, schema: str, begin=None) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 made = make({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}, *kept)
-                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x := made[f.name], pa.Array) else pa.array(x, type=f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 

@@ -21,10 +21,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbered, bound_batches, longer, map_rows
+from .common import Numbered, arrow_schema, bound_batches, longer, map_rows
 
 K, SEED = 2, 42
 #: Characters of the texts whose lattices are held at once; a longer text is held alone.
@@ -67,8 +69,7 @@ class Vocabulary:
         self.raw = [bytes([int(t[3:5], 16)]) if k == "byte" else t.encode() for t, k in zip(self.text, self.kind, strict=True)]
         self.unknown = told.trainer_spec.unk_id
         self.byte_id = np.array([self.byte_ids.get(b, self.unknown) for b in range(256)], np.int64)
-        self.raw_size = np.array([len(r) for r in self.raw], np.int64)
-        self.raw_begin, self.raw_bytes = np.cumsum(self.raw_size) - self.raw_size, np.frombuffer(b"".join(self.raw), np.uint8)
+        self.spellings = pa.array([*self.raw, "�".encode()], pa.large_binary())  # the last one is that of ids outside
         own = np.array([p.score for p in told.pieces])
         if told.trainer_spec.model_type == told.trainer_spec.UNIGRAM:
             self.logp, self.byte_logp = own, float(own[[k == "piece" for k in self.kind]].min()) - 2.0
@@ -108,9 +109,16 @@ class Vocabulary:
         """Spaces as ▁ and one in front, as these models take text."""
         return ("▁" if self.prefix else "") + text.replace(" ", "▁") if text else ""
 
-    def decode(self, ids: np.ndarray | list[int]) -> str:
-        """The text of pieces: byte pieces as UTF-8 (bad bytes replaced), ▁ as space, without the one in front."""
-        out = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace("▁", " ")
+    def spell(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(bytes of all pieces back to back, where each begins, and their end); an id outside the vocabulary is spelled �."""
+        if not len(ids):
+            return b"", np.zeros(1, np.int64)
+        own = self.spellings.take(pa.array(np.where((ids >= 0) & (ids < len(self.raw)), ids, len(self.raw))))
+        return own.buffers()[2].to_pybytes(), np.frombuffer(own.buffers()[1], np.int64)[: len(ids) + 1]
+
+    def read(self, spelled: bytes) -> str:
+        """The text that pieces spell: UTF-8 (bad bytes replaced), ▁ as space, without the one in front."""
+        out = spelled.decode("utf-8", "replace").replace("▁", " ")
         return out[1:] if self.prefix and out[:1] == " " else out
 
 
@@ -350,7 +358,8 @@ def sample_batch(texts: list[str], keys: list[int], v: Vocabulary, k: int = K, h
             path, of_unit = paths[d][source]
             n = int(la.node[path[step]])
             choice = np.arange(la.first_edge[n], la.first_edge[n + 1])
-            choice = choice[~np.isin(choice, gone)]
+            for x in gone:
+                choice = choice[choice != x]
             c = np.cumsum(np.exp(la.log_prob[choice]))
             u = float(_uniform(key[d : d + 1], np.array([((r + 2) << 56) | (3 << 54) | step], np.uint64))[0])
             x = int(choice[min(int(np.searchsorted(c, u * c[-1])), len(choice) - 1)])
@@ -444,55 +453,85 @@ def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def encode(docs: DataFrame, model: str, k: int = K, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+#: What encode tells of every sample, without ids and what is kept.
+SAMPLE = "doc_id long, sample int, n_pieces long, log_prob double, value double, inclusion double, ids_crc32 long, round_trip boolean"
+_NAMES = tuple(c.split()[0] for c in SAMPLE.split(", "))
+
+
+def _types(df: DataFrame, names: tuple[str, ...]) -> str:
+    return "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in (df.select(*names).schema if names else ()))
+
+
+def encode(docs: DataFrame, model: str, k: int = K, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """k distinct segmentations of every text: doc_id, sample (from 1, largest perturbed value first), n_pieces, log_prob
     (given the text), value (perturbed), inclusion (probability to be among the k, given the threshold), ids_crc32 (of the
-    ids as little-endian unsigned 32-bit integers), round_trip (the ids decode to the text) and, if with_ids, ids.
+    ids as little-endian unsigned 32-bit integers), round_trip (the ids decode to the text), if with_ids ids, and the
+    columns to keep.
 
     model: path of a SentencePiece model that exists on every executor. A null or empty text has one sample without
     pieces; a text with fewer segmentations than k has fewer samples, each with inclusion 1. Repeated rows have equal
     samples, as the id seeds them. A literal ▁ reads as a space, which these models cannot tell apart. No rows, no rows.
     """
     bound_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *keep)
 
-    def part(names: list, plain: list[str], v: Vocabulary, held: Held) -> tuple[list[tuple], list[np.ndarray]]:
+    def part(names: list, plain: list[str], v: Vocabulary, held: Held) -> tuple[list[tuple], np.ndarray, list[int]]:
         texts = [v.normalised(t) for t in plain]
         la, found = sample_batch(texts, [_row_key(i, seed) for i in names], v, k, held)
         every = [(d, n, s) for d, own in enumerate(found) for n, s in enumerate(own or [Sample(np.zeros(0, np.int32), 0.0, 0.0)], 1)]
         edges = np.concatenate([s.edges for *_, s in every])
         ids, sizes = ids_of(la, edges, np.array([len(s.edges) for *_, s in every], np.int64), v)
-        size = v.raw_size[ids]
-        upto = np.concatenate(([0], np.cumsum(size)))
-        spelled = v.raw_bytes[np.repeat(v.raw_begin[ids] - upto[:-1], size) + np.arange(int(upto[-1]))].tobytes()
+        spelled, upto = v.spell(ids)
         ends = np.cumsum(sizes)
-        begin, little, rows, own_ids = ends - sizes, ids.astype("<u4"), [], []
+        begin, little, rows = ends - sizes, ids.astype("<u4"), []
+        want = [t.encode("utf-8", "surrogatepass") for t in texts]
         for (d, n, s), x, y in zip(every, begin.tolist(), ends.tolist(), strict=True):
-            same = spelled[upto[x] : upto[y]] == texts[d].encode("utf-8", "surrogatepass") or v.decode(ids[x:y].tolist()) == plain[d].replace("▁", " ")
+            told = spelled[upto[x] : upto[y]]
+            same = told == want[d] or v.read(told) == plain[d].replace("▁", " ")
             rows.append((names[d], n, y - x, s.log_prob, s.value, s.inclusion, zlib.crc32(little[x:y]), same))
-            own_ids.append(ids[x:y])
-        return rows, own_ids
+        return rows, little, [d for d, *_ in every]
 
     def make(c: dict, held: Held) -> dict:
-        v, rows, ids = vocabulary(model), [], []
+        v, rows, ids, of = vocabulary(model), [], [], []
         for x, y in _parts(c["text"]):
-            more, own = part(c["doc_id"][x:y], c["text"][x:y], v, held)
+            more, own, whose = part(c["doc_id"][x:y], c["text"][x:y], v, held)
             rows += more
-            ids += own if with_ids else []
-        names = ("doc_id", "sample", "n_pieces", "log_prob", "value", "inclusion", "ids_crc32", "round_trip")
-        return dict(zip(names, zip(*rows, strict=True), strict=True)) | {"ids": ids}
+            ids.append(own)
+            of += [x + d for d in whose]
+        out = dict(zip(_NAMES, zip(*rows, strict=True), strict=True)) | {n: [c[n][d] for d in of] for n in keep}
+        if with_ids:
+            ends = np.cumsum(np.array([0, *out["n_pieces"]]))
+            out["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).view("<i4")))
+        return out
 
-    return map_rows(own, make, "doc_id long, sample int, n_pieces long, log_prob double, value double, inclusion double, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids, lambda: Held(vocabulary(model)))
+    return map_rows(own, make, SAMPLE + ", ids array<int>" * with_ids + _types(docs, keep), lambda: Held(vocabulary(model)))
 
 
 def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "text", keep: tuple[str, ...] = ("doc_id", "sample")) -> DataFrame:
-    """keep and the text of each row's ids; null ids give a null text, ids outside the vocabulary a replacement character."""
+    """keep and the text of each row's ids; null ids give a null text, ids outside the vocabulary a replacement character
+    where they stand."""
     bound_batches(rows.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + f", `{out_col}` string"
+    schema = f"{_types(rows, keep)}, `{out_col}` string".lstrip(", ")
+    out, read = arrow_schema(schema), tuple(dict.fromkeys((*keep, ids_col)))
 
-    def make(c: dict) -> dict:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        known = lambda ids: [i for i in ids if i is not None and 0 <= i < len(v.text)]
-        return {n: c[n] for n in keep} | {out_col: [None if x is None else v.decode(known(x)) + "�" * (len(x) - len(known(x))) for x in c[ids_col]]}
-
-    return map_rows(rows.select(*keep, ids_col), make, schema)
+        for b in batches:
+            if b.num_rows:
+                own = b.column(read.index(ids_col))
+                spelled, upto = v.spell(pc.fill_null(own.flatten().cast(pa.int64()), -1).to_numpy(zero_copy_only=False))
+                cuts = upto[np.cumsum([0, *pc.fill_null(pc.list_value_length(own), 0).to_pylist()])].tolist()
+                texts = [v.read(spelled[x:y]) if there else None for x, y, there in zip(cuts, cuts[1:], own.is_valid().to_pylist(), strict=False)]
+                kept = [b.column(i).cast(f.type) for i, f in enumerate(list(out)[:-1])]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], schema=out)
+
+    return rows.select(*read).mapInArrow(run, schema)
+
+
+def round_trips(docs: DataFrame, model: str, k: int = K, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode's rows with their ids, decoded anew from these: decoded_sha256 is the lower-case hex SHA-256 of the decoded
+    text in UTF-8, and round_trip also tells whether it is that of the document's text (null: empty; a literal ▁: a space)."""
+    plain = F.replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("▁"), F.lit(" "))
+    coded = encode(docs.select(id_col, text_col, F.sha2(plain, 256).alias("_sha256")), model, k, seed, id_col, text_col, keep=("_sha256",))
+    told = decode(coded, model, out_col="_text", keep=(*_NAMES, "ids", "_sha256")).withColumn("decoded_sha256", F.sha2("_text", 256))
+    return told.withColumn("round_trip", F.col("round_trip") & (F.col("decoded_sha256") == F.col("_sha256"))).drop("_sha256", "_text")
