@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.plans import card_queries, history_queries, more_queries, record_queries  # noqa: F401
@@ -39,3 +40,16 @@ def test_query_against_sql(spark, sf, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_recent_rules_rounds_halves_as_sql(spark, tmp_path):
+    """Values that end in a half go to the even number, as SQL casts them."""
+    import duckdb
+
+    rows = [(i, f"2024-01-{d:02d} 10:00:00", 1, "click", v, "{}") for i, (d, v) in enumerate([(2, 2.0), (2, 1.0), (29, 2.5), (29, 1.0)])]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    df = Q.QUERIES["recent_rules"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"set TimeZone = 'UTC'; create view events as select * replace (ts::TIMESTAMP AS ts) from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"select {', '.join(df.columns)} from ({Q.ORACLES['recent_rules']})").fetchall()
+    assert canonical([tuple(r) for r in df.collect()]) == canonical(want) and "unchanged" in {r.status for r in df.collect()}

@@ -288,7 +288,7 @@ def recent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Period changes of several families, each under its own rules; pairs with a partly retrieved snapshot are partial."""
     n = F.count(F.lit(1))
     h = events(spark, sf_dir).groupBy(F.col("event_type").alias("family"), "captured_at", F.col("user_id").cast("string").alias("key")).agg(
-        F.array_join(F.shuffle(F.collect_list((F.expr("round(value)").cast("int") % 3).cast("string")), F.lit(7)), ";").alias("SendOnBehalfDelegates"), (n % 3).alias("Model"), n.alias("FreeStorageGB"))
+        F.array_join(F.shuffle(F.collect_list((F.rint("value").cast("int") % 3).cast("string")), F.lit(7)), ";").alias("SendOnBehalfDelegates"), (n % 3).alias("Model"), n.alias("FreeStorageGB"))
     says = F.when(F.col("family") == "click", families.says("Exchange_SharedMailboxes", ["SendOnBehalfDelegates"])).when(F.col("family") == "view", families.says("Intune_iOS_Devices", ["Model", "FreeStorageGB"])).otherwise(families.says("", ["FreeStorageGB"]))
     snaps = h.select("family", "captured_at").distinct()
     found = periods.period_changes(h, periods.period_pairs(snaps, ref()), says=says, partial=snaps.filter("family = 'signup' and dayofmonth(captured_at) % 4 = 0"))
