@@ -159,6 +159,14 @@ def test_deep_trees_and_nulls(spark):
     assert whole["$.l"] == '[1,{"x":2}]' and "$.l[0]" not in whole
 
 
+def test_tied_components_are_taken_alike_on_both_sides(spark):
+    """Of rows with one position, both sides take the same, in whatever order they come."""
+    side = lambda values: spark.createDataFrame([("p", "setting", "c", v, 1, True) for v in values], "policy_key string, component_type string, component_key string, value string, position int, trusted boolean").coalesce(1)
+    modified = spark.createDataFrame([("p",)], "policy_key string")
+    assert policy.component_events(side(["x", "y"]), side(["y", "x"]), modified).count() == 0
+    assert policy.component_events(side(["x", "y"]), side(["x", "z"]), modified).first().after == "z"
+
+
 def test_metrics_at_several_grains(spark):
     p = spark.createDataFrame([("y", "a", "s1", "t1", "h"), ("y", "b", "s1", None, ""), ("y", "c", "s2", "t1", None)], "snap string, policy_key string, source string, type string, hash string")
     n = spark.createDataFrame([("y", "a"), ("y", "a"), ("y", "c"), ("y", "unknown")], "snap string, policy_key string")

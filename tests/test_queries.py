@@ -42,6 +42,14 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_component_events_takes_tied_lines_alike(spark, tmp_path):
+    """Rows of a line that have one part are a tie that the SQL leaves open: what it says of both sides is the same whichever it takes."""
+    rows = [(1, 1, 7, "R", 5.0), *((1, 3, 7, "R", q) for q in (9.0, 10.0)), (2, 5, 7, "R", 5.0), *((2, 2, 7, "R", q) for q in (10.0, 9.0))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_quantity double").repartition(4, "l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(map(tuple, Q.QUERIES["component_events"](spark, str(tmp_path)).collect()))
+    assert got == [(1, "1", "removed"), (2, "2", "changed"), (2, "5", "added")]
+
+
 def test_recent_rules_rounds_halves_as_sql(spark, tmp_path):
     """Values that end in a half go to the even number, as SQL casts them."""
     import duckdb

@@ -175,9 +175,9 @@ def policy_diff(before: DataFrame, after: DataFrame, before_status: DataFrame, a
 
 def component_events(before: DataFrame, after: DataFrame, modified: DataFrame, key: str = "policy_key") -> DataFrame:
     """Events of all component kinds in one full outer join by (key, component_type, component_key); tables have value and
-    trusted. Kinds are compared only where both sides are trusted; of repeated components the last (by position) wins."""
+    trusted. Kinds are compared only where both sides are trusted; of repeated components the last (by position, then value) wins."""
     by = [key, "component_type", "component_key"]
-    last = lambda df, s: df.join(modified.select(key), key, "left_semi").groupBy(*by).agg(F.max_by("value", "position").alias(s))
+    last = lambda df, s: df.join(modified.select(key), key, "left_semi").groupBy(*by).agg(F.max_by("value", F.struct("position", "value")).alias(s))
     untrusted = before.unionByName(after).filter(~F.col("trusted")).select(key, "component_type").distinct()
     both = last(before, "before").join(last(after, "after"), by, "full_outer").join(untrusted, [key, "component_type"], "left_anti")
     event = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") != F.col("after"), "changed")

@@ -130,11 +130,12 @@ hb AS (SELECT policy_key, list_sort(list((k, v))) AS h FROM b GROUP BY 1), ha AS
 j AS (SELECT coalesce(a.policy_key, b.policy_key) AS policy_key, coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed' WHEN a.v <> b.v THEN 'changed' END AS event FROM a FULL JOIN b ON a.policy_key = b.policy_key AND a.k = b.k)
 SELECT policy_key, k::VARCHAR AS component_key, event FROM j SEMI JOIN m USING (policy_key) WHERE event IS NOT NULL AND k <> 6""")
 def component_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a line's rows that have one part, both sides take that of the greater quantity: the SQL leaves it open which."""
     li = table(spark, sf_dir, "lineitem")
     kind = F.when(F.col("l_linenumber") == 6, "assignment").otherwise("setting")
 
     def side(rows: DataFrame, v) -> DataFrame:
-        return rows.select(F.col("l_orderkey").alias("policy_key"), kind.alias("component_type"), F.col("l_linenumber").cast("string").alias("component_key"), v.cast("string").alias("value"), F.col("l_partkey").alias("position"), (F.col("l_linenumber") != 6).alias("trusted"))
+        return rows.select(F.col("l_orderkey").alias("policy_key"), kind.alias("component_type"), F.col("l_linenumber").cast("string").alias("component_key"), v.cast("string").alias("value"), F.struct("l_partkey", "l_quantity").alias("position"), (F.col("l_linenumber") != 6).alias("trusted"))
 
     def hashed(rows: DataFrame) -> DataFrame:
         one = rows.groupBy("policy_key", "component_key").agg(F.max_by("value", "position").alias("value"))
