@@ -159,6 +159,19 @@ def test_deep_trees_and_nulls(spark):
     assert whole["$.l"] == '[1,{"x":2}]' and "$.l[0]" not in whole
 
 
+def test_links_move_owners_of_shared_aliases_only_where_they_are_read(spark):
+    """An alias that many own is told by its least and greatest owner; candidates have all of them."""
+    at, seen = D(2026, 1, 2), D(2026, 1, 1)
+    devices = spark.createDataFrame([("d1", at, None, "u1", "all@x.org"), ("d2", at, "2", None, "all@x.org"), ("d3", at, None, "u3", None), ("d4", at, None, "none", None), ("d5", at, "5", "u3", None)], "device string, captured_at timestamp, user_id string, upn string, mail string")
+    obs = spark.createDataFrame([*(("mail", "all@x.org", str(i), seen) for i in range(50)), ("upn", "u1", "1", seen), ("upn", "u3", "3", seen)], "kind string, value string, owner string, observed_at timestamp")
+    merged = links.merge_links(links.attempts(devices, obs, spark.range(50).select(F.col("id").cast("string").alias("user_id"))))
+    got = {r.device: (r.status, r.user_id, len(r.candidates)) for r in merged.collect()}
+    assert got == {"d1": ("ambiguous", None, 50), "d2": ("resolved", "2", 50), "d3": ("resolved", "3", 1), "d4": ("unbound", None, 0), "d5": ("conflicting", None, 2)}
+    read = merged.select("device", "status", "user_id")
+    assert "owners" not in read._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.device: (r.status, r.user_id) for r in read.collect()} == {k: v[:2] for k, v in got.items()}
+
+
 def test_tied_components_are_taken_alike_on_both_sides(spark):
     """Of rows with one position, both sides take the same, in whatever order they come."""
     side = lambda values: spark.createDataFrame([("p", "setting", "c", v, 1, True) for v in values], "policy_key string, component_type string, component_key string, value string, position int, trusted boolean").coalesce(1)

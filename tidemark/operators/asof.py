@@ -66,19 +66,19 @@ def alias_asof(observations: DataFrame, probes: DataFrame, alias: Sequence[str]
 
     The newest observation time not later than the probe decides; several owners at that time are ambiguous, not a choice.
     Only distinct times of an alias, asked and observed ones, meet in its ordered pass; probes and owners are joined to
-    what it finds by alias and time, so an alias with many owners or probes is no large group anywhere.
+    what it finds by alias and time, so an alias with many owners or probes is no large group anywhere. The status is told
+    from the least and greatest owner: where `owners` is not read, no array of them is built or moved to the probes.
     """
-    seen = observations.filter(F.col(owner).isNotNull()).groupBy(*alias, F.col(at).alias("_t")).agg(F.array_sort(F.collect_set(owner)).alias("owners"))
+    seen = observations.filter(F.col(owner).isNotNull()).groupBy(*alias, F.col(at).alias("_t")).agg(F.array_sort(F.collect_set(owner)).alias("owners"), F.min(owner).alias("_least"), F.max(owner).alias("_most"))
     times = seen.select(*alias, "_t", F.col("_t").alias("_seen")).unionByName(probes.select(*alias, F.col(asof).alias("_t"), F.lit(None).cast(seen.schema["_t"].dataType).alias("_seen")))
     times = times.groupBy(*alias, "_t").agg(F.max("_seen").alias("_seen"))
     w = Window.partitionBy(*alias).orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
     found = times.withColumn("_seen", F.last("_seen", ignorenulls=True).over(w)).filter("_seen is not null")
-    found = found.join(seen.withColumnRenamed("_t", "_seen"), [*alias, "_seen"]).select(*alias, F.col("_t").alias(asof), "owners")
+    found = found.join(seen.withColumnRenamed("_t", "_seen"), [*alias, "_seen"]).select(*alias, F.col("_t").alias(asof), "owners", "_least", "_most")
     rows = probes.join(found, [*alias, asof], "left")
-    n = F.coalesce(F.size("owners"), F.lit(0))
-    status = F.when(F.col("owners").isNull() | (n == 0), "unbound").when(n == 1, "bound").otherwise("ambiguous")
+    status = F.when(F.col("_least").isNull(), "unbound").when(F.col("_least") == F.col("_most"), "bound").otherwise("ambiguous")
     none = F.array().cast(seen.schema["owners"].dataType)
-    return rows.withColumn("status", status).select(*(F.col(f"`{c}`") for c in probes.columns), F.coalesce("owners", none).alias("owners"), "status", F.when(F.col("status") == "bound", F.col("owners")[0]).alias("bound"))
+    return rows.withColumn("status", status).select(*(F.col(f"`{c}`") for c in probes.columns), F.coalesce("owners", none).alias("owners"), "status", F.when(F.col("status") == "bound", F.col("_least")).alias("bound"))
 
 
 def bind_rows(rows: DataFrame, observations: DataFrame, identity: Column, alias_value: Column, kind: str = "upn", at: str = "captured_at") -> DataFrame:

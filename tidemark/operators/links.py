@@ -20,16 +20,16 @@ def attempts(devices: DataFrame, observations: DataFrame, users: DataFrame, at:
     """One row for each signal of a device row: UserId (exact), UPN and mail (by alias at the row's time).
 
     devices: device, captured_at, user_id, upn, mail. users: user_id. Columns: device, captured_at, signal, status
-    (resolved, ambiguous, unbound), owners.
+    (resolved, ambiguous, unbound), owner (of a resolved one), owners.
     """
     base = devices.select("device", F.col(at).alias(at), cells.text("user_id").alias("user_id"), cells.lower("upn").alias("upn"), cells.lower("mail").alias("mail"))
     known = users.select(cells.text("user_id").alias("user_id")).distinct().withColumn("_known", F.lit(1))
     exact = base.filter("user_id <> ''").join(known, "user_id", "left")
-    exact = exact.select("device", at, F.lit("user_id").alias("signal"), F.when(F.col("_known") == 1, "resolved").otherwise("unbound").alias("status"), F.when(F.col("_known") == 1, F.array("user_id")).otherwise(F.array().cast("array<string>")).alias("owners"))
+    exact = exact.select("device", at, F.lit("user_id").alias("signal"), F.when(F.col("_known") == 1, "resolved").otherwise("unbound").alias("status"), F.when(F.col("_known") == 1, F.col("user_id")).alias("owner"), F.when(F.col("_known") == 1, F.array("user_id")).otherwise(F.array().cast("array<string>")).alias("owners"))
     mail_counts = cells.is_email("mail") & (F.col("mail") != F.col("upn"))
     named = base.select("device", at, F.explode(F.filter(F.array(F.struct(F.lit("upn").alias("kind"), F.col("upn").alias("value")), F.when(mail_counts, F.struct(F.lit("mail").alias("kind"), F.col("mail").alias("value")))), lambda x: x.isNotNull() & (x.value != ""))).alias("s"))
     probed = asof.alias_asof(observations, named.select("device", at, "s.kind", "s.value"), asof=at)
-    probed = probed.select("device", at, F.col("kind").alias("signal"), F.when(F.col("status") == "bound", "resolved").otherwise(F.col("status")).alias("status"), F.col("owners").cast("array<string>").alias("owners"))
+    probed = probed.select("device", at, F.col("kind").alias("signal"), F.when(F.col("status") == "bound", "resolved").otherwise(F.col("status")).alias("status"), F.col("bound").cast("string").alias("owner"), F.col("owners").cast("array<string>").alias("owners"))
     return exact.unionByName(probed)
 
 
@@ -37,11 +37,13 @@ def merge_links(tries: DataFrame, at: str = "captured_at") -> DataFrame:
     """Per device and snapshot: status, user_id, candidates, by this ladder.
 
     Two UserIds: conflicting. UserId against another resolved signal: conflicting. A UserId: resolved. Any ambiguous:
-    ambiguous. Two resolved users: conflicting. One: resolved. A signal without owner: unbound. Else none.
+    ambiguous. Two resolved users: conflicting. One: resolved. A signal without owner: unbound. Else none. Where tries have
+    `owner`, it is what resolved signals tell, and `owners` serves the candidates alone: who does not read those moves none.
     """
     own = lambda cond: F.array_distinct(F.flatten(F.collect_set(F.when(cond, F.col("owners")))))
+    told = (lambda cond: F.collect_set(F.when(cond, F.col("owner")))) if "owner" in tries.columns else own
     ok = F.col("status") == "resolved"
-    g = tries.groupBy("device", at).agg(own(ok & (F.col("signal") == "user_id")).alias("ids"), own(ok & (F.col("signal") != "user_id")).alias("others"), F.bool_or(F.col("status") == "ambiguous").alias("amb"), F.count(F.lit(1)).alias("n"), own(F.lit(True)).alias("candidates"))
+    g = tries.groupBy("device", at).agg(told(ok & (F.col("signal") == "user_id")).alias("ids"), told(ok & (F.col("signal") != "user_id")).alias("others"), F.bool_or(F.col("status") == "ambiguous").alias("amb"), F.count(F.lit(1)).alias("n"), own(F.lit(True)).alias("candidates"))
     more = F.size(F.array_except("others", "ids"))
     status = (
         F.when(F.size("ids") > 1, "conflicting").when((F.size("ids") == 1) & (more > 0), "conflicting").when(F.size("ids") == 1, "resolved").when(F.col("amb"), "ambiguous")
