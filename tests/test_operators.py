@@ -159,6 +159,21 @@ def test_deep_trees_and_nulls(spark):
     assert whole["$.l"] == '[1,{"x":2}]' and "$.l[0]" not in whole
 
 
+def test_trees_are_told_in_one_task_a_document(spark):
+    """Brackets in texts and keys are no depth, and neither trees nor settings of documents that lie by key are shuffled again."""
+    text = '{"a\\"{[":"]}\\\\","b":[[{"c":"[{"}],[]],"d":{}}'
+    docs = spark.createDataFrame([("p", text), ("s", "5")], "k string, t string").select("k", F.parse_json("t").alias("doc"))
+    got = {(r.k, r.path): (r.depth, r.type, r.v) for r in policy.tree_nodes(docs, ["k"], "doc").withColumn("v", F.to_json("value")).collect()}
+    assert got == {
+        ("p", "$"): (0, "object", None), ("p", '$.a"{['): (1, "string", '"]}\\\\"'), ("p", "$.b"): (1, "array", None), ("p", "$.b[0]"): (2, "array", None), ("p", "$.b[0][0]"): (3, "object", None),
+        ("p", "$.b[0][0].c"): (4, "string", '"[{"'), ("p", "$.b[1]"): (2, "array", None), ("p", "$.d"): (1, "object", None), ("s", "$"): (0, "integer", "5"),
+    }
+    own = spark.createDataFrame([("p", DOC)], "policy_key string, t string").groupBy("policy_key").agg(F.parse_json(F.max("t")).alias("doc"))
+    settings = policy.setting_nodes(policy.tree_nodes(own, ["policy_key"], "doc"), ["policy_key"])
+    plan = settings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "UnionLoop" not in plan and settings.count() == 3
+
+
 def test_links_move_owners_of_shared_aliases_only_where_they_are_read(spark):
     """An alias that many own is told by its least and greatest owner; candidates have all of them."""
     at, seen = D(2026, 1, 2), D(2026, 1, 1)
