@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAM = 3
+#: Needles that are sent to all tasks at most.
+MOST_SENT = 1 << 18
 #: Parts of each run's postings, so that those of a common run are dealt to several tasks.
 SALTS = 16
 _END = "\0" * (GRAM - 1)
@@ -53,3 +55,19 @@ def meet(postings: DataFrame, picked: DataFrame, query: str, *of: str) -> DataFr
     dealt = picked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     met = postings.withColumn("_salt", salt).join(dealt, ["gram", "_salt"])
     return met.groupBy(query, *of).agg(F.bit_or("bit").alias("_bits"), F.max("need").alias("_need")).filter("_bits = _need").select(query, *of)
+
+
+def pieces(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """texts with each needle that they hold, told where they lie; a needle that a text holds twice is told twice.
+
+    needles: distinct, not empty. Their beginnings of at most GRAM characters, as many as the alphabet allows, tell which
+    lengths are worth a piece at a place; up to MOST_SENT needles are sent to all tasks, more meet the pieces in a shuffle.
+    """
+    begun = needles.select(F.substring(needle, 1, GRAM).alias("_run"), F.length(needle).alias("_size"))
+    told = needles.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.least(F.length(needle), F.lit(GRAM))).alias("sizes")).first()
+    begins = F.broadcast(begun.groupBy("_run").agg(F.collect_set("_size").alias("_sizes")))
+    # explode_outer, as filters on the size of what explode takes would tell it more than once
+    places = texts.withColumn("_at", F.explode_outer(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))))
+    runs_ = places.withColumn("_run", F.explode_outer(F.array(*(F.substring(F.col(text), F.col("_at"), F.lit(n)) for n in sorted(told["sizes"]) or [GRAM]))))
+    cut = runs_.join(begins, "_run").select(*texts.columns, "_at", F.explode("_sizes").alias("_size"))
+    return cut.select(*texts.columns, F.substring(F.col(text), F.col("_at"), F.col("_size")).alias(needle)).join(F.broadcast(needles) if told["n"] <= MOST_SENT else needles, needle)

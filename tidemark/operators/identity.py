@@ -198,17 +198,18 @@ def searched(entity: str = "entity", alias: str = "alias", display: str = "displ
 def search_many(entities: DataFrame, asks: DataFrame, query: str, needle: str, k: int = 50) -> DataFrame:
     """`search` for many needles at once. asks: query, needle; an empty needle finds nothing.
 
-    Entities meet needles on each needle's two rarest runs of characters (see `grams`); ranks are told from whole texts
-    after. What is shuffled are partial counts of runs and the postings of those taken. Where names stay and needles come
-    anew, `streaming.search_index` keeps postings and counts.
+    Equal needles are looked for once. Names are dealt out by entity and looked through where they lie: a run of a name that
+    begins needles gives its pieces of those needles' lengths, and a piece that is a needle has met it (see `grams.pieces`).
+    So what meets is what matches, and only the best k of each needle and task are shuffled. Up to MOST_SENT needles go to all
+    tasks; more are shuffled with the pieces. Where names stay and needles come anew, `streaming.search_index` keeps postings.
     """
-    own = asks.select(query, F.lower(needle).alias("_n")).filter("_n <> ''")
-    # a name becomes a row for each of its characters, so names are dealt out before; both uses share that exchange
-    dealt = entities.select("entity", "alias", "display").repartition(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    of = dealt.select("entity", "alias", "display", F.explode(grams.runs(searched())).alias("gram"))
-    counts = of.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    met = grams.meet(of, grams.picks(own, counts, query, "_n"), query, "entity", "alias", "display")
-    return search(met.join(own, query), F.col("_n"), k, query)
+    own = asks.select(query, F.lower(needle).alias("_n")).filter(f"_n <> '' and `{query}` is not null").distinct()
+    needles = own.select("_n").distinct()
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = entities.select("entity", "alias", "display").repartition(parts, "entity")
+    met = grams.pieces(dealt.withColumn("_text", searched()), "_text", needles, "_n").drop("_text").dropDuplicates(["_n", "entity", "alias", "display"])
+    best = search(met, F.col("_n"), k, "_n").join(own, "_n").groupBy(query, "entity").agg(F.min("rank").alias("rank"), F.min("display").alias("display"), F.sum("alias_hits").alias("alias_hits"))
+    return best.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy("rank", F.lower("display"), "entity"))).filter(F.col("place") <= k)
 
 
 def ambiguous(found: DataFrame) -> DataFrame:
