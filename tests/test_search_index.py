@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import grams, identity
 from tidemark.streaming.search_index import NAMES, SearchIndex
@@ -100,3 +101,26 @@ def test_many_names_with_common_runs(spark):
     got = sorted((r.q, r.place, r.entity) for r in identity.search_many(e, asks, "q", "needle", 12).collect())
     assert got == [x[:3] for x in plainly([("", *n) for n in names], [(1, "common 29"), (2, "co"), (3, "comma")], 12)]
     assert len(spark.range(1).select(grams.runs(grams.F.lit("ab"))).first()[0]) == 2
+
+
+def test_many_needles_meet_what_holds_them_alone(spark, tmp_path):
+    """Needles whose runs are all common meet no more names than hold them, in a search of many and in an index."""
+    e = spark.createDataFrame([(str(i), f"a{i}@x", f"Name {i:04d}") for i in range(200)], "entity string, alias string, display string")
+    needles = [("q1", "name 0012"), ("q2", "NAME 0012"), ("q3", "e 01"), ("q4", "7@"), ("q5", "x"), ("q6", "absent"), ("q7", None), ("q8", ""), *((f"n{i}", f"a{i}@x name") for i in range(100))]
+    common = "@x name 0"
+    needles += [(f"c{i}-{j}", common[i:j]) for i in range(len(common)) for j in range(i + 3, len(common) + 1)]
+    asks = spark.createDataFrame(needles, "q string, n string")
+    texts = e.withColumn("t", identity.searched())
+    own = asks.select(F.lower("n").alias("n")).filter("n <> ''").distinct()
+    met = grams.pieces(texts, "t", own, "n").select("entity", "n").distinct().collect()
+    assert sorted(map(tuple, met)) == sorted((r.entity, n.n) for r in texts.collect() for n in own.collect() if n.n in r.t)
+    want = sorted(map(tuple, identity.search_many(e, asks, "q", "n", 12).select("q", "entity", "rank", "place").collect()))
+    assert {q for q, *_ in want} == {q for q, _ in needles} - {"q6", "q7", "q8"} and all(p <= 12 for *_, p in want)
+    index = SearchIndex(spark, f"file://{tmp_path}/index")
+    files = spark.createDataFrame([("f", "new")], "path string, action string")
+    index.update("one", files, e.withColumn("path", F.lit("f")), files.limit(0).select("path", F.lit("").alias("message")))
+    found = index.search(asks, "q", "n", 12)
+    assert sorted(map(tuple, found.select("q", "entity", "rank", "place").collect())) == want
+    assert not any("/postings/" in f for f in found.inputFiles())
+    few = index.search(asks.filter("q = 'n7'"), "q", "n", 12)
+    assert any("/postings/" in f for f in few.inputFiles()) and few.count() == 1

@@ -99,10 +99,16 @@ class SearchIndex:
         """The best k entities of each needle, as `identity.search_many` gives them for all live names.
 
         asks: query, needle; empty and null needles find nothing, and so do those without a query. Reads the counts, the
-        postings of the runs taken, and the names that meet.
+        postings of the runs taken, and the names that meet. Needles that would meet more postings than there are, as many
+        needles do, are looked for in the names as such: that reads each name once, whatever the needles.
         """
-        own = asks.select(query, F.lower(needle).alias("_n")).filter(f"_n <> '' and `{query}` is not null")
-        met = grams.meet(self.postings().filter("gram is not null"), grams.picks(own, self.counts(), query, "_n"), query, "id")
+        own = asks.select(query, F.lower(needle).alias("_n")).filter(f"_n <> '' and `{query}` is not null").distinct()
+        needles, counts = own.select("_n").distinct().withColumn("_q", F.col("_n")), self.counts()
+        picked = grams.picks(needles, counts, "_q", "_n")
+        met, had = picked.join(counts, "gram").agg(F.sum("n")).first()[0] or 0, counts.agg(F.sum("n")).first()[0] or 0
+        if met > had:
+            return identity.search_many(self.names.rows().select("entity", "alias", "display"), asks, query, needle, k)
+        met = grams.meet(self.postings().filter("gram is not null"), picked, "_q", "id").join(own, F.col("_q") == F.col("_n")).select(query, "_n", "id")
         names = self.names.rows().select(self.id().alias("id"), "entity", "alias", "display")
-        found = names.join(met, "id").join(own, query).dropDuplicates([query, "entity", "alias", "display"])
+        found = names.join(met, "id").dropDuplicates([query, "entity", "alias", "display"])
         return identity.search(found, F.col("_n"), k, query)
